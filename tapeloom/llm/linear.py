@@ -58,9 +58,9 @@ class Features:
         return found
 
 
-def select_features(sample: DataFrame, classes: int, most: int, least: int = 3, more=None) -> list[int]:
-    """The ``most`` features whose presence differs most between classes (largest z of one class against the rest).
-    ``sample``: text, target (class number, null: unlabelled, left out)."""
+def select_features(sample: DataFrame, classes: int, most: int, least: int = 3, more=None, z: float = 0.0, support: float = 0.0) -> list[int]:
+    """The ``most`` features whose presence differs most between classes (largest z of one class against the rest, at
+    least ``z``), of those in ``least`` rows and in ``support`` of all rows at least. ``sample``: text, target (class number, null: unlabelled, left out)."""
 
     def make():
         features = Features(more=more)
@@ -90,7 +90,7 @@ def select_features(sample: DataFrame, classes: int, most: int, least: int = 3,
             rest = max(1, everything - whole[k])
             spread = F.sqrt(p * (1 - p) * (1 / whole[k] + 1 / rest) + 1e-12)
             scores.append(F.abs(F.col(f"n{k}") / whole[k] - (n - F.col(f"n{k}")) / rest) / spread)
-        best = table.filter("feature >= 0").filter(n >= least).withColumn("z", F.greatest(*scores) if classes > 1 else scores[0])
+        best = table.filter("feature >= 0").filter(n >= max(least, support * everything)).withColumn("z", F.greatest(*scores) if classes > 1 else scores[0]).filter(F.col("z") >= z)
         return [r["feature"] for r in best.orderBy(F.desc("z"), "feature").limit(most).collect()]
     finally:
         table.unpersist()

@@ -24,6 +24,10 @@ TERMS = {name: frozenset(x.encode() for x in text.split()) for name, text in LEX
 ADDRESS = re.compile(rb"\b(?:you|your|du|ihr|vous|eres)\b")
 #: Training rows at most, chosen by hash; features at most; voters among which mined terms are dealt.
 ROWS, FEATURES, MINED = 16_384, 1_024, 12
+#: How far beyond chance a feature must differ between classes, its least share of rows; how strongly weights are drawn to zero.
+BEYOND, SUPPORT, L2 = 4.0, 0.001, 3e-5
+#: Share of toxic documents among those with a feature from which it may speak for toxicity: copies of one document lift others.
+SURE = 0.85
 THRESHOLD = 0.3
 
 
@@ -58,7 +62,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = ROWS, features: i
     marks = marks.groupBy("doc_id").agg(F.max("target").alias("target"))
     few = stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     sample = stored(documents.select("doc_id", "text").join(F.broadcast(few), "doc_id"))  # at most `rows` pairs of integers
-    chosen = linear.select_features(sample.select("text", "target"), 2, features)
+    chosen = linear.select_features(sample.select("text", "target"), 2, features, z=BEYOND, support=SUPPORT)
+    lexicon = {linear.word_features(x)[0] for terms in TERMS.values() for x in terms}
+    chosen = sorted({*chosen, *lexicon})
 
     def make():
         features, fixed = linear.Features(frozenset(chosen)), fixed_votes
@@ -67,16 +73,14 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = ROWS, features: i
     got = map_columns(sample, ["text", "target"], [("hits", "array<int>"), ("votes", "array<int>"), ("target", "int")], make).toPandas()
     y = got["target"].to_numpy(int) if len(got) else np.zeros(0, int)
     if not len(y) or y.min() == y.max():
-        lexicon = {x for terms in TERMS.values() for x in terms}
-        weights = {linear.word_features(x)[0]: np.array([0.0, 4.0]) for x in lexicon}
-        return {"bias": np.array([0.0, -3.0]), "weights": weights}
+        return {"bias": np.array([0.0, -3.0]), "weights": {x: np.array([0.0, 4.0]) for x in lexicon}}
     hits = [list(map(int, x)) for x in got["hits"]]
     with_term, toxic = {}, {}
     for row, mark in zip(hits, y, strict=True):
         for x in row:
             with_term[x] = with_term.get(x, 0) + 1
             toxic[x] = toxic.get(x, 0) + int(mark)
-    mined = sorted((x for x in with_term if toxic[x] >= 3 and toxic[x] >= 0.8 * with_term[x]), key=lambda x: (-toxic[x], x))
+    mined = sorted((x for x in with_term if toxic[x] >= 3 and toxic[x] >= SURE * with_term[x]), key=lambda x: (-toxic[x], x))
     groups = {x: i % MINED for i, x in enumerate(mined)}
     rows_of_votes = []
     for row, votes, mark in zip(hits, got["votes"], y, strict=True):
@@ -85,7 +89,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = ROWS, features: i
         rows_of_votes.append([*map(int, votes), *term, silent, 1 if mark else -1])
     model = labelmodel.fit(np.array(rows_of_votes))
     p = model["posterior"]
-    return linear.fit_softmax(hits, np.stack([1 - p, p], 1).astype(np.float32), chosen)
+    sure = {*mined, *(x for x in lexicon if x in with_term and toxic[x] >= SURE * with_term[x])}
+    chosen, hits = [x for x in chosen if x in sure] or chosen, [[x for x in row if x in sure] for row in hits] if sure else hits
+    return linear.fit_softmax(hits, np.stack([1 - p, p], 1).astype(np.float32), chosen, L2, 400)
 
 
 def score(documents: DataFrame, model: dict, name: str = "score") -> DataFrame:
