@@ -32,6 +32,11 @@ def _(spark, d):
     return streams.finished(streams.exactly_once(t.withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1)))).drop("twice"), "seq", "60 days"), "append")
 
 
+@query("T10_stream_restart", "symbol seq|price", "tape", sql="SELECT symbol, seq, price FROM tape")
+def _(spark, d):
+    return streams.finished(streams.tape(spark, d), "append", runs=2)
+
+
 @query("T11_stream_day_totals", "symbol day n|volume", "tape", sql=f"SELECT symbol, t // {DAY} AS day, count(*) AS n, sum(qty) AS volume FROM tape GROUP BY 1, 2")
 def _(spark, d):
     return streams.finished(streams.day_totals(streams.tape(spark, d)), "complete")

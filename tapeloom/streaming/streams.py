@@ -23,15 +23,17 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over what is there and returns what it put out: the last batch's table (complete), or all rows (append)."""
+def finished(stream: DataFrame, mode: str, runs: int = 1) -> DataFrame:
+    """Runs the stream over what is there and returns what it put out: the last batch's table (complete), or all rows (append). With
+    more ``runs`` it is started again from its checkpoint (T10): what was read before isn't read again."""
     spark = stream.sparkSession
     out, state = scratch(spark, "stream"), scratch(spark, "state")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    for _ in range(runs):
+        stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
