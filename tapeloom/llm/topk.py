@@ -4,8 +4,8 @@ Each block of candidates keeps, per dimension, its postings in order of impact (
 about equal length that carry their impact quantised to the segment's bounds. A query's segments are processed in
 descending order of the most they can add. After a stretch of segments, each candidate has a proved upper bound: what
 it gathered, and for each dimension not yet met the best segment left there. The k-th best exact score among leading
-candidates is a proved lower bound. Candidates under it can't be members; processing stops once few enough are left,
-and these are rescored exactly. With no such proof, all segments are processed.
+candidates is a proved lower bound. Candidates under it can't be members; processing stops once so few are left that rescoring
+them costs less than the next stretch, and these are rescored exactly. Without that, all segments are processed.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .vectors import blocks, dealt, merged, usable
 
 SEGMENTS, CANDIDATES, QUERIES = 32, 16_384, 512
+#: What processing one posting costs, in components rescored.
+STRETCH = 3.0
 
 
 def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -44,25 +46,26 @@ class Index:
         most = np.maximum(query[:, None] * self.low, query[:, None] * self.high).astype(float)
         order = np.argsort(-most, axis=None, kind="stable")
         reach = np.cumsum(np.tile(self.sizes, dims)[order])
-        for share in (0.25, 0.5, 1.0):
+        for share, further in ((0.5, 0.25), (0.75, 0.25), (1.0, 0.0)):
             upto = len(order) if share == 1.0 else int(np.searchsorted(reach, share * n * dims)) + 1
             taken = np.zeros(most.shape, bool)
             taken.flat[order[:upto]] = True
             left = np.where(taken, -np.inf, most).max(axis=1)  # the best segment left in each dimension
             left[np.isneginf(left)] = 0.0
-            lists, weights = [], []
+            lists, weights, sizes = [], [], []
             for d in np.flatnonzero(taken.any(axis=1)):
                 segs = np.flatnonzero(taken[d])
-                first, last = segs[0], segs[-1]  # contiguous: what a segment can add is monotone in its impact
-                lists.append(self.postings[d, self.edges[first] : self.edges[last + 1]])
-                weights.append(np.repeat(most[d, first : last + 1] - left[d], self.sizes[first : last + 1]))
-            bound = left.sum() + np.bincount(np.concatenate(lists), np.concatenate(weights), n)
-            lead = np.argpartition(-bound, min(n - 1, 16 * k))[: 16 * k + 1] if n > 16 * k + 1 else np.arange(n)
+                first, last = segs[0], segs[-1] + 1  # contiguous: what a segment can add is monotone in its impact
+                lists.append(self.postings[d, self.edges[first] : self.edges[last]])
+                weights.append(most[d, first:last] - left[d])
+                sizes.append(self.sizes[first:last])
+            bound = left.sum() + np.bincount(np.concatenate(lists), np.repeat(np.concatenate(weights), np.concatenate(sizes)), n)
+            lead = np.argpartition(-bound, 16 * k)[: 16 * k + 1] if n > 16 * k + 1 else np.arange(n)
             exact = self.values[lead] @ query
             exact = exact[self.ids[lead] != own] if own is not None else exact
-            floor = np.sort(exact)[-k] if len(exact) >= k else -np.inf
+            floor = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
             members = np.flatnonzero(bound >= floor - 1e-6 * (1 + abs(floor)))
-            if share == 1.0 or len(members) <= 64 * k + n // 50:
+            if len(members) * dims <= STRETCH * further * n * dims:  # to rescore them costs less than to process the next stretch
                 break
         scores = self.values[members] @ query
         ids = self.ids[members]
