@@ -28,7 +28,7 @@ DIGIT = re.compile(r"[0-9]")
 TERM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Words on each side of an entity, contexts and share that make a term disclosing, bits that it must reveal.
-NEAR, CONTEXTS, SHARE, BITS = 6, 3, 0.5, 8.0
+NEAR, CONTEXTS, SHARE, BITS = 6, 4, 0.5, 8.0
 #: Disclosing terms up to which each task holds all of them; beyond, they are joined to the documents by term.
 HELD = 100_000
 
@@ -101,9 +101,10 @@ def gather(documents: DataFrame) -> DataFrame:
                 for span in spans:
                     left = words(plain[max(0, span[0] - 160) : span[0]])[-NEAR:]
                     right = words(plain[span[2] : span[2] + 160])[:NEAR]
-                    context = xxh64_intdigest(b" ".join([*left, b"|", *right])) >> 1
-                    who = entity(text, span)
-                    totals.update((w, who, context) for w in {*left, *right} if is_term(w))
+                    who, around = entity(text, span), sorted((xxh64_intdigest(w) >> 1, w) for w in {*left, *right})
+                    for _, w in around:
+                        if is_term(w):  # its context: the least hash of another word about; copies with a few changes mostly share it
+                            totals[w, who, next((h for h, x in around if x != w), 0)] += 1
             return {"term": [k[0].decode("utf-8", "replace") for k in totals], "entity": [k[1] for k in totals], "context": [k[2] for k in totals], "n": list(totals.values())}
 
         return f
