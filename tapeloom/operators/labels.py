@@ -53,9 +53,12 @@ def decimate(df: DataFrame, interval: int, key: str = "symbol") -> DataFrame:
     least ``interval`` restarts the rule, so the tape is cut there and the segments go in parallel."""
     if interval <= 0:
         return df
-    w = Window.partitionBy(key).orderBy("t", "seq")
-    cut = F.when(F.coalesce(F.col("t") - F.lag("t").over(w) >= interval, F.lit(True)), 1).otherwise(0)
-    rows = df.withColumn("_cut", cut).withColumn("_segment", F.sum("_cut").over(w)).drop("_cut")
+    def mark(rows, w):
+        return rows.withColumn("_cut", F.coalesce((F.col("t") - F.lag("t").over(w) >= interval).cast("int"), F.lit(1)))
+
+    width = max(86_400_000_000, 4 * interval)
+    rows = scan.over_chunks(df, width, mark, back=interval, key=key)  # a row that isn't in the halo is further away than the interval
+    rows = scan.running(rows, {"_segment": F.col("_cut")}, width, key).drop("_cut")
 
     def run(pdf):
         last, keep = None, []

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TOLERANCE = 1e-9
-
+from . import scan
 
-def in_order() -> Window:
-    return Window.partitionBy("symbol").orderBy("seq")
+TOLERANCE = 1e-9
+#: Microseconds of history in a chunk of a symbol's running sums (90 days).
+CHUNK = 90 * 86_400_000_000
 
 
 def positions(fills: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Position after each fill (flat within the tolerance) and life, which counts up whenever the position leaves zero. A
-    fill that crosses zero stays in its life."""
-    run = F.sum("qty").over(in_order())
-    rows = fills.withColumn("position", F.when(F.abs(run) < tolerance, 0.0).otherwise(run))
-    starts = F.when(F.coalesce(F.lag("position").over(in_order()), F.lit(0.0)) == 0, 1).otherwise(0)
-    return rows.withColumn("_starts", starts).withColumn("life", F.sum("_starts").over(in_order())).drop("_starts")
+    fill that crosses zero stays in its life. ``seq`` follows ``t``."""
+    rows = scan.running(fills, {"_run": F.col("qty")}, CHUNK, order=("seq",))
+    rows = rows.withColumn("position", F.when(F.abs("_run") < tolerance, 0.0).otherwise(F.col("_run")))
+    starts = (F.abs(F.col("_run") - F.col("qty")) < tolerance).cast("int")
+    return scan.running(rows, {"life": starts}, CHUNK, order=("seq",)).drop("_run")
 
 
 def trades(fills: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -70,10 +70,11 @@ def entry_prices(fills: DataFrame) -> DataFrame:
 
 def running_results(trades: DataFrame, day: int = 86_400_000_000) -> DataFrame:
     """Per symbol, net so far, net of its UTC day so far, and drawdown from the best so far (at least zero)."""
-    w = Window.partitionBy("symbol").orderBy("close_t", "life")
-    rows = trades.withColumn("day", F.floor(F.col("close_t") / F.lit(day)).cast("long")).withColumn("cum_net", F.sum("net").over(w))
+    at = {"by": "close_t", "order": ("close_t", "life")}
+    rows = scan.running(trades.withColumn("day", F.floor(F.col("close_t") / F.lit(day)).cast("long")), {"cum_net": F.col("net")}, CHUNK, **at)
     rows = rows.withColumn("day_net", F.sum("net").over(Window.partitionBy("symbol", "day").orderBy("close_t", "life")))
-    return rows.withColumn("drawdown", F.greatest(F.max("cum_net").over(w), F.lit(0.0)) - F.col("cum_net"))
+    rows = scan.running(rows, {"_best": F.col("cum_net")}, CHUNK, **at, fold="max")
+    return rows.withColumn("drawdown", F.greatest("_best", F.lit(0.0)) - F.col("cum_net")).drop("_best")
 
 
 def recent_win_rate(trades: DataFrame, n: int) -> DataFrame:

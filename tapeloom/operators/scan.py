@@ -34,19 +34,33 @@ def indexed(df: DataFrame, width: int, key: str = "symbol") -> DataFrame:
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy(key, "part").orderBy("t", "seq")) - 1 + F.col("before")).drop("part", "before")
 
 
-def running(df: DataFrame, sums: dict[str, Column], width: int, key: str = "symbol") -> DataFrame:
-    """``df`` with running sums by (t, seq) within ``key``, the row included: partial sums of chunks of time, then their prefixes."""
-    rows = df.withColumn("part", F.floor(F.col("t") / F.lit(width)).cast("long"))
-    for name, value in sums.items():
-        rows = rows.withColumn(f"_{name}", value)
-    totals = rows.groupBy(key, "part").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
-    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(key, "part", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"before_{n}") for n in sums))
-    inside = Window.partitionBy(key, "part").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(carried.hint("shuffle_hash"), [key, "part"])
-    for n in sums:
-        rows = rows.withColumn(n, F.col(f"before_{n}") + F.sum(f"_{n}").over(inside))
-    return rows.drop("part", *(f"_{n}" for n in sums), *(f"before_{n}" for n in sums))
+def running(df: DataFrame, values: dict[str, Column], width: int, key: str = "symbol", by: str = "t", order: tuple[str, ...] = ("t", "seq"), fold: str = "sum") -> DataFrame:
+    """``df`` with running sums (or maxima: ``fold``) by ``order`` within ``key``, the row included: folds inside chunks of ``by``, and the
+    fold of earlier chunks carried in."""
+    f, plus = (F.sum, lambda x, y: F.coalesce(x, F.lit(0)) + y) if fold == "sum" else (F.max, lambda x, y: F.greatest(x, y))
+    rows = df.withColumn("_part", F.floor(F.col(by) / F.lit(width)).cast("long"))
+    for name, value in values.items():
+        rows = rows.withColumn(f"_of_{name}", value)
+    totals = rows.groupBy(key, "_part").agg(*(f(f"_of_{n}").alias(f"_of_{n}") for n in values))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(key, "_part", *(f(f"_of_{n}").over(earlier).alias(f"_before_{n}") for n in values))
+    inside = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(carried.hint("shuffle_hash"), [key, "_part"])
+    for n in values:
+        rows = rows.withColumn(n, plus(F.col(f"_before_{n}"), f(f"_of_{n}").over(inside)))
+    return rows.drop("_part", *(f"_of_{n}" for n in values), *(f"_before_{n}" for n in values))
+
+
+def below(df: DataFrame, p: str, sums: dict[str, Column], buckets: int = 4096) -> DataFrame:
+    """By distinct ``p`` (0 to 1): sums, and below_<name>, the sums over all smaller ``p``: prefixes inside buckets of ``p``, carried over
+    the few buckets."""
+    by = df.groupBy(F.col(p).alias("_p")).agg(*(F.sum(c).alias(n) for n, c in sums.items())).withColumn("_b", F.floor(F.col("_p") * buckets))
+    totals = by.groupBy("_b").agg(*(F.sum(n).alias(f"_t_{n}") for n in sums))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_b", *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums))
+    inside = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    rows = by.join(carried.hint("shuffle_hash"), "_b")
+    return rows.select("_p", *sums, *((F.col(f"_c_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"below_{n}") for n in sums))
 
 
 def affine_scan(df: DataFrame, x: str, out: str, factor: float, seed: Column | None = None, chunk: int = 500, key: str = "symbol", index: str = "idx") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import labels, scan
+
 
 def performance(trades: DataFrame) -> DataFrame:
     """A10: overall, by side, by regime and by symbol group at once: trades, wins, win rate, profit factor (gains by losses, null without
@@ -45,26 +47,26 @@ def exit_breakdown(rows: DataFrame) -> DataFrame:
 
 
 def decile_lift(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """By decile of probability: rows, outcome rate, lift. Decile edges are quantiles found by aggregation, so no task holds
-    all rows; equal probabilities share a decile."""
-    edges = F.percentile(F.col(p), F.array(*(F.lit(k / 10) for k in range(1, 10)))).alias("_edges")
-    of = rows.crossJoin(F.broadcast(rows.agg(edges, F.avg(y).alias("_base"))))  # one row
-    decile = F.size(F.filter("_edges", lambda e: e < F.col(p))) + 1
-    return of.groupBy(decile.alias("decile")).agg(F.count("*").alias("n"), F.avg(y).alias("rate"), (F.avg(y) / F.first("_base")).alias("lift"))
+    """By decile of probability (the tenth in which the share of rows with a smaller one lies): rows, outcome rate, lift. Equal
+    probabilities share a decile."""
+    by = scan.below(rows, p, {"n": F.lit(1), "pos": F.col(y)})
+    total = by.agg(F.sum("n").alias("_all"), F.sum("pos").alias("_pos"))
+    of = by.crossJoin(F.broadcast(total)).withColumn("decile", F.floor(10 * F.col("below_n") / F.col("_all")).cast("int") + 1)  # one row
+    rate = F.sum("pos") / F.sum("n")
+    return of.groupBy("decile").agg(F.sum("n").alias("n"), rate.alias("rate"), (rate / (F.first("_pos") / F.first("_all"))).alias("lift"))
 
 
 def auc(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """Area under the curve from counts by probability: pairs won, ties half. Counts per distinct probability are small
-    compared to rows, and their running sums go over these."""
-    by = rows.groupBy(F.col(p).alias("_p")).agg(F.sum(y).cast("double").alias("_pos"), F.sum(1 - F.col(y)).cast("double").alias("_neg"))
-    below = F.sum("_neg").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_neg")
-    return by.withColumn("_won", F.col("_pos") * (below + F.col("_neg") / 2)).agg((F.sum("_won") / (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
+    """Area under the curve from counts by probability: pairs won, ties half."""
+    by = scan.below(rows, p, {"pos": F.col(y).cast("double"), "neg": (1 - F.col(y)).cast("double")})
+    won = F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)
+    return by.agg((F.sum(won) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def feed_health(tape: DataFrame, period: int, gap: int) -> DataFrame:
     """Messages, gaps over the limit and the longest gap, by symbol and period."""
-    w = Window.partitionBy("symbol").orderBy("t", "seq")
-    rows = tape.withColumn("idle", F.col("t") - F.lag("t").over(w)).withColumn("period", F.floor(F.col("t") / F.lit(period)).cast("long"))
+    made = labels.over_rows(scan.indexed(tape, 86_400_000_000), 4096, lambda r, w: r.withColumn("idle", F.col("t") - F.lag("t").over(w)), back=1)
+    rows = made.withColumn("period", F.floor(F.col("t") / F.lit(period)).cast("long"))
     return rows.groupBy("symbol", "period").agg(F.count("*").alias("messages"), F.sum((F.coalesce("idle", F.lit(0)) > gap).cast("long")).alias("gaps"), F.max("idle").alias("max_gap"))
 
 

@@ -119,7 +119,8 @@ def scored_trades(spark, d):
 SCORED = "SELECT (CAST(trunc(notional) AS BIGINT) % 1000) / 1000.0 AS p, CAST(net > 0 AS INTEGER) AS y FROM trades"
 
 
-@query("A18_decile_lift", "decile n|rate lift", "trades", sql=f"""SELECT CAST(len(list_filter(e, lambda x: x < p)) + 1 AS INTEGER) AS decile, count(*) AS n, avg(y) AS rate, avg(y) / any_value(base) AS lift FROM ({SCORED}), (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e, avg(y) AS base FROM ({SCORED})) GROUP BY 1""")
+@query("A18_decile_lift", "decile n|rate lift", "trades", sql=f"""SELECT decile, CAST(sum(n) AS BIGINT) AS n, sum(pos) / sum(n) AS rate, (sum(pos) / sum(n)) / (any_value(allpos) / any_value(total)) AS lift FROM (SELECT *, CAST(floor(10 * (sum(n) OVER (ORDER BY p) - n) / sum(n) OVER ()) AS INTEGER) + 1 AS decile, sum(n) OVER () AS total, sum(pos) OVER () AS allpos
+  FROM (SELECT p, count(*) AS n, sum(y) AS pos FROM ({SCORED}) GROUP BY p)) GROUP BY decile""")
 def _(spark, d):
     return stats.decile_lift(scored_trades(spark, d))
 
