@@ -277,13 +277,13 @@ SYM = "CASE WHEN event_type = 'click' OR event_type = 'view' AND event_id % 2 =
 
 @query("P2_event_symbol", "seq symbol", sql=f"SELECT event_id AS seq, {SYM} AS symbol FROM events")
 def _(spark, d):
-    return user_events(spark, d).withColumn("symbol", readers.event_symbol(F.col("v")))
+    return user_events(spark, d).withColumn("symbol", readers.event_symbol(F.col("raw")))
 
 
 @query("P3_route", "seq symbol routed", sql=f"SELECT event_id AS seq, {SYM} AS symbol, coalesce({SYM} IN ('S0', 'S2'), false) AS routed FROM events")
 def _(spark, d):
     watch = spark.range(4).filter("id % 2 = 0").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("symbol"))
-    return readers.route(user_events(spark, d).withColumn("symbol", readers.event_symbol(F.col("v"))), watch)
+    return readers.route(user_events(spark, d).withColumn("symbol", readers.event_symbol(F.col("raw"))), watch)
 
 
 @query("P4_account_positions", "seq symbol own", "tape", sql="SELECT seq, 'S' || CAST(w AS VARCHAR) AS symbol, symbol = 'S' || CAST(w AS VARCHAR) AS own FROM tape, (SELECT unnest([0, 1, 2, 3]) AS w) WHERE seq % 50 = 0")
@@ -296,7 +296,7 @@ def _(spark, d):
 
 @query("P5_algo_fields", "seq algo_id client_algo_id status actual_order_id", sql="""SELECT event_id AS seq, CAST(event_id AS VARCHAR) AS algo_id, CASE WHEN event_id % 2 = 1 THEN 'bot-1' END AS client_algo_id, CASE WHEN event_id % 2 = 1 THEN '' ELSE 'NEW' END AS status, CASE WHEN event_id % 2 = 1 THEN '9' END AS actual_order_id FROM events WHERE event_type = 'view'""")
 def _(spark, d):
-    return user_events(spark, d).filter("kind = 'algo'").select("seq", *readers.algo_fields(F.col("v")))
+    return user_events(spark, d).filter("kind = 'algo'").select("seq", *readers.algo_fields(F.col("raw")))
 
 
 @query("P6_P7_protective", "stop_id owned protective", sql="SELECT o_orderkey AS stop_id, o_orderkey % 4 = 0 AS owned, o_orderkey % 4 = 0 AND o_orderstatus = 'F' AND o_orderkey % 8 = 0 AS protective FROM orders")
@@ -408,7 +408,7 @@ def heads(spark, d):
     return rows, {"tp_hit": models.fit_head(rows, NAMES, "tp_hit", "logistic"), "trend": models.fit_head(rows, NAMES, "fwd", "squaredError"), "quality": models.fit_head(rows, NAMES, "fwd", "huber")}
 
 
-@query("M2_M3_F40_scores", "symbol seq direction|p_tp trend_confidence confidence")
+@query("M2_M3_M6_F40_scores", "symbol seq direction|p_tp trend_confidence confidence")
 def _(spark, d):
     rows, made = heads(spark, d)
     scored = models.score(made["trend"], models.score(made["tp_hit"], rows, out="p_tp"), out="pred")

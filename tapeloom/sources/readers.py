@@ -127,12 +127,18 @@ def snapshots(raw: DataFrame, text: str = "raw") -> DataFrame:
     return rows.select(*[c for c in raw.columns if c != text], "j.status", "j.side", total.alias("total_qty"), F.coalesce("j.original_qty", total).alias("original_qty"), "j.avg_entry_price", "j.dca_step", entries.alias("entries"))
 
 
-def event_symbol(v: Column) -> Column:
-    """The first non-blank s in o, a or the event itself, else s or symbol one level down; upper case; null if none is there."""
+def nested(raw: Column) -> Column:
+    """The object values of a JSON object, as JSON texts in their order; null for anything else."""
+    return F.filter(F.map_values(F.from_json(raw, "map<string,string>")), lambda x: F.ltrim(x).startswith("{"))
+
+
+def event_symbol(raw: Column) -> Column:
+    """The first non-blank s in o, a or the event itself, else the first nested object that carries s or symbol; upper case; null if
+    none is there: a symbol is never guessed."""
     clean = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
-    known = [clean(field(v, p)) for p in ("$.o.s", "$.a.s", "$.s")]
-    deep = [clean(field(v, f"$.{k}.{n}")) for k in ("ao", "order", "data") for n in ("s", "symbol")]
-    return F.coalesce(*known, *deep)
+    of = lambda x: F.coalesce(clean(F.get_json_object(x, "$.s")), clean(F.get_json_object(x, "$.symbol")))
+    known = [clean(F.get_json_object(raw, p)) for p in ("$.o.s", "$.a.s", "$.s")]
+    return F.coalesce(*known, F.get(F.filter(F.transform(nested(raw), of), lambda x: x.isNotNull()), F.lit(0)))
 
 
 def route(events: DataFrame, watchlist: DataFrame) -> DataFrame:
@@ -140,11 +146,17 @@ def route(events: DataFrame, watchlist: DataFrame) -> DataFrame:
     return events.join(F.broadcast(watchlist.select("symbol").distinct().withColumn("routed", F.lit(True))), "symbol", "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
 
 
-#: Spellings of the fields of conditional-order events, and the wrappers they come in.
+#: Spellings of the fields of conditional-order events.
 ALIASES = {"algo_id": ("algoId", "aid"), "client_algo_id": ("clientAlgoId", "caid"), "status": ("algoStatus", "X"), "actual_order_id": ("actualOrderId", "aoi")}
-WRAPPERS = ("$", "$.o", "$.ao", "$.a", "$.data", "$.data.o", "$.o.ao", "$.payload.order")
 
 
-def algo_fields(v: Column) -> list[Column]:
-    """P5: each field under any of its names in any known wrapper; an empty string stays empty. S is the side, never the status."""
-    return [F.coalesce(*(field(v, f"{w}.{n}") for w in WRAPPERS for n in names)).alias(out) for out, names in ALIASES.items()]
+def algo_fields(raw: Column) -> list[Column]:
+    """P5: each field under any of its names, in the event or in objects up to two levels down, whatever wraps them. An empty string stays
+    empty. S is the side, never the status; ai is no id."""
+    first = nested(raw)
+    objects = F.concat(F.array(raw), F.coalesce(first, F.array().cast("array<string>")), F.coalesce(F.flatten(F.transform(first, nested)), F.array().cast("array<string>")))
+
+    def find(name: str) -> Column:
+        return F.get(F.filter(F.transform(objects, lambda x: F.get_json_object(x, f"$.{name}")), lambda x: x.isNotNull()), F.lit(0))
+
+    return [F.coalesce(*map(find, names)).alias(out) for out, names in ALIASES.items()]

@@ -126,3 +126,15 @@ def test_empty_tables(spark):
 
 def test_break_even_of_the_quoted_inputs():
     assert (0.10 + 0.000732 * 40) / (0.10 + 0.0746) == pytest.approx(0.741, abs=0.01)
+
+
+def test_symbols_and_algo_fields_in_any_wrapper(spark):
+    raw = [
+        '{"e":"X","o":{"s":" "},"zz":{"q":1,"symbol":"ethusdt"}}', '{"s":"btc"}', '{"o":{"i":1}}', "[1, 2", '{"a":{"s":"sol"},"s":"no"}',
+        '{"w":{"u":{"aid":"7","X":"NEW","S":"BUY","ai":"9","caid":""}}}',
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")
+    got = df.select("i", readers.event_symbol(F.col("raw")).alias("s"), *readers.algo_fields(F.col("raw"))).orderBy("i").collect()
+    assert [r["s"] for r in got] == ["ETHUSDT", "BTC", None, None, "SOL", None]
+    assert (got[5]["algo_id"], got[5]["client_algo_id"], got[5]["status"], got[5]["actual_order_id"]) == ("7", "", "NEW", None)
+    assert got[3]["algo_id"] is None
