@@ -22,7 +22,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 IS_SPACE = re.compile(f"[{SPACE}]")
 #: Characters of a leaf of the tree; remembered units.
-LEAF, MEMORY = 8_192, 300_000
+LEAF, MEMORY = 8_192, 150_000
 
 
 class Codec:

@@ -16,6 +16,8 @@ ARROW = {
 }
 #: Rows that become Python objects at a time, so that a batch of long texts stays small.
 SLICE = 128
+#: Rows that go to Python at a time.
+BATCH = "1024"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,6 +62,7 @@ def map_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]]
                 part = batch.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays(_columns(outputs, f(*(c.to_pylist() for c in part.columns))), names=[n for n, _ in outputs])
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return df.select(*inputs).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in outputs))
 
 
@@ -82,6 +85,7 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *_columns(outputs, made)], names=[*rest, *new_names])
 
     new_names = [n for n, _ in outputs]
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return source.mapInArrow(run, schema)
 
 

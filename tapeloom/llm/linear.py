@@ -18,7 +18,7 @@ from .common import map_columns
 MASK = (1 << 24) - 1
 #: ASCII letters go to lower case, other ASCII signs but digits become spaces; bytes of other scripts stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
-CACHE = 300_000
+CACHE = 150_000
 
 
 def words(text: str | None) -> list[bytes]:
