@@ -124,7 +124,7 @@ def reference_encoding():
 
 def test_bpe_tree_of_tiny_leaves(reference_encoding):
     r = random.Random(5)
-    alphabet = "ab'st  \n\t  \x1c\x85éß1 2.!d're'll\U0001f600<|endoftext|>"
+    alphabet = "ab'st  \n\t  　 \x1c\x85\xa0éß1 2.!d're'll\U0001f600<|endoftext|>"
     for leaf in (1, 2, 5):
         codec = bpe.Codec(queries.RANKS, public_tokenizers.PATTERN, leaf)
         for _ in range(1500):
@@ -399,6 +399,7 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
     assert html.main_text("plain &am") == "plain &am"
     assert html.main_text("<article><p>a</p></article><p>b</p>") == "a"
+    assert html.main_text("<main><p>m</p><article><p>a</p></article></main><p>b</p>") == "a" and html.main_text("<main><p>m</p></main><p>b</p>") == "m"
     assert html.main_text("<p>a</p><div>b<div>c</div>d</div>") == "a\n\nb\n\nc\n\nd"
 
 
