@@ -37,14 +37,18 @@ def word_features(word: bytes) -> tuple[int, ...]:
 
 class Features:
     """Features of texts among ``chosen`` (all, if None). What words give is remembered, up to a bound.
-    ``more(text)`` adds hashed features of the text as a whole."""
+    ``more(text, words)`` adds hashed features of the text as a whole."""
 
     def __init__(self, chosen=None, more=None):
         self.chosen, self.more, self.memory = chosen, more, {}
 
     def __call__(self, text: str | None) -> set[int]:
+        return self.of(text, words(text))
+
+    def of(self, text: str | None, parts: list[bytes]) -> set[int]:
+        """The features of a text whose words are known."""
         memory, chosen, found = self.memory, self.chosen, set()
-        for word in set(words(text)):
+        for word in set(parts):
             got = memory.get(word)
             if got is None:
                 got = word_features(word)
@@ -54,7 +58,7 @@ class Features:
             if got:
                 found.update(got)
         if self.more:
-            found.update(x for x in self.more(text) if chosen is None or x in chosen)
+            found.update(x for x in self.more(text, parts) if chosen is None or x in chosen)
         return found
 
 
@@ -117,9 +121,15 @@ def fit_softmax(hits: list[list[int]], targets: np.ndarray, chosen: list[int], l
     return {"bias": w[-1].astype(float), "weights": {f: w[i].astype(float) for f, i in at.items()}}
 
 
-def posterior(model: dict, found: set[int]) -> np.ndarray:
-    z = model["bias"].copy()
-    for f in sorted(found):  # in one order, so that sums are the same everywhere
-        z += model["weights"][f]
-    z = np.exp(z - z.max())
-    return z / z.sum()
+class Scorer:
+    """Posteriors of feature sets under a model; sums go in one order, so that they are the same everywhere."""
+
+    def __init__(self, model: dict):
+        self.at = {f: i for i, f in enumerate(sorted(model["weights"]))}
+        self.bias = np.asarray(model["bias"], float)
+        self.table = np.array([model["weights"][f] for f in sorted(model["weights"])], float).reshape(len(self.at), len(self.bias))
+
+    def __call__(self, found: set[int]) -> np.ndarray:
+        z = self.bias + self.table[sorted(map(self.at.__getitem__, found))].sum(0) if found else self.bias
+        z = np.exp(z - z.max())
+        return z / z.sum()

@@ -26,11 +26,10 @@ def domains_of(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).filter(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
 
 
-def shape(text: str | None) -> list[int]:
+def shape(text: str | None, found: list[bytes]) -> list[int]:
     """Hashed features of a text as a whole: shares of signs, upper case and repeated words, in eight steps each."""
     raw = (text or "").encode("utf-8", "replace")
     n = max(1, len(raw))
-    found = linear.words(text)
     upper = n - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     signs = n - len(raw.translate(None, b"|#$%&*!=<>~^_{}[]"))
     repeats = sum(a == b for a, b in zip(found, found[1:], strict=False))
@@ -60,8 +59,13 @@ def posteriors(documents: DataFrame, model: dict) -> DataFrame:
     """``documents`` with n_tokens (words of the whole text) and posterior (by domain)."""
 
     def make():
-        features = linear.Features(frozenset(model["weights"]), shape)
-        return lambda texts: {"n_tokens": [len((t or "").split()) for t in texts], "posterior": [linear.posterior(model, features(t)).tolist() for t in texts]}
+        features, scorer = linear.Features(frozenset(model["weights"]), shape), linear.Scorer(model)
+
+        def f(texts):
+            parts = [linear.words(t) for t in texts]
+            return {"n_tokens": [len(p) for p in parts], "posterior": [scorer(features.of(t, p)).tolist() for t, p in zip(texts, parts, strict=True)]}
+
+        return f
 
     return add_columns(documents, ["text"], [("n_tokens", "long"), ("posterior", "array<double>")], make)
 

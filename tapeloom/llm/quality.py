@@ -92,8 +92,8 @@ def score(documents: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """``documents`` with ``name``: how likely the document is good, from the whole text. A null text counts as empty."""
 
     def make():
-        features = linear.Features(frozenset(model["weights"]), shape)
-        return lambda texts: {name: [float(linear.posterior(model, features(t))[1]) for t in texts]}
+        features, scorer = linear.Features(frozenset(model["weights"]), shape), linear.Scorer(model)
+        return lambda texts: {name: [float(scorer(features(t))[1]) for t in texts]}
 
     return add_columns(documents, ["text"], [(name, "double")], make)
 

@@ -98,8 +98,8 @@ def score(documents: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """``documents`` with ``name``: how likely label 1 is, from the whole text alone. A null text counts as empty."""
 
     def make():
-        features, posterior = linear.Features(frozenset(model["weights"])), linear.posterior
-        return lambda texts: {name: [float(posterior(model, features(t))[1]) for t in texts]}
+        features, scorer = linear.Features(frozenset(model["weights"])), linear.Scorer(model)
+        return lambda texts: {name: [float(scorer(features(t))[1]) for t in texts]}
 
     return add_columns(documents, ["text"], [(name, "double")], make)
 
