@@ -81,11 +81,13 @@ def keyed(points: DataFrame, depth: int) -> DataFrame:
     if depth == 0:
         known = masks((1 << 64) - 1)
         return points.select("fp", F.explode(F.array(*map(bits_of, known))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    outer: dict[int, list[int]] = {0: [0]}
-    for _ in range(depth):
-        outer = {f: [f | m for m in masks(((1 << 64) - 1) & ~f)] for fixed in outer.values() for f in ([0] if fixed == [0] else fixed)}
-    table = F.create_map(*(x for f, inner in outer.items() for x in (bits_of(f), F.array(*map(bits_of, inner)))))
-    return points.select("fp", F.explode(table[F.col("mask")]).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    level = {0: masks((1 << 64) - 1)}
+    for _ in range(depth):  # masks of the level before, and those of each
+        level = {f: [f | m for m in masks(((1 << 64) - 1) & ~f)] for f in sorted({f for inner in level.values() for f in inner})}
+    table = F.expr("map(" + ", ".join(f"{signed(f)}L, array({', '.join(f'{signed(m)}L' for m in inner)})" for f, inner in level.items()) + ")")
+    inner = F.coalesce(table[F.col("mask")], F.raise_error(F.concat(F.lit("no blocks for the mask "), F.hex("mask"))))
+    rows = points.select("fp", F.explode(inner).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    return rows.distinct()  # two ways may lead to one mask
 
 
 def forest(points: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:

@@ -229,6 +229,29 @@ def test_links_find_planted_distances(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+@pytest.mark.parametrize("large", [4, 12, 35])
+def test_links_of_large_buckets(spark, monkeypatch, large):
+    """A centre and its flips of one bit meet only in buckets that hold the centre's blocks: at depth 0 of over 40 of them, at depth 1 of 30,
+    at depth 2 of at most 21."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    centre = 0xB7E151628AED2A6A
+    points = [simhash.signed(x) for x in [centre, *(centre ^ 1 << i for i in range(64))]]
+    links = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in points], "fp long")).collect()]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in links)
+    group = {points[0]}
+    for _ in points:
+        group |= {x for link in links if not group.isdisjoint(link) for x in link}
+    assert group == set(points)
+
+
+def test_masks_of_every_depth_have_blocks(spark):
+    rows = spark.createDataFrame([(12345,)], "fp long")
+    for depth, fixed in ((0, 21), (1, 35), (2, 44)):
+        rows = simhash.keyed(rows, depth).cache()
+        got = [r["mask"] for r in rows.collect()]
+        assert got and all((m & (1 << 64) - 1).bit_count() >= fixed - 1 for m in got)
+
+
 def test_one_of_each(spark, docs):
     kept = simhash.one_of_each(docs).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(slow_components([(r["doc_id"], slow_fingerprint(r["text"])) for r in docs.filter("doc_id IS NOT NULL").collect()]).values()))
