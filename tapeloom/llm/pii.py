@@ -1,21 +1,24 @@
 """Personal data: exact base patterns, and terms that disclose protected entities, found from corpus co-occurrence.
 
 A base span's value is a protected entity. Over the whole corpus, Spark counts each term and each term's occurrences
-near each entity, by context. A term discloses an entity if, given the term, the entity is likely, far likelier than it
-is without it, and if contexts differ enough that copies of one passage don't count as evidence. Such terms are
-generalised wherever they occur.
+near each entity, by document. A term discloses an entity if, given the term, the entity is likely, far likelier than it
+is without it, and if documents that are no near-copies of each other hold both, so that copies of one passage count once.
+Such terms are generalised wherever they occur.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import add_columns, map_columns, stored
+from .components import components
 from .linear import words
+from .simhash import fingerprint, links
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns. A match of e-mail is found from its domain, leftwards over the local part.
@@ -27,7 +30,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Words on each side of an entity, contexts and share that make a term disclosing, bits that it must reveal.
+#: Words on each side of an entity, documents unlike each other and share that make a term disclosing, bits that it must reveal.
 NEAR, CONTEXTS, SHARE, BITS = 6, 4, 0.5, 8.0
 #: Disclosing terms up to which each task holds all of them; beyond, they are joined to the documents by term.
 HELD = 100_000
@@ -85,10 +88,11 @@ def is_term(word: bytes) -> bool:
 
 
 def gather(documents: DataFrame) -> DataFrame:
-    """term, entity, context, n: how often each term occurs (entity null), and near each entity, by context."""
+    """term, entity, fp, n: how often each term occurs (entity and fp null), and near each entity, by the fingerprint of the document."""
 
     def make():
-        from xxhash import xxh64_intdigest
+        import numpy as np
+        from xxhash import xxh64_intdigest as digest
 
         def f(texts):
             totals: Counter = Counter()
@@ -98,33 +102,47 @@ def gather(documents: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 plain = masked(text, spans) if spans else text
                 totals.update((w, None, None) for w in words(plain) if is_term(w))
+                if not spans:
+                    continue
+                at, known = [], []
+                for m in TERM.finditer(plain):
+                    if w := words(m[0]):
+                        at.append(m.start())
+                        known.append(w[0])
+                fp = int(np.uint64(fingerprint(text, digest=digest)).astype(np.int64))
                 for span in spans:
-                    left = words(plain[max(0, span[0] - 160) : span[0]])[-NEAR:]
-                    right = words(plain[span[2] : span[2] + 160])[:NEAR]
-                    who, around = entity(text, span), sorted((xxh64_intdigest(w) >> 1, w) for w in {*left, *right})
-                    for _, w in around:
-                        if is_term(w):  # its context: the least hash of another word about; copies with a few changes mostly share it
-                            totals[w, who, next((h for h, x in around if x != w), 0)] += 1
-            return {"term": [k[0].decode("utf-8", "replace") for k in totals], "entity": [k[1] for k in totals], "context": [k[2] for k in totals], "n": list(totals.values())}
+                    i, j, who = bisect_left(at, span[0]), bisect_left(at, span[2]), entity(text, span)
+                    for w in {*known[max(0, i - NEAR) : i], *known[j : j + NEAR]}:
+                        if is_term(w):
+                            totals[w, who, fp] += 1
+            return {"term": [k[0].decode("utf-8", "replace") for k in totals], "entity": [k[1] for k in totals], "fp": [k[2] for k in totals], "n": list(totals.values())}
 
         return f
 
-    part = map_columns(documents, ["text"], [("term", "string"), ("entity", "string"), ("context", "long"), ("n", "long")], make)
-    return part.groupBy("term", "entity", "context").agg(F.sum("n").alias("n"))
+    part = map_columns(documents, ["text"], [("term", "string"), ("entity", "string"), ("fp", "long"), ("n", "long")], make)
+    return part.groupBy("term", "entity", "fp").agg(F.sum("n").alias("n"))
 
 
 def disclosing_terms(documents: DataFrame, contexts: int = CONTEXTS, share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """term, and the entity kind it discloses most of: terms past the thresholds, from counts over all documents."""
+    """term, and the entity kind it discloses most of: terms past the thresholds, from counts over all documents. ``contexts``: documents with
+    term and entity; those that SimHash links (among all with an entity) count as one."""
     counts = stored(gather(documents))
-    pairs = counts.filter(F.col("entity").isNotNull()).groupBy("term", "entity").agg(F.sum("n").alias("near"), F.count("context").alias("contexts"))
-    known = pairs.filter(F.col("contexts") >= contexts)
+    by_doc = counts.filter(F.col("entity").isNotNull())
+    pairs = by_doc.groupBy("term", "entity").agg(F.sum("n").alias("near"), F.count("fp").alias("documents"))
+    known = pairs.filter(F.col("documents") >= contexts)
     totals = counts.filter(F.col("entity").isNull()).select("term", F.col("n").alias("total"))
     size = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).head()[0]
     frequency = pairs.groupBy("entity").agg(F.sum("near").alias("entity_near"))
     rated = known.join(totals.hint("merge"), "term").join(frequency.hint("merge"), "entity")
     p = F.col("near") / F.col("total")
     gain = F.log2(p * F.lit(float(max(1, size))) / F.col("entity_near"))
-    return rated.filter((p >= share) & (gain >= bits)).groupBy("term").agg(F.max_by(F.split("entity", " ")[0], "near").alias("kind"))
+    rated = stored(rated.filter((p >= share) & (gain >= bits)).select("term", "entity", "near"))
+    if not rated.isEmpty():  # else copies needn't be told apart
+        groups = components(stored(links(by_doc.select("fp").distinct())))
+        unlike = by_doc.join(groups.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+        unlike = unlike.select("term", "entity", F.coalesce("component", "fp").alias("component")).distinct().groupBy("term", "entity").count()
+        rated = rated.join(unlike.filter(F.col("count") >= contexts).hint("merge"), ["term", "entity"])
+    return rated.groupBy("term").agg(F.max_by(F.split("entity", " ")[0], "near").alias("kind"))
 
 
 def find(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:

@@ -400,6 +400,20 @@ def test_disclosing_terms(spark):
         pii.HELD = old
 
 
+def test_signature_in_unlike_documents(spark):
+    """At the production thresholds: one surrounding in unlike documents is evidence, near-copies of one document are not."""
+    sign = "Kind regards from Quillhaven of the office reach quillhaven@mail.example.org or visit the office any day"
+    texts = [f"{words_of(300, i)} {sign} {words_of(40, 700 + i)}" for i in range(6)]
+    base = f"{words_of(400, 50)} written by Copyfold person at copyfold@mail.example.org once {words_of(400, 51)}".split()
+    texts += [" ".join([*base[: 20 * i], f"changed{i}", *base[20 * i + 1 :]]) for i in range(1, 19)]
+    texts += [f"the office of kind regards from any day or visit reach person written {words_of(300, 100 + i)}" for i in range(40)]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert all((a ^ b).bit_count() > 4 for i, a in enumerate(fps[:6]) for b in fps[:i])
+    assert len(set(slow_components(list(enumerate(fps)))[i] for i in range(6, 24))) < 4 <= len(set(fps[6:24]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [tuple(r) for r in pii.disclosing_terms(df).collect()] == [("quillhaven", "email")]
+
+
 def test_pii_query_and_empty(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op8_pii(spark, SF).collect():
