@@ -448,6 +448,16 @@ def test_template_is_what_stays():
     assert html.template([pages[0]] * 8) == []  # copies prove nothing
 
 
+def test_template_larger_than_the_content():
+    menu = "".join(f"<div>{words_of(4, 300 + i)}</div>" for i in range(20))
+    pages = [f"<body>{menu}<p>{words_of(60, i)}</p></body>" for i in range(8)]
+    made = html.template(pages)
+    assert len(made) == 20 and html.main_text(pages[0], made) == words_of(60, 0)
+    base = [words_of(100, 400 + i) for i in range(5)]  # copies with a changed word each still prove nothing
+    copies = ["<body>" + "".join(f"<p>{t + f' changed{i}' if i % 5 == j else t}</p>" for j, t in enumerate(base)) + "</body>" for i in range(8)]
+    assert html.template(copies) == []
+
+
 def test_pages_query(spark):
     rows = [(1, None, None), (2, "http://a.b/x", None), (3, "http://a.b/y", ""), (4, "nonsense", "<p>x</p>"), (4, "nonsense", "<p>x</p>")]
     rows += [(10 + i, "http://host.x/" + str(i), f"<body><p>Welcome to the site</p><p>{words_of(20, i)}</p></body>") for i in range(8)]
