@@ -15,19 +15,18 @@ from . import linear
 from .common import add_columns, bounded_ids, held_out, map_columns, stored
 from .html import host, main_text
 
-#: Labelled rows at most, chosen by hash; features at most; features that count in full; weight of a coarser prior; languages at most.
-ROWS, FEATURES, FULL, WEIGHT, LANGUAGES = 8_192, 2_048, 24, 8.0, 32
+#: Labelled rows at most, chosen by hash; features at most; features that count in full; weight of a coarser prior.
+ROWS, FEATURES, FULL, WEIGHT = 8_192, 2_048, 24, 8.0
 
 
 def train(documents: DataFrame, rows: int = ROWS, features: int = FEATURES) -> tuple[list[str], dict]:
-    """The languages (the most frequent ones, if more than LANGUAGES), and log likelihoods of features in each."""
+    """The languages of the labelled rows, and log likelihoods of features in each."""
     known = documents.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     few = stored(bounded_ids(known, "doc_id", rows).distinct())
     sample = stored(known.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id"))  # at most `rows` integers
-    names = [r["lang"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     if not names:
         return [], {}
-    names.sort()
     number = F.coalesce(*(F.when(F.col("lang") == x, F.lit(k)) for k, x in enumerate(names)))
     rows_ = sample.select("text", number.alias("target")).filter("target IS NOT NULL")
     chosen = linear.select_features(rows_, len(names), features)
@@ -71,8 +70,8 @@ def suffix(url) -> F.Column:
 
 
 def declared(html) -> F.Column:
-    """The two letters of the language that the page's html element declares, in lower case."""
-    return F.nullif(F.lower(F.regexp_extract(html, "(?is)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([A-Za-z]{2})", 1)), F.lit(""))
+    """The two or three letters of the language (the whole primary subtag) that the page's html element declares, in lower case."""
+    return F.nullif(F.lower(F.regexp_extract(html, "(?is)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([A-Za-z]{2,3})(?=[-_\"'\\s/>]|$)", 1)), F.lit(""))
 
 
 def softmax(logits: F.Column, languages: int) -> F.Column:
@@ -95,8 +94,8 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
     world = (world + 1) / (world.sum() + k)
 
     def likelihood(column: str) -> F.Column | None:
-        """Of each code, how often it goes with each language: codes are two letters, so the table is small."""
-        known = rows.filter(F.col(column).rlike("^[a-z]{2}$")).groupBy(column).agg(*sums).collect()
+        """Of each code, how often it goes with each language: codes are two or three letters, so the table is bounded."""
+        known = rows.filter(F.col(column).rlike("^[a-z]{2,3}$")).groupBy(column).agg(*sums).collect()
         if not known:
             return None
         table = {r[column]: np.array([r[f"s{i}"] for i in range(k)]) for r in known}

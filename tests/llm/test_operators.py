@@ -326,6 +326,15 @@ def test_language(spark, docs):
     assert langid.identify(docs.limit(0), pages).count() == 3
 
 
+def test_all_labelled_languages_and_whole_subtags(spark):
+    rows = [(i, words_of(20, i), f"l{i % 40:02}") for i in range(320)]
+    names, model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert names == [f"l{i:02}" for i in range(40)] and all(len(v) == 40 for v in model.values())
+    heads = {"fil": '<html lang="fil-PH">', "gsw": "<html class=x lang=gsw>", "en": "<html lang='EN_us'>", "de": "<html lang=de", None: '<html lang="english">'}
+    made = spark.createDataFrame([(k, v) for k, v in heads.items()], "want string, html string")
+    assert all(r["want"] == r["got"] for r in made.select("want", langid.declared(F.col("html")).alias("got")).collect())
+
+
 def test_declared_evidence_decides_short_texts(spark):
     rows = [("m", [0.0, 0.0], "de", None, "h")] * 3 + [("x", [0.0, -9.0], "en", None, "h")] * 40 + [("y", [-9.0, 0.0], "de", None, "h")] * 40
     df = spark.createDataFrame(rows, "k string, evidence array<double>, declared string, suffix string, host string")
