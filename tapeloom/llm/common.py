@@ -17,20 +17,21 @@ ARROW = {
 #: Rows that become Python objects at a time, so that a batch of long texts stays small.
 SLICE = 128
 #: Rows that go to Python at a time.
-BATCH = "1024"
+ARROW_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1024"
+#: A key is hot if it holds more than one row in so many.
+HOT = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this machine if all
+    tasks run on it (local mode, as in tests), else an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        return context.getCheckpointDir()
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return folder or context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -51,6 +52,12 @@ def _columns(outputs: list[tuple[str, str]], made: dict) -> list[pa.Array]:
     return [pa.array(made[name], type=ARROW[kind]) for name, kind in outputs]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Smaller batches for Python where the session sets no size of its own, so that batches of long texts stay small."""
+    if ARROW_ROWS not in spark.conf.getAll:
+        spark.conf.set(ARROW_ROWS, BATCH)
+
+
 def map_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]], make) -> DataFrame:
     """Rows made from slices of rows. ``make()`` runs once per task and returns ``f(*lists) -> {name: list}``; the
     outputs may have any number of rows. Only ``inputs`` reach Python."""
@@ -62,19 +69,20 @@ def map_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]]
                 part = batch.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays(_columns(outputs, f(*(c.to_pylist() for c in part.columns))), names=[n for n, _ in outputs])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    _small_batches(df.sparkSession)
     return df.select(*inputs).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in outputs))
 
 
 def add_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]], make) -> DataFrame:
     """``df`` with further columns made from ``inputs``; the other columns pass through untouched. Names of ``outputs``
-    replace columns of the same name."""
+    replace columns of the same name (in whatever case)."""
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-    new = {n for n, _ in outputs}
-    rest = [c for c in df.columns if c not in new]
-    source = df.select(*rest, *(F.col(c).alias(f"in {i}") for i, c in enumerate(inputs)))
-    schema = StructType([*df.select(*rest).schema.fields, *(StructField(n, _parse_datatype_string(t)) for n, t in outputs)])
+    new = {n.lower() for n, _ in outputs}
+    rest = [c for c in df.columns if c.lower() not in new]
+    kept = [F.col(f"`{c}`") for c in rest]
+    source = df.select(*kept, *(F.col(c).alias(f"in {i}") for i, c in enumerate(inputs)))
+    schema = StructType([*df.select(*kept).schema.fields, *(StructField(n, _parse_datatype_string(t)) for n, t in outputs)])
 
     def run(batches):
         f = make()
@@ -85,13 +93,47 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *_columns(outputs, made)], names=[*rest, *new_names])
 
     new_names = [n for n, _ in outputs]
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    _small_batches(df.sparkSession)
     return source.mapInArrow(run, schema)
 
 
+def packed(df: DataFrame, **columns) -> DataFrame:
+    """``df``'s rows as one column ``row``, beside columns of our own: no name of ours meets one of theirs. ``row.*`` gives them back."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    return df.select(row, *(c.alias(n) for n, c in columns.items()))
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row for each ``key``), inner or left. Keys that hold over a thousandth of the rows
+    (so at most a thousand keys) are broadcast; only the others are shuffled, so that a hot key isn't one task. Null keys find nothing.
+    ``counts`` (key, _rows): rows by key, where that is known."""
+    if counts is None:
+        counts = stored(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.sum("_rows")).head()[0] or 0
+    hot = counts.filter(F.col("_rows") > max(1_000, total // HOT)).select(key)
+    if not (keys := [r[0] for r in hot.collect()]):
+        whole = rows.filter(F.col(key).isNotNull()).join(table.hint("merge"), key, how)
+    else:
+        few = stored(table.join(F.broadcast(hot), key, "left_semi"))
+        often = F.col(key).isin(keys)
+        whole = rows.filter(often).join(F.broadcast(few), key, how).unionByName(rows.filter(~often).join(table.hint("merge"), key, how))
+    if how == "left":
+        whole = whole.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+    return whole
+
+
 def bounded_ids(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most ``bound`` keys, the first by hash: the same whatever the partitions are."""
-    return df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(bound)
+    """At most ``bound`` different keys, the first by hash: the same whatever the partitions are. Of a large table, only keys whose hash is
+    a multiple are looked at, some four times as many as are wanted."""
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    step = max(1, keys.count() // (4 * bound))
+    hashed = F.xxhash64(F.col(key))
+    return keys.filter(F.pmod(hashed, F.lit(step)) == 0).distinct().orderBy(hashed, key).limit(bound)
+
+
+def one_each(df: DataFrame, key: str, by: str) -> DataFrame:
+    """One row for each key, the one with the least hash of ``by``: rows that share a key don't widen a bounded sample. All columns stay."""
+    return df.groupBy(key).agg(F.min_by(F.struct(*(c for c in df.columns if c != key)), F.xxhash64(by)).alias("_one")).select(key, "_one.*")
 
 
 def held_out(doc_id) -> F.Column:

@@ -58,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((start, 0, m.end()))
                 past = m.end()
     if DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(x) <= 3 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
                 found.append((m.start(), 2, m.end()))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelmodel, linear
-from .common import add_columns, bounded_ids, held_out, map_columns, stored
+from .common import add_columns, bounded_ids, held_out, map_columns, one_each, stored
 from .mixing import shape
 
 #: Frequent words of the four languages.
@@ -18,12 +18,12 @@ STOPWORDS = frozenset(
         "le la les de et un une des en du que est pour dans par sur au avec pas el los las y se con por una del para al lo como su".split()
     )
 )
-#: Training rows at most, chosen by hash; features at most; score from which a document counts as good.
+#: Documents at most that the scorer learns from, chosen by hash; features at most; score from which a document counts as good.
 ROWS, FEATURES, THRESHOLD = 16_384, 1_024, 0.5
 
 
 def votes(text: str | None) -> list[int]:
-    """Heuristic labellers of one text: 1 good, -1 bad, 0 abstains. Very short texts get votes of length alone."""
+    """Heuristic labellers of one text: 1 good, -1 bad, 0 abstains. Very short texts get a vote of length alone."""
     raw = (text or "").encode("utf-8", "replace")
     found = linear.words(text)
     n, size = len(found), max(1, len(raw))
@@ -50,33 +50,24 @@ def votes(text: str | None) -> list[int]:
     ]
 
 
-def train(documents: DataFrame, labels: DataFrame | None = None, rows: int = ROWS, features: int = FEATURES) -> dict:
-    """The scorer, from at most ``rows`` documents chosen by hash, labelled or not. Where ``labels`` marks the quality of one
-    that isn't held out, that is one more labeller's vote."""
-    few = stored(bounded_ids(documents, "doc_id", rows).distinct())
-    sample = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `rows` integers
-    if labels is not None:
-        marks = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("mark"))
-        sample = sample.join(F.broadcast(stored(marks.join(F.broadcast(few), "doc_id", "left_semi"))), "doc_id", "left")
-    else:
-        sample = sample.withColumn("mark", F.lit(None).cast("int"))
+def train(documents: DataFrame, rows: int = ROWS, features: int = FEATURES) -> dict:
+    """The scorer. The labellers' votes are counted over all documents (at most 3 ** 10 patterns reach the driver) and the label model is fitted
+    to those counts; it sees no marks. The scorer learns the posteriors of at most ``rows`` documents chosen by hash, one text for each id."""
 
     def make_votes():
-        return lambda texts, marks: {"votes": [[*votes(t), 0 if m is None else 2 * m - 1] for t, m in zip(texts, marks, strict=True)]}
+        return lambda texts: {"votes": [votes(t) for t in texts]}
 
-    voted = stored(add_columns(sample, ["text", "mark"], [("votes", "array<int>")], make_votes))
-    cast = voted.groupBy("votes").count().toPandas()  # at most `rows` patterns
-    if not len(cast):
+    cast = map_columns(documents, ["text"], [("votes", "array<int>")], make_votes).groupBy("votes").count().collect()
+    if not cast:
         return {"bias": np.zeros(2), "weights": {}}
-    patterns = np.array([list(map(int, v)) for v in cast["votes"]])
-    counts = cast["count"].to_numpy(int)
-    model = labelmodel.fit(np.repeat(patterns, counts, axis=0), prior=0.8)
-    of = {tuple(map(int, v)): float(p) for v, p in zip(patterns, model["posterior"][np.cumsum(counts) - counts], strict=True)}
+    of, _ = labelmodel.of_patterns([list(r["votes"]) for r in cast], [r["count"] for r in cast], 0.8)
+    few = stored(bounded_ids(documents, "doc_id", rows))
+    sample = one_each(documents.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "doc_id", "text")  # at most `rows` integers
 
     def make_target():
-        return lambda texts, v: {"text": texts, "p": [of[tuple(x)] for x in v]}
+        return lambda texts: {"text": texts, "p": [of.get(tuple(votes(t)), 0.5) for t in texts]}
 
-    soft = map_columns(voted, ["text", "votes"], [("text", "string"), ("p", "double")], make_target)
+    soft = stored(map_columns(sample, ["text"], [("text", "string"), ("p", "double")], make_target))
     chosen = linear.select_features(soft.select("text", (F.col("p") >= 0.5).cast("int").alias("target")), 2, features, more=shape)
 
     def make_hits():
@@ -98,7 +89,10 @@ def score(documents: DataFrame, model: dict, name: str = "score") -> DataFrame:
     return add_columns(documents, ["text"], [(name, "double")], make)
 
 
-def quality(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted (1: good) for every document."""
-    scored = score(documents.select("doc_id", "text"), train(documents, labels)).drop("text")
+def quality(documents: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted (1: good) for every document, from its whole text alone. A null text counts as empty; empty and
+    long texts, null ids and repeated rows are scored like others (equal texts equally); an empty table gives no rows; other columns of
+    ``documents`` are left aside, whatever their names."""
+    rows = documents.select("doc_id", "text")
+    scored = score(rows, train(rows)).drop("text")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

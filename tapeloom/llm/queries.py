@@ -21,7 +21,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Two of 64-bit fingerprints that differ in at most 4 bits agree in at least two of six blocks. Fingerprints (each once,
 however many documents have it) are therefore joined on every pair of blocks. A bucket of many fingerprints is divided
-again by pairs of blocks of the bits that its key leaves free, so that one key never makes one task. In a bucket the
-distances are verified and a star for each component is kept: connectivity is whole, but its size is linear.
+again by pairs of blocks of the bits that its key leaves free, so that one key never makes one task; what is still large after the
+last division is linked over values halfway between. In a bucket the distances are verified and a star for each component is
+kept: connectivity is whole, but its size is linear.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, stored
+from .common import cut, join_hot, map_columns, packed, stored
 from .components import components
 
 BITS = 4
@@ -92,23 +93,21 @@ def keyed(points: DataFrame, depth: int) -> DataFrame:
 
 def forest(points: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     """A star for each component of ``points`` (distinct unsigned integers) under links of at most ``bits`` differing bits: pairs of its
-    first point and each other."""
-    n, parent = len(points), list(range(len(points)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    step = max(1, 2_000_000 // n)
-    for start in range(0, n, step):
-        near = np.bitwise_count(points[start : start + step, None] ^ points[None, :]) <= bits
-        for i, j in zip(*np.nonzero(near), strict=True):
-            a, b = root(int(i) + start), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return [(root(i), i) for i in range(n) if root(i) != i]
+    first point and each other. Points that aren't reached yet are compared with each that is: no link is listed."""
+    waiting, pairs = np.ones(len(points), bool), []
+    for first in range(len(points)):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        reached = [first]
+        while reached:
+            i = reached.pop()
+            near = np.flatnonzero(waiting)
+            near = near[np.bitwise_count(points[near] ^ points[i]) <= bits].tolist()
+            waiting[near] = False
+            reached += near
+            pairs += [(first, j) for j in near]
+    return pairs
 
 
 def bucket_links(batches):
@@ -151,6 +150,34 @@ def bucket_links(batches):
     yield flush()
 
 
+def halfway(points: DataFrame) -> DataFrame:
+    """a, b: links of buckets that stay large. Two fingerprints differ in at most BITS bits if and only if some value differs from each in at
+    most half as many. Every fingerprint is sent to all such values (of the bits that its mask leaves free), and those that meet at one
+    are linked to the least of them: linear in the bucket, whatever its size."""
+    free = [((1 << 64) - 1) & ~m for m in sorted({r["mask"] & ((1 << 64) - 1) for r in points.select("mask").distinct().collect()})]  # at most the masks of the last level
+
+    def flips(bits: int) -> list[int]:
+        at = [1 << i for i in range(64) if bits >> i & 1]
+        return [0, *(sum(x) for n in range(1, BITS // 2 + 1) for x in combinations(at, n))]
+
+    table = {signed(~f & ((1 << 64) - 1)): np.array([signed(x) for x in flips(f)], np.int64) for f in free}
+
+    def spread(batches):
+        for batch in batches:
+            fp, mask = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for start in range(0, len(fp), 512):
+                few, which = fp[start : start + 512], mask[start : start + 512]
+                met = [x ^ table[int(m)] for x, m in zip(few, which)]
+                if met:
+                    size = [len(x) for x in met]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(few, size)), pa.array(np.repeat(which, size)), pa.array(np.concatenate(met))], names=["fp", "mask", "value"])
+
+    rows = points.select("fp", "mask").mapInArrow(spread, "fp long, mask long, value long")
+    least = rows.groupBy("mask", "value").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = rows.join(least.hint("merge"), ["mask", "value"]).filter("fp != b")
+    return met.select(F.col("fp").alias("a"), "b").distinct()
+
+
 def links(points: DataFrame) -> DataFrame:
     """a, b: pairs of different fingerprints of ``points`` (column fp, each once) that connect all that differ in at most four bits,
     directly or by others, and no more."""
@@ -158,44 +185,46 @@ def links(points: DataFrame) -> DataFrame:
     for depth in range(DEPTH):
         rows = keyed(level, depth)
         rows = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("mask", "key"))).filter("m > 1")
-        last = depth == DEPTH - 1
-        large = None
-        if not last:
-            rows = stored(rows)  # few: most buckets hold one fingerprint
-            large = stored(rows.filter(F.col("m") > LARGE).select("fp", "mask"))
-        small = rows if last else rows.filter(F.col("m") <= LARGE)
+        rows = stored(rows)  # few: most buckets hold one fingerprint
+        small = rows.filter(F.col("m") <= LARGE)
         made = small.select("fp", "mask", "key").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(bucket_links, "a long, b long")
         whole = made if whole is None else whole.unionByName(made)
-        if last or large.isEmpty():
-            break
-        level = large
-    return whole
+        level = stored(rows.filter(F.col("m") > LARGE).select("fp", "mask"))
+        if level.isEmpty():
+            return whole
+    return whole.unionByName(halfway(level))
 
 
 def near_duplicates(documents: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links; its own, if none).
-    Documents without words have fingerprint zero and are linked like any other. Rows that share a doc_id stay."""
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links; its own, if none; null if no
+    row of the group has a doc_id). A null or empty text, or one without words, has fingerprint zero and is linked like any other; texts of
+    any length are read whole. Rows that share a doc_id stay, each with its own fingerprint. An empty table gives no rows; other
+    columns of ``documents`` are left aside, whatever their names."""
     marked = cut(fingerprints(documents.select("doc_id", "text"), words))
-    points = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    points = stored(points)
-    pairs = stored(links(points.select("fp")))
-    by_fp = components(pairs)  # node, component: by fingerprint
-    groups = points.join(by_fp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
-    groups = groups.withColumn("component", F.coalesce("component", "fp"))
-    least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = stored(groups.join(least.hint("merge"), "component").select("fp", "component_id"))
-    whole = marked.join(named.hint("merge"), "fp")
+    points = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_rows")))
+    by_fp = stored(components(stored(links(points.select("fp")))).withColumnRenamed("node", "fp"))  # linked fingerprints only
+    linked = stored(points.join(by_fp.hint("merge"), "fp"))
+    least = stored(linked.groupBy("component").agg(F.min("first").alias("component_id")))
+    named = join_hot(linked, least, "component").select("fp", "component_id")
+    alone = points.join(by_fp.select("fp").hint("merge"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    whole = join_hot(marked, stored(named.unionByName(alone)), "fp", counts=points.select("fp", "_rows"))
     return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, words: int = 4) -> DataFrame:
-    """The documents that stand for their component (the one with the smallest doc_id), each once, with all columns. Where one doc_id
-    has several rows, one of them stays; rows without a doc_id are their own only if none of their group has one."""
+    """The documents that stand for their component (the one with the smallest doc_id), each once, with all columns of ``documents``,
+    whatever their names. Where one doc_id has several rows, the one with the least hash of its text stays; rows without a doc_id
+    are their own only if none of their group has one, and one such row stays for each fingerprint. Null, empty and long texts and
+    empty tables are as in ``near_duplicates``."""
     groups = near_duplicates(documents, words)
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = documents.join(chosen.hint("merge").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    once, several = kept.filter("_rows = 1").drop("_rows"), kept.filter("_rows > 1").drop("_rows")
-    if chosen.filter("_rows > 1").isEmpty():
-        return once
-    first = several.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("_n = 1").drop("_n")
-    return once.unionByName(first)
+    chosen = stored(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct())
+    rows = packed(documents.filter(F.col("doc_id").isNotNull()), key=F.col("doc_id"), sign=F.xxhash64("text"))
+    kept = rows.groupBy("key").agg(F.min_by("row", "sign").alias("row")).join(chosen.hint("merge"), "key", "left_semi")
+    nameless = documents.filter(F.col("doc_id").isNull())
+    if not groups.filter("doc_id IS NULL AND component_id IS NULL").isEmpty():
+        own = groups.filter("component_id IS NULL").select("fingerprint").distinct()
+        signs = fingerprints(nameless.withColumn("doc_id", F.xxhash64("text")), words).select(F.col("doc_id").alias("sign"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+        signs = stored(signs.distinct().join(own.hint("merge"), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("sign").alias("sign")))
+        few = packed(nameless, sign=F.xxhash64("text")).join(signs.select("sign").hint("merge"), "sign", "left_semi").groupBy("sign").agg(F.first("row").alias("row"))
+        kept = kept.select("row").unionByName(few.select("row"))
+    return kept.select("row.*")
