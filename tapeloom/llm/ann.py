@@ -9,19 +9,22 @@ recall reaches the target.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids
+from .common import bounded_ids, one_each, stored
 from .vectors import blocks, dealt, merged, usable
 
-#: Rows the tree is fitted on, its arity and depth, calibration queries, the recall they must reach (over the 0.9 asked for).
-SAMPLE, ARITY, LEVELS, CALIBRATION, TARGET = 16_384, 8, 3, 96, 0.96
-#: Rows of a leaf that one group takes; queries that one group takes.
-CHUNK, QUERIES = 4_096, 4_096
+#: Rows at most that the tree is fitted on, its arity, calibration queries, the recall they must reach (over the 0.9 asked for).
+SAMPLE, ARITY, CALIBRATION, TARGET = 65_536, 8, 96, 0.96
+#: Rows that a leaf should hold; rows of the sample that a leaf needs at least. The tree is as deep as they allow.
+LEAF, FITTED = 64, 12
+#: Rows of a leaf, and queries, that one group takes: each row is shipped once for so many queries, and each visit once for so many rows.
+CHUNK, QUERIES = 16_384, 32_768
 
 
 def matrix(column) -> np.ndarray:
@@ -37,7 +40,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tree:
     """Nodes in one list: centres of the children, and where these are (a leaf is a negative number)."""
 
-    def __init__(self, sample: np.ndarray, arity: int = ARITY, levels: int = LEVELS, seed: int = 7):
+    def __init__(self, sample: np.ndarray, levels: int, arity: int = ARITY, seed: int = 7):
         self.centres: list[np.ndarray] = []
         self.children: list[list[int]] = []
         self.leaves = 0
@@ -125,24 +128,30 @@ def brute_force(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -
     return merged(rows.select("vec_id", "embedding").mapInArrow(run, SCHEMA), k, F.asc("score"))
 
 
-def fit(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, target: float = TARGET) -> tuple[Tree, int] | None:
-    """The tree, and how many leaves a search visits: the least number at which the mean recall of the calibration queries
-    reaches ``target``. None if there are no rows."""
-    few = rows.join(F.broadcast(bounded_ids(rows, "vec_id", sample)), "vec_id", "left_semi").select("embedding").toArrow()
-    asks = queries.join(F.broadcast(bounded_ids(queries, "vec_id", CALIBRATION)), "vec_id", "left_semi").limit(4 * CALIBRATION).toArrow()
-    if not few.num_rows:
-        return None
-    tree = Tree(matrix(few.column(0)))
-    if not asks.num_rows:
-        return tree, 1
+def depth(rows: int, sample: int) -> int:
+    """Levels of the tree: leaves of about LEAF rows, as far as the sample holds FITTED rows for each."""
+    leaves = max(1.0, min(rows / LEAF, min(rows, sample) / FITTED))
+    return max(1, round(math.log(leaves, ARITY)))
+
+
+def fit(rows: DataFrame, sample: int = SAMPLE) -> Tree:
+    """The tree, from at most ``sample`` rows chosen by hash, one for each vec_id."""
+    few = rows.join(F.broadcast(bounded_ids(rows, "vec_id", sample)), "vec_id")  # at most `sample` integers
+    few = one_each(few, "vec_id", "embedding").orderBy("vec_id").select("embedding").toArrow()
+    return Tree(matrix(few.column(0)), depth(rows.count(), sample))
+
+
+def calibrate(placed: DataFrame, tree: Tree, queries: DataFrame, k: int, target: float = TARGET) -> int:
+    """How many leaves a search visits: the least number at which the mean recall of the calibration queries (at most CALIBRATION, chosen by
+    hash, one for each vec_id) reaches ``target``, against brute force over all rows of ``placed``."""
+    asks = queries.join(F.broadcast(bounded_ids(queries, "vec_id", CALIBRATION)), "vec_id")
+    asks = one_each(asks, "vec_id", "embedding").toArrow()
     ids, points = asks.column("vec_id").to_numpy(), matrix(asks.column("embedding"))
-    true = brute_force(rows, ids, points, k).select("query_id", "vec_id")
-    leaves = tree_leaves(rows, tree).select("vec_id", "leaf")
-    true = leaves.join(F.broadcast(true), "vec_id").select("query_id", "leaf").toPandas()  # CALIBRATION * k rows
+    true = brute_force(placed, ids, points, k).select("query_id", "vec_id")
+    true = placed.select("vec_id", "leaf").join(F.broadcast(true), "vec_id").groupBy("query_id", "vec_id").agg(F.min("leaf").alias("leaf")).toPandas()  # CALIBRATION * k rows
     order = {int(i): {leaf: at for at, leaf in enumerate(tree.visits(p, tree.leaves))} for i, p in zip(ids, points, strict=True)}
     at = np.sort([order[q][leaf] for q, leaf in zip(true["query_id"], true["leaf"], strict=True)])
-    visits = int(at[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)]) + 1 if len(at) else 1
-    return tree, visits
+    return int(at[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)]) + 1 if len(at) else 1
 
 
 def tree_leaves(rows: DataFrame, tree: Tree) -> DataFrame:
@@ -158,19 +167,32 @@ def tree_leaves(rows: DataFrame, tree: Tree) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query (vec_id, embedding), nearest first, ties to the smaller
-    vec_id, itself no candidate. Null, zero, non-finite vectors take no part; nor do vectors of other length than most of the
-    sample has. Every row is indexed; leaves are dealt into chunks, so that a hot leaf is many groups."""
+    vec_id, itself no candidate. Null, zero, non-finite vectors and rows without vec_id take no part. Vectors of different length have no
+    distance: each length that queries have is searched on its own. Repeated vec_ids are candidates each on its own; an empty table gives no
+    rows; other columns are left aside, whatever their names."""
     rows, asks = usable(vectors, zero=False), usable(queries, zero=False)
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").head()
-    if length is None:
+    found = None
+    for n in sorted(r["n"] for r in asks.select(F.size("embedding").alias("n")).distinct().collect()):
+        made = _search(rows.filter(F.size("embedding") == n), asks.filter(F.size("embedding") == n), k, sample, target)
+        found = made if found is None else found.unionByName(made)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return found
+
+
+def _search(rows: DataFrame, asks: DataFrame, k: int, sample: int, target: float) -> DataFrame:
+    """``search`` among vectors of one length; there is a query. Every row is indexed; leaves are dealt into chunks, so that a hot leaf is many
+    groups."""
+    if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asks = rows.filter(F.size("embedding") == length[0]), asks.filter(F.size("embedding") == length[0])
-    tree, visits = fit(rows, asks, k, sample, target)
-    placed = tree_leaves(rows, tree)
-    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most ARITY ** LEVELS rows
+    tree = fit(rows, sample)
+    placed = stored(tree_leaves(rows, tree))
+    visits = calibrate(placed, tree, asks, k, target)
+    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row a leaf: at most sample / FITTED * ARITY
     nq = blocks(asks.count(), QUERIES)
-    chunks = F.create_map(*(F.lit(x) for leaf, n in sizes.items() for x in (leaf, blocks(n, CHUNK))))
-    left = placed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[F.col("leaf")]).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    table = placed.sparkSession.createDataFrame([(leaf, blocks(n, CHUNK)) for leaf, n in sizes.items()], "leaf int, chunks int")
+    chunks = F.broadcast(table)
+    left = placed.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).drop("chunks")
 
     def visit(batches):
         for b in batches:
@@ -181,8 +203,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
                     which = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
                     yield pa.RecordBatch.from_arrays([*(c.take(pa.array(which)) for c in part.columns), pa.array(np.concatenate(found).astype(np.int32))], names=["vec_id", "embedding", "leaf"])
 
-    right = asks.mapInArrow(visit, "vec_id long, embedding array<double>, leaf int").filter(F.col("leaf").isin(list(sizes)))
-    right = right.withColumn("q", dealt("vec_id", nq)).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[F.col("leaf")] - 1)))
+    right = asks.mapInArrow(visit, "vec_id long, embedding array<double>, leaf int").join(chunks, "leaf")
+    right = right.withColumn("q", dealt("vec_id", nq)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def score(key, cands: pa.Table, asked: pa.Table) -> pa.Table:
         if not cands.num_rows or not asked.num_rows:

@@ -1,11 +1,11 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Each block of candidates keeps, per dimension, its postings in order of impact (the component), cut into segments of
-about equal length that carry their impact quantised to the segment's bounds. A query's segments are processed in
-descending order of the most they can add. After a stretch of segments, each candidate has a proved upper bound: what
-it gathered, and for each dimension not yet met the best segment left there. The k-th best exact score among leading
-candidates is a proved lower bound. Candidates under it can't be members; processing stops once so few are left that rescoring
-them costs less than the next stretch, and these are rescored exactly. Without that, all segments are processed.
+Each block of candidates keeps, per dimension, its postings in order of impact (the component), cut into segments of about equal
+length. What a segment can add to a query's score at most is its quantised impact. Segments of all dimensions are processed in
+descending order of it: each candidate gathers the impacts of its postings and how many of its dimensions were met. A candidate's
+score is at most what it gathered, plus the impact of the next segment for each dimension that was begun but not yet met, plus the
+best of each dimension not begun. The k-th best exact score among the leaders is proved to be reached. Candidates under it can't be
+members. Processing stops when hardly more than k may still be members, or all is processed; these are rescored exactly.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .vectors import blocks, dealt, merged, usable
 
-SEGMENTS, CANDIDATES, QUERIES = 32, 16_384, 512
-#: What processing one posting costs, in components rescored.
-STRETCH = 3.0
+#: Segments of a dimension; candidates and queries of a block. Shipping grows with rows times queries times (1 / CANDIDATES + 1 / QUERIES).
+SEGMENTS, CANDIDATES, QUERIES = 64, 16_384, 8_192
+#: Shares of the postings after which proof is sought; possible members, in multiples of k, that are hardly more (or one in two hundred).
+STOPS, HARDLY = (0.25, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0), 4
 
 
 def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -34,39 +35,49 @@ class Index:
         by = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[by], values[by]
         n, dims = self.values.shape
-        self.postings = np.argsort(self.values, axis=0, kind="stable").T.astype(np.int32)  # per dimension, ascending impact
+        self.postings = np.ascontiguousarray(np.argsort(self.values, axis=0, kind="stable").T)  # per dimension, ascending impact
+        self.shift = int(dims).bit_length()
+        self.pack = 1 << self.shift
         self.edges = np.unique(np.linspace(0, n, min(n, segments) + 1).astype(np.int64))
         ranked = np.take_along_axis(self.values.T, self.postings, axis=1)
         self.low, self.high = ranked[:, self.edges[:-1]], ranked[:, self.edges[1:] - 1]
         self.sizes = np.diff(self.edges)
 
     def search(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """vec_ids and scores of the k best, best first, ties to the smaller id; ``own`` is no candidate."""
+        """vec_ids and scores of the k best, best first, ties to the smaller id; ``own`` is no candidate. ``done`` then holds the shares of
+        postings processed and of candidates rescored."""
         n, dims = self.values.shape
-        most = np.maximum(query[:, None] * self.low, query[:, None] * self.high).astype(float)
+        most = np.maximum(query[:, None] * self.low, query[:, None] * self.high)
         order = np.argsort(-most, axis=None, kind="stable")
-        reach = np.cumsum(np.tile(self.sizes, dims)[order])
-        for share, further in ((0.5, 0.25), (0.75, 0.25), (1.0, 0.0)):
+        impacts, of_dim = most.ravel()[order], order // len(self.sizes)
+        reach = np.cumsum(self.sizes[order % len(self.sizes)])
+        best_of, begun = most.max(axis=1), np.zeros(dims, np.int64)  # segments of each dimension that were processed
+        rising = query >= 0  # then the segment of most impact is a dimension's last, else its first
+        whole = np.repeat(most, self.sizes, axis=1) * self.pack + 1  # what a posting adds: its segment's impact, and one dimension met
+        gathered, members, at = np.zeros(n), np.arange(n), 0
+        for share in STOPS:
             upto = len(order) if share == 1.0 else int(np.searchsorted(reach, share * n * dims)) + 1
-            taken = np.zeros(most.shape, bool)
-            taken.flat[order[:upto]] = True
-            left = np.where(taken, -np.inf, most).max(axis=1)  # the best segment left in each dimension
-            left[np.isneginf(left)] = 0.0
-            lists, weights, sizes = [], [], []
-            for d in np.flatnonzero(taken.any(axis=1)):
-                segs = np.flatnonzero(taken[d])
-                first, last = segs[0], segs[-1] + 1  # contiguous: what a segment can add is monotone in its impact
-                lists.append(self.postings[d, self.edges[first] : self.edges[last]])
-                weights.append(most[d, first:last] - left[d])
-                sizes.append(self.sizes[first:last])
-            bound = left.sum() + np.bincount(np.concatenate(lists), np.repeat(np.concatenate(weights), np.concatenate(sizes)), n)
-            lead = np.argpartition(-bound, 16 * k)[: 16 * k + 1] if n > 16 * k + 1 else np.arange(n)
+            more = np.bincount(of_dim[at:upto], minlength=dims)
+            lists, weights = [], []
+            for d in np.flatnonzero(more).tolist():
+                first, last = begun[d], begun[d] + more[d]
+                part = slice(self.edges[-1 - last], self.edges[-1 - first]) if rising[d] else slice(self.edges[first], self.edges[last])
+                lists.append(self.postings[d, part])
+                weights.append(whole[d, part])
+            if lists:
+                gathered += np.bincount(np.concatenate(lists), np.concatenate(weights), n)
+            begun, at = begun + more, upto
+            packed = gathered.astype(np.int64)
+            met, ahead = packed & (self.pack - 1), impacts[at] if at < len(order) else 0
+            bound = (packed >> self.shift) + ((begun > 0).sum() - met) * ahead + best_of[begun == 0].sum()
+            lead = np.argpartition(-bound, HARDLY * k)[: HARDLY * k + 1] if n > HARDLY * k + 1 else np.arange(n)
             exact = self.values[lead] @ query
             exact = exact[self.ids[lead] != own] if own is not None else exact
-            floor = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-            members = np.flatnonzero(bound >= floor - 1e-6 * (1 + abs(floor)))
-            if len(members) * dims <= STRETCH * further * n * dims:  # to rescore them costs less than to process the next stretch
+            members = np.flatnonzero(bound >= np.partition(exact, len(exact) - k)[len(exact) - k]) if len(exact) >= k else np.arange(n)
+            if len(members) <= max(HARDLY * k, n // 200):
                 break
+        reach = reach[at - 1] if at else 0
+        self.done = reach / max(1, n * dims), len(members) / max(1, n)
         scores = self.values[members] @ query
         ids = self.ids[members]
         if own is not None:
@@ -79,7 +90,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` best by integer inner product (all candidates, if fewer), ties to the
     smaller vec_id, itself no candidate. Both tables: vec_id, values (array<long>). Only vectors of equal length meet.
     Candidates and queries are dealt into blocks; each pair of blocks is one group of bounded size, and each gives k
-    rows a query. Repeated vec_ids are candidates each on its own."""
+    rows a query. Repeated vec_ids are candidates each on its own. Null, empty, and odd vectors are left out by ``scaled``; empty tables give no
+    rows; other columns are left aside, whatever their names."""
     sizes = candidates.agg(F.count("*")).head()[0], queries.agg(F.count("*")).head()[0]
     nc, nq = blocks(sizes[0], CANDIDATES), blocks(sizes[1], QUERIES)
     left = candidates.select("vec_id", "values", F.size("values").alias("dims"), dealt("vec_id", nc).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"))
