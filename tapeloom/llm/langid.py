@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import add_columns, bounded_ids, held_out, map_columns, stored
+from .common import add_columns, bounded_ids, held_out, join_hot, map_columns, one_each, stored
 from .html import host, main_text
 
 #: Labelled rows at most, chosen by hash; features at most; features that count in full; weight of a coarser prior.
@@ -22,8 +22,8 @@ ROWS, FEATURES, FULL, WEIGHT = 8_192, 2_048, 24, 8.0
 def train(documents: DataFrame, rows: int = ROWS, features: int = FEATURES) -> tuple[list[str], dict]:
     """The languages of the labelled rows, and log likelihoods of features in each."""
     known = documents.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    few = stored(bounded_ids(known, "doc_id", rows).distinct())
-    sample = stored(known.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id"))  # at most `rows` integers
+    few = stored(bounded_ids(known, "doc_id", rows))
+    sample = stored(one_each(known.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id"), "doc_id", "text"))  # at most `rows` integers
     names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     if not names:
         return [], {}
@@ -109,9 +109,10 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
             logits = plus(logits, F.coalesce(table[F.col(column)], nothing))
     rows = rows.withColumn("domain", F.coalesce(F.regexp_extract("host", "([^.]+\\.[^.]+)$", 1), F.lit("")))
     hosts = rows.groupBy("domain", "host").agg(*sums)
+    hosts = stored(hosts)
     domains = hosts.groupBy("domain").agg(*(F.sum(f"s{i}").alias(f"d{i}") for i in range(k)))
-    table = stored(hosts.filter("host IS NOT NULL").join(domains.hint("merge"), "domain").select("host", F.array(*(F.col(f"s{i}") for i in range(k))).alias("at_host"), F.array(*(F.col(f"d{i}") for i in range(k))).alias("at_domain")))
-    rows = rows.join(table.hint("merge"), "host", "left")
+    table = stored(join_hot(hosts.filter("host IS NOT NULL"), stored(domains), "domain").select("host", F.array(*(F.col(f"s{i}") for i in range(k))).alias("at_host"), F.array(*(F.col(f"d{i}") for i in range(k))).alias("at_domain")))
+    rows = join_hot(rows, table, "host", "left")
     zero = F.array(*(F.lit(0.0) for _ in range(k)))
     at_host, at_domain = F.coalesce("at_host", F.col("own")), F.coalesce("at_domain", F.col("own"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -130,7 +131,9 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
 def identify(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id or page_id (the other is null), lang, probability, held_out for every document and page. Documents bring text
     and, as their host, their source; pages bring the main text, declared language, suffix and host. Without labelled
-    documents, lang is null."""
+    documents, lang is null. Null and empty texts, html, urls and sources say nothing, so what is left decides; texts of any length are read
+    whole; repeated rows stay (equal rows equally); ties go to the language first in order; an empty table adds no rows; other columns are left
+    aside, whatever their names."""
     none = F.lit(None).cast("string")
     of_docs = documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), none.alias("suffix"), F.concat(F.lit("source "), "source").alias("host"))
 

@@ -1,24 +1,24 @@
 """Personal data: exact base patterns, and terms that disclose protected entities, found from corpus co-occurrence.
 
 A base span's value is a protected entity. Over the whole corpus, Spark counts each term and each term's occurrences
-near each entity, by document. A term discloses an entity if, given the term, the entity is likely, far likelier than it
-is without it, and if documents that are no near-copies of each other hold both, so that copies of one passage count once.
-Such terms are generalised wherever they occur.
+near each entity, by document. A term discloses an entity if, given the term, the entity is likely; if chance alone (terms strewn over
+the corpus whatever is near) would hardly let the two meet so often, even once among all pairs that were counted; and if documents that
+are no near-copies of each other hold both, so that copies of one passage count once. Such terms are generalised wherever they occur.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_columns, stored
-from .components import components
+from .common import add_columns, join_hot, map_columns, packed, stored
 from .linear import words
-from .simhash import fingerprint, links
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns. A match of e-mail is found from its domain, leftwards over the local part.
@@ -30,8 +30,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Words on each side of an entity, documents unlike each other and share that make a term disclosing, bits that it must reveal.
-NEAR, CONTEXTS, SHARE, BITS = 6, 4, 0.5, 8.0
+#: Words on each side of an entity, documents unlike each other and share that make a term disclosing, chance that any pair passes by accident.
+NEAR, CONTEXTS, SHARE, CHANCE = 6, 3, 0.5, 0.01
+#: Minima by which documents are told apart.
+SKETCH = 8
 #: Disclosing terms up to which each task holds all of them; beyond, they are joined to the documents by term.
 HELD = 100_000
 
@@ -87,11 +89,19 @@ def is_term(word: bytes) -> bool:
     return len(word) >= 4 and not 48 <= word[0] <= 57
 
 
+def sketch(text: str, digest) -> bytes:
+    """SKETCH minima of hashed shingles of three words, four bytes each: near-copies agree in most, unlike texts in none."""
+    parts = text.lower().split()
+    line = {" ".join(parts[i : i + 3]) for i in range(max(1, len(parts) - 2))}
+    hashes = np.fromiter((digest(x) for x in line), np.uint64, len(line))
+    odd = np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    return ((hashes[:, None] * odd[None, :]).min(0) >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def gather(documents: DataFrame) -> DataFrame:
-    """term, entity, fp, n: how often each term occurs (entity and fp null), and near each entity, by the fingerprint of the document."""
+    """term, entity, sketch, n: how often each term occurs (entity and sketch null), and near each entity, by the sketch of the document."""
 
     def make():
-        import numpy as np
         from xxhash import xxh64_intdigest as digest
 
         def f(texts):
@@ -109,73 +119,76 @@ def gather(documents: DataFrame) -> DataFrame:
                     if w := words(m[0]):
                         at.append(m.start())
                         known.append(w[0])
-                fp = int(np.uint64(fingerprint(text, digest=digest)).astype(np.int64))
+                mark = sketch(text, digest)
                 for span in spans:
                     i, j, who = bisect_left(at, span[0]), bisect_left(at, span[2]), entity(text, span)
                     for w in {*known[max(0, i - NEAR) : i], *known[j : j + NEAR]}:
                         if is_term(w):
-                            totals[w, who, fp] += 1
-            return {"term": [k[0].decode("utf-8", "replace") for k in totals], "entity": [k[1] for k in totals], "fp": [k[2] for k in totals], "n": list(totals.values())}
+                            totals[w, who, mark] += 1
+            return {"term": [k[0].decode("utf-8", "replace") for k in totals], "entity": [k[1] for k in totals], "sketch": [k[2] for k in totals], "n": list(totals.values())}
 
         return f
 
-    part = map_columns(documents, ["text"], [("term", "string"), ("entity", "string"), ("fp", "long"), ("n", "long")], make)
-    return part.groupBy("term", "entity", "fp").agg(F.sum("n").alias("n"))
+    part = map_columns(documents, ["text"], [("term", "string"), ("entity", "string"), ("sketch", "binary"), ("n", "long")], make)
+    return part.groupBy("term", "entity", "sketch").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(documents: DataFrame, contexts: int = CONTEXTS, share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """term, and the entity kind it discloses most of: terms past the thresholds, from counts over all documents. ``contexts``: documents with
-    term and entity; those that SimHash links (among all with an entity) count as one."""
+def disclosing_terms(documents: DataFrame, contexts: int = CONTEXTS, share: float = SHARE, chance: float = CHANCE) -> DataFrame:
+    """term, and the entity kind it discloses most of: terms past the thresholds, from counts over all documents. ``contexts``: documents
+    with term and entity, where near-copies count as one: the least number, over the parts of the sketch, of different values. How surprising it is that they meet as often as they
+    do, where e times are to be expected, is n log2(n / e) - (n - e) log2(euler) bits (the large-deviation bound of a Poisson number);
+    it must come to log2(pairs / ``chance``)."""
     counts = stored(gather(documents))
     by_doc = counts.filter(F.col("entity").isNotNull())
-    pairs = by_doc.groupBy("term", "entity").agg(F.sum("n").alias("near"), F.count("fp").alias("documents"))
+    pairs = stored(by_doc.groupBy("term", "entity").agg(F.sum("n").alias("near"), F.count("sketch").alias("documents")))
     known = pairs.filter(F.col("documents") >= contexts)
     totals = counts.filter(F.col("entity").isNull()).select("term", F.col("n").alias("total"))
     size = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).head()[0]
     frequency = pairs.groupBy("entity").agg(F.sum("near").alias("entity_near"))
     rated = known.join(totals.hint("merge"), "term").join(frequency.hint("merge"), "entity")
     p = F.col("near") / F.col("total")
-    gain = F.log2(p * F.lit(float(max(1, size))) / F.col("entity_near"))
-    rated = stored(rated.filter((p >= share) & (gain >= bits)).select("term", "entity", "near"))
-    if not rated.isEmpty():  # else copies needn't be told apart
-        groups = components(stored(links(by_doc.select("fp").distinct())))
-        unlike = by_doc.join(groups.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
-        unlike = unlike.select("term", "entity", F.coalesce("component", "fp").alias("component")).distinct().groupBy("term", "entity").count()
-        rated = rated.join(unlike.filter(F.col("count") >= contexts).hint("merge"), ["term", "entity"])
+    expected = F.col("total") * F.col("entity_near") / F.lit(float(max(1, size)))
+    surprise = F.col("near") * F.log2(F.col("near") / expected) - (F.col("near") - expected) / math.log(2)
+    bits = math.log2(max(1, pairs.count()) / chance)
+    rated = stored(rated.filter((p >= share) & (F.col("near") > expected) & (surprise >= bits)).select("term", "entity", "near"))
+    parts = [F.countDistinct(F.substring("sketch", 4 * i + 1, 4)) for i in range(SKETCH)]
+    unlike = by_doc.join(rated.select("term", "entity").hint("merge"), ["term", "entity"]).groupBy("term", "entity").agg(F.least(*parts).alias("unlike"))
+    rated = rated.join(unlike.filter(F.col("unlike") >= contexts).hint("merge"), ["term", "entity"])
     return rated.groupBy("term").agg(F.max_by(F.split("entity", " ")[0], "near").alias("kind"))
 
 
 def find(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``documents`` with spans (array<string>, kind:start:end by start then kind, code points, end exclusive). Base spans always
-    stay; terms of ``terms`` (disclosing_terms of these documents, if None) are added outside base spans. A null text has none."""
+    """``documents`` with spans (array<string>, kind:start:end by start then kind, code points, end exclusive), which replaces a column of that
+    name; others pass through. Base spans always stay; terms of ``terms`` (disclosing_terms of these documents, if None) are added outside base
+    spans. A null or empty text has none; texts of any length are read whole; repeated rows stay, each with its spans; rows without a
+    doc_id are like others; an empty table stays empty."""
     terms = stored((disclosing_terms(documents) if terms is None else terms).select("term").distinct())
     few = terms.limit(HELD + 1).count() <= HELD
     if few:
         flagged = frozenset(r["term"] for r in terms.collect())
-        source, inputs = documents, ["text"]
-    else:
+        return add_columns(documents, ["text"], [("spans", "array<string>")], lambda: lambda texts: {"spans": [_spans(t, flagged) for t in texts]})
+    # each different text once: its words are joined to the terms, and what it has of them goes back to its rows
+    signed = packed(documents, text=F.col("text"), sign=F.xxhash64("text"))
+    once = signed.groupBy("sign").agg(F.first("text").alias("text"))
 
-        def make_words():
-            return lambda ids, texts: _exploded(ids, texts)
+    def make_words():
+        return lambda signs, texts: _exploded(signs, texts)
 
-        by_doc = map_columns(documents.filter(F.col("doc_id").isNotNull()), ["doc_id", "text"], [("doc_id", "long"), ("term", "string")], make_words)
-        own = by_doc.join(terms.hint("merge"), "term").groupBy("doc_id").agg(F.collect_set("term").alias("_terms"))
-        source, inputs, flagged = documents.join(own.hint("merge"), "doc_id", "left").select(*documents.columns, "_terms"), ["text", "_terms"], None
+    by_text = map_columns(once, ["sign", "text"], [("sign", "long"), ("term", "string")], make_words)
+    own = stored(by_text.join(terms.hint("merge"), "term").groupBy("sign").agg(F.collect_set("term").alias("own")))
 
     def make():
-        def f(texts, own=None):
-            return {"spans": [_spans(t, flagged if flagged is not None else frozenset(o or ())) for t, o in zip(texts, own or [None] * len(texts), strict=True)]}
-
-        return f
+        return lambda texts, own: {"spans": [_spans(t, frozenset(o or ())) for t, o in zip(texts, own, strict=True)]}
 
-    return add_columns(source, inputs, [("spans", "array<string>")], make).drop("_terms")
+    made = add_columns(join_hot(signed, own, "sign", "left"), ["text", "own"], [("spans", "array<string>")], make)
+    return made.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns if c.lower() != "spans"), "spans")
 
 
-def _exploded(ids, texts) -> dict:
-    out: dict[str, list] = {"doc_id": [], "term": []}
-    for i, text in zip(ids, texts, strict=True):
+def _exploded(signs, texts) -> dict:
+    out: dict[str, list] = {"sign": [], "term": []}
+    for i, text in zip(signs, texts, strict=True):
         got = [w.decode("utf-8", "replace") for w in set(words(text)) if is_term(w)]
-        out["doc_id"] += [i] * len(got)
+        out["sign"] += [i] * len(got)
         out["term"] += got
     return out
 
@@ -195,16 +208,18 @@ def _spans(text: str | None, flagged: frozenset) -> list[str]:
 
 def sanitise(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """``documents`` with each span of the text replaced by its kind in brackets; overlapping spans become one. Where n_chars is
-    a column, it follows. Texts without spans stay as they are."""
-    found = find(documents, terms)
+    a column, it follows (where the text is null, it stays). Texts without spans stay as they are; all other columns do, whatever their
+    names. Odd rows are as in ``find``."""
+    rows = packed(documents, doc_id=F.col("doc_id"), text=F.col("text"))
+    found = find(rows, terms)
 
     def make():
         return lambda texts, spans: {"text": [_replaced(t, s) for t, s in zip(texts, spans, strict=True)]}
 
-    made = add_columns(found, ["text", "spans"], [("text", "string")], make).drop("spans")
-    if "n_chars" in documents.columns:
-        made = made.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return made.select(*documents.columns)
+    made = add_columns(found, ["text", "spans"], [("text", "string")], make)
+    length = lambda c: F.coalesce(F.length("text"), F.col(f"row.`{c}`")).cast(documents.schema[c].dataType)
+    new = {"text": F.col("text"), **{c: length(c) for c in documents.columns if c == "n_chars"}}
+    return made.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in documents.columns))
 
 
 def _replaced(text: str | None, spans: list[str]) -> str | None:

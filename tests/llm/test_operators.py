@@ -58,6 +58,19 @@ def test_topk_block_is_exact():
             assert list(zip(got[0].tolist(), got[1].tolist())) == brute_top(ids.tolist(), rows, at[own], k)
 
 
+def test_topk_stops_on_proof():
+    r = np.random.default_rng(1)
+    rows = r.integers(-20, 20, (4000, 16))
+    rows[:3] = 90  # leaders that few postings give away
+    index = topk.Index(np.arange(4000), rows)
+    got = index.search(np.full(16, 7), 3)
+    assert got[0].tolist() == [0, 1, 2] and index.done[0] < 1 and index.done[1] < 0.01
+    noise = r.integers(-90, 90, (3000, 32))
+    index = topk.Index(np.arange(3000), noise)
+    index.search(noise[0], 5, 0)
+    assert index.done[1] < 0.05  # hardly more than k are rescored
+
+
 def test_topk_null_and_odd_vectors(spark):
     rows = [(i, [float(i % 5) / 7, -0.5, 0.25]) for i in range(60)] + [(100, None), (150, [None, 1.0, 1.0]), (200, [float("nan"), 1.0, 1.0]), (250, [float("inf"), 0.0, 0.0]), (300, []), (None, [1.0, 1.0, 1.0]), (350, [1.0, 1.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
@@ -100,6 +113,33 @@ def test_ann_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_ann_depth_and_every_length(spark):
+    assert [ann.depth(n, ann.SAMPLE) for n in (10, 2_000, 50_000, 10**9)] == [1, 2, 3, 4]
+    rows = [(i, [float(i), 1.0]) for i in range(40)] + [(100 * i, [float(i), 1.0, 2.0]) for i in range(1, 4)] + [(500, [1.0])]
+    got = ann.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.filter("vec_id % 100 = 0"), 3).collect()
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in got}
+    assert found == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (100, 1): 200, (100, 2): 300, (200, 1): 100, (200, 2): 300, (300, 1): 200, (300, 2): 100}
+
+
+def test_bounded_samples_hold_one_row_for_each_id(spark):
+    from tapeloom.llm.common import bounded_ids, one_each
+
+    df = spark.range(4000).selectExpr("if(id < 2000, 7, id) AS doc_id", "concat('t', id) AS text", "id AS more")
+    ids = bounded_ids(df, "doc_id", 50)
+    assert ids.count() == 50 == ids.distinct().count()
+    assert one_each(df, "doc_id", "text").count() == 2001 and one_each(df, "doc_id", "text").columns == ["doc_id", "text", "more"]
+
+
+def test_join_hot(spark):
+    from tapeloom.llm.common import join_hot
+
+    rows = spark.range(6000).selectExpr("if(id < 3000, 1, if(id % 100 = 0, NULL, id)) AS k", "id")
+    table = spark.range(5000).selectExpr("id AS k", "id * 2 AS v")
+    for how in ("inner", "left"):
+        want = sorted(rows.join(table, "k", how).select("id", "v").collect(), key=lambda r: r[0])
+        assert sorted(join_hot(rows, table, "k", how).select("id", "v").collect(), key=lambda r: r[0]) == want
+
+
 def test_ann_ties_nulls_and_empty(spark):
     rows = [(i, [1.0, 0.0, float(i // 30)]) for i in range(90)] + [(100, None), (200, [0.0, 0.0, 0.0]), (300, [float("nan"), 1.0, 1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
@@ -134,6 +174,18 @@ def test_bpe_tree_of_tiny_leaves(reference_encoding):
             assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_merges_and_texts_without_white_space(reference_encoding):
+    with open(bpe.__file__) as f:
+        assert "tiktoken" not in f.read()
+    codec, r = bpe.Codec(queries.RANKS, public_tokenizers.PATTERN), random.Random(8)
+    for _ in range(1500):
+        piece = "".join(r.choice(["a", "th", "er", "ing", "z", "é", "aa", "1", "tion"]) for _ in range(r.randint(1, 50))).encode()
+        want = reference_encoding._encode_single_piece(piece)
+        assert codec.merges.direct(piece) == codec.merges.queued(piece) == codec.merges.encode(piece) == want
+    for text in ("".join(r.choice("abcdefghij") for _ in range(100_000)), "a" * 20_000, "\n" * 30_000, "?!" * 20_000):
+        assert codec.encode(text) == array("I", reference_encoding.encode_ordinary(text)).tobytes()
+
+
 def test_bpe_query_and_whole_texts(spark, docs, reference_encoding):
     got = bpe.encode(docs, queries.RANKS, public_tokenizers.PATTERN).collect()
     assert len(got) == docs.count()
@@ -229,6 +281,21 @@ def test_links_find_planted_distances(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_links_over_values_halfway(spark, monkeypatch):
+    """Buckets that are still large after the last division: links are those of a comparison of all pairs."""
+    monkeypatch.setattr(simhash, "LARGE", 2)
+    r, base = random.Random(4), 0x0123456789ABCDEF
+    points = sorted({base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for _ in range(60)} | {base ^ x for x in range(40)})
+    made = simhash.links(spark.createDataFrame([(simhash.signed(p),) for p in points], "fp long")).collect()
+    assert all(((x["a"] ^ x["b"]) & (1 << 64) - 1).bit_count() <= 4 for x in made)
+    got = {x["node"] % (1 << 64): x["component"] for x in components.components(spark.createDataFrame(made)).collect()}
+    mine, want = {}, {}
+    for i, root in slow_components(list(enumerate(points))).items():
+        want.setdefault(root, set()).add(points[i])
+        mine.setdefault(got.get(points[i], points[i]), set()).add(points[i])
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
 @pytest.mark.parametrize("large", [4, 12, 35])
 def test_links_of_large_buckets(spark, monkeypatch, large):
     """A centre and its flips of one bit meet only in buckets that hold the centre's blocks: at depth 0 of over 40 of them, at depth 1 of 30,
@@ -252,6 +319,35 @@ def test_masks_of_every_depth_have_blocks(spark):
         assert got and all((m & (1 << 64) - 1).bit_count() >= fixed - 1 for m in got)
 
 
+CLASHES = ["_id", "_rows", "_n", "row", "key", "sign", "fp", "component_id", "rate", "n_tokens", "posterior", "spans", "own", "term", "_terms", "score", "_toxicity", "votes", "Text2", "host"]
+
+
+def with_clashes(df):
+    """``df`` with columns whose names the operators use themselves."""
+    return df.select("*", *(F.lit(-5.0).alias(c) for c in CLASHES if c not in df.columns))
+
+
+def test_clashing_columns_keep_their_values(spark, docs, marks):
+    odd = with_clashes(docs.drop("score")).cache()
+    made = {
+        "one_of_each": simhash.one_of_each(odd), "sanitise": pii.sanitise(odd), "mixed": mixing.mixed(odd, mixing.domains_of(marks)),
+        "without_toxic": toxicity.without_toxic(odd, marks), "quality": quality.score(odd, {"bias": np.zeros(2), "weights": {}}, "other").drop("other"),
+    }
+    for name, df in made.items():
+        assert df.columns == odd.columns, name
+        rows = df.collect()
+        assert rows and all(r[c] == -5.0 for r in rows for c in CLASHES), name
+    for df in (simhash.near_duplicates(odd), pii.find(odd), mixing.mix(odd, mixing.domains_of(marks)), toxicity.toxicity(odd, marks), quality.quality(odd), bpe.encode(odd, queries.RANKS, public_tokenizers.PATTERN)):
+        assert df.count() == odd.count() and len(set(df.columns)) == len(df.columns)
+
+
+def test_rows_without_ids_of_one_text_are_one(spark):
+    df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (3, "x y z"), (None, "x y z"), (3, "q r s t")], "doc_id long, text string")
+    assert sorted(map(str, simhash.one_of_each(df).collect())) in (
+        sorted(map(str, spark.createDataFrame([(None, "a b c d e"), (3, t)], df.schema).collect())) for t in ("x y z", "q r s t")
+    )
+
+
 def test_one_of_each(spark, docs):
     kept = simhash.one_of_each(docs).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(slow_components([(r["doc_id"], slow_fingerprint(r["text"])) for r in docs.filter("doc_id IS NOT NULL").collect()]).values()))
@@ -280,6 +376,27 @@ def test_label_model_learns_accuracies():
     assert len(labelmodel.fit(np.zeros((0, 3), int))["posterior"]) == 0
 
 
+def test_label_model_likelihood_against_plain_sums():
+    r = np.random.default_rng(3)
+    votes, counts = r.integers(-1, 2, (40, 5)), r.integers(1, 30, 40)
+    table = r.dirichlet([2, 2, 2], (2, 5)).transpose(0, 2, 1)
+    want = sum(n * np.log(sum(s * np.prod([table[y, v + 1, j] for j, v in enumerate(row)]) for y, s in ((0, 0.7), (1, 0.3)))) for row, n in zip(votes, counts))
+    assert labelmodel.likelihood(votes, counts, 0.3, table) == pytest.approx(float(want))
+    m = labelmodel.fit(votes, counts)
+    assert all(b >= a - 0.5 for a, b in zip(m["likelihood"], m["likelihood"][1:]))  # rises, but for the smoothing
+    whole = labelmodel.fit(np.repeat(votes, counts, axis=0))  # patterns with counts are as good as rows
+    assert np.allclose(np.repeat(m["posterior"], counts), whole["posterior"]) and np.allclose(m["accuracy"], whole["accuracy"])
+
+
+def test_toxicity_learns_without_marks(spark, marks):
+    texts = [f"{words_of(30, i)} you stupid pathetic idiot {words_of(20, 90 + i)}" if i % 5 == 0 else words_of(60, i) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(df, marks.limit(0)).collect()}
+    assert all(got[i] == (i % 5 == 0) for i in range(200))
+    none = toxicity.toxicity(df, marks.limit(0)).collect()
+    assert len({r["score"] for r in none if texts[r["doc_id"]] in ("", None)}) <= 1
+
+
 def test_toxicity_edges(spark, docs, marks):
     got = toxicity.toxicity(docs, marks).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
@@ -296,12 +413,11 @@ def test_toxicity_held_out(spark):
 
 
 def test_quality_edges_and_accuracy(spark, docs, marks):
-    assert quality.quality(docs, marks).count() == docs.count()
     assert quality.quality(docs).count() == docs.count()
-    assert quality.quality(docs.limit(0), marks).count() == 0
+    assert quality.quality(docs.limit(0)).count() == 0
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    m = quality.quality(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out").collect()
+    m = quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(labels, "doc_id").filter("held_out").collect()
     assert sum(r["predicted"] == r["quality"] for r in m) / len(m) > 0.95
 
 
@@ -359,6 +475,20 @@ def test_rates_meet_targets(spark):
     assert a == pytest.approx(float((n * p[:, 0]).sum()), rel=0.02)
 
 
+def test_rates_against_plain_least_squares(spark):
+    """The rates are those nearest to one (by tokens) that meet the targets: the same as of a slow projected gradient on rates alone."""
+    r = np.random.default_rng(6)
+    p, n = r.dirichlet([0.4, 0.4], 120), r.integers(1, 90, 120)
+    rows = mixing.rates(spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(n, p)], "n_tokens long, posterior array<double>").coalesce(1), {"a": 0.9, "b": 0.1})[0].collect()
+    w, goal, lam = n / n.sum(), np.array([0.9, 0.1]), np.zeros(2)
+    for _ in range(200_000):
+        rate = np.maximum(0, 1 - p @ lam)
+        lam += 0.5 * ((rate * w) @ p - goal)
+    assert np.abs(np.array([x["rate"] for x in rows]) - rate).max() < 1e-3 and min(rate) == 0
+    far = spark.createDataFrame([(10, [0.5, 0.5])] * 3, "n_tokens long, posterior array<double>")
+    assert mixing.rates(far, {"a": 0.9, "b": 0.1})[1] == pytest.approx({"a": 0.5, "b": 0.5})  # as near as can be, and an end
+
+
 def test_mix_edges(spark, docs, marks):
     marked = mixing.domains_of(marks)
     assert mixing.mix(docs, marked).count() == docs.count()
@@ -387,6 +517,8 @@ def test_base_spans_against_the_plain_patterns():
     for _ in range(4000):
         t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
         assert pii.base_spans(t) == slow_spans(t), repr(t)
+    zeros = "x " + "0" * 5000 + ".1.1.1 y"
+    assert pii.base_spans(zeros) == [(2, 1, 5008)] and pii.base_spans("1" * 5000 + ".1.1.1") == []
     assert pii.base_spans("9" * 200_000) == slow_spans("") and len(pii.base_spans("a" * 100_000 + "@b.c")) == 1
 
 
@@ -395,20 +527,65 @@ def test_disclosing_terms(spark):
     texts += [f"{words_of(30, 100 + i)} hello user{i}@mail.example.com world {words_of(30, 200 + i)}" for i in range(40)]
     texts += ["copied passage stays unflagged x@y.org and goes on like this"] * 20 + [None, ""]
     df = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, spans string")
-    terms = pii.disclosing_terms(df, bits=3.0)  # so small a corpus can't show eight bits
-    assert {r["term"] for r in terms.collect()} == {"secretname"} and pii.disclosing_terms(df).count() == 0
-    found = {r["doc_id"]: r["spans"] for r in pii.find(df.drop("spans"), terms).collect()}
+    terms = pii.disclosing_terms(df)
+    assert {r["term"] for r in terms.collect()} == {"secretname"} and pii.disclosing_terms(df, chance=1e-30).count() == 0
+    df = df.unionByName(df.filter("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(df.filter("doc_id = 3"))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    first = [(r["doc_id"], r["spans"]) for r in sorted(pii.find(df, terms).collect(), key=key)]
+    assert sum("term:" in s for i, x in first for s in x if i is None) == 2
+    found = {i: x for i, x in first if i is not None}
     assert sum("term:" in s for x in found.values() for s in x) == 6
-    clean = {r["doc_id"]: r for r in pii.sanitise(df.drop("spans"), terms).collect()}
+    clean = {r["doc_id"]: r for r in pii.sanitise(df.drop("spans"), terms).collect() if r["doc_id"] is not None}
     assert "secretname" not in clean[0]["text"] and "[TERM] [EMAIL]" in clean[0]["text"] and clean[0]["n_chars"] == len(clean[0]["text"])
     assert clean[66]["text"] is None and clean[67]["text"] == ""
     old, pii.HELD = pii.HELD, 0
     try:  # the way beyond the bound finds the same
-        assert {r["doc_id"]: r["spans"] for r in pii.find(df.drop("spans"), terms).collect()} == found
+        assert [(r["doc_id"], r["spans"]) for r in sorted(pii.find(df, terms).collect(), key=key)] == first
     finally:
         pii.HELD = old
 
 
+def slow_terms(texts):
+    """Terms past the thresholds, from plain counts."""
+    import math
+    from collections import Counter
+
+    total, near, docs = Counter(), Counter(), {}
+    for t in texts:
+        spans = slow_spans(t)
+        plain = "".join(" " if any(s <= i < e for s, _, e in spans) else c for i, c in enumerate(t))
+        words = [(m.start(), m[0].lower()) for m in re.finditer("[A-Za-z0-9]+", plain)]
+        total.update(w for _, w in words if len(w) >= 4)
+        for span in spans:
+            before, after = [w for i, w in words if i < span[0]][-6:], [w for i, w in words if i >= span[2]][:6]
+            for w in {w for w in before + after if len(w) >= 4}:
+                near[w, pii.entity(t, span)] += 1
+                docs.setdefault((w, pii.entity(t, span)), set()).add(t)
+    by = Counter()
+    for (_, e), n in near.items():
+        by[e] += n
+    found = set()
+    for (w, e), n in near.items():
+        expected = total[w] * by[e] / sum(total.values())
+        bits = n * math.log2(n / expected) - (n - expected) / math.log(2)
+        if n >= 0.5 * total[w] and n > expected and bits >= math.log2(len(near) / 0.01) and len(docs[w, e]) >= 3:
+            found.add(w)
+    return found
+
+
+def test_planted_names_against_plain_counts(spark):
+    """Names beside their addresses in unlike documents are found, and nothing else; the query finds them through its operator."""
+    r = random.Random(12)
+    texts = []
+    for person in range(12):
+        for k in range(5):
+            a, b = words_of(r.randint(30, 90), 1000 * person + k), words_of(r.randint(30, 90), 1000 * person + 500 + k)
+            texts.append(f"{a} Planted{person:02}name wrote from person{person}@mail.example.org today {b}")
+    texts += [f"{words_of(60, 90_000 + i)} mail me at user{i}@mail.example.com today {words_of(20, 95_000 + i)}" for i in range(60)]
+    got = {x["term"] for x in pii.disclosing_terms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {f"planted{p:02}name" for p in range(12)} == slow_terms(texts)
+
+
 def test_signature_in_unlike_documents(spark):
     """At the production thresholds: one surrounding in unlike documents is evidence, near-copies of one document are not."""
     sign = "Kind regards from Quillhaven of the office reach quillhaven@mail.example.org or visit the office any day"
@@ -416,9 +593,6 @@ def test_signature_in_unlike_documents(spark):
     base = f"{words_of(400, 50)} written by Copyfold person at copyfold@mail.example.org once {words_of(400, 51)}".split()
     texts += [" ".join([*base[: 20 * i], f"changed{i}", *base[20 * i + 1 :]]) for i in range(1, 19)]
     texts += [f"the office of kind regards from any day or visit reach person written {words_of(300, 100 + i)}" for i in range(40)]
-    fps = [simhash.fingerprint(t) for t in texts]
-    assert all((a ^ b).bit_count() > 4 for i, a in enumerate(fps[:6]) for b in fps[:i])
-    assert len(set(slow_components(list(enumerate(fps)))[i] for i in range(6, 24))) < 4 <= len(set(fps[6:24]))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [tuple(r) for r in pii.disclosing_terms(df).collect()] == [("quillhaven", "email")]
 
@@ -449,22 +623,87 @@ def test_main_text():
     assert html.main_text("<p>a</p><div>b<div>c</div>d</div>") == "a\n\nb\n\nc\n\nd"
 
 
+def slow_matching(a, b):
+    """Size of the largest match of two trees that keeps labels, order and parents: all ways tried."""
+    if a["label"] != b["label"]:
+        return 0
+
+    def rows(x, y):
+        if not x or not y:
+            return 0
+        return max(rows(x[1:], y), rows(x, y[1:]), slow_matching(x[0], y[0]) + rows(x[1:], y[1:]) if x[0]["label"] == y[0]["label"] else 0)
+
+    return 1 + rows(a["children"], b["children"])
+
+
+def test_tree_matching_against_all_ways():
+    r = random.Random(2)
+
+    def grow(depth):
+        made = html.node(r.choice("ab") if depth < 3 else "")
+        made["children"] = [grow(depth - 1) for _ in range(r.randint(0, 3))] if depth else []
+        return made
+
+    for _ in range(300):
+        a, b = grow(3), grow(3)
+        size, pairs = html.matching(a, b, {})
+        assert size == slow_matching(a, b) == len(pairs) and all(x["label"] == y["label"] for x, y in pairs)
+
+
+def made_of(pages):
+    root, template, menus = html.wrapper(pages)
+    return root, frozenset(template), frozenset(menus)
+
+
 def test_template_is_what_stays():
     pages = [f"<body><div><p>Welcome to the site</p><p>{words_of(20, i)}</p><p>{words_of(9, 70 + i)}</p></div></body>" for i in range(8)]
-    made = html.template(pages)
-    assert made == ["/body/div/p\nWelcome to the site"]
+    made = made_of(pages)
+    assert made == ("/body/div", frozenset({"/body/div/p\nWelcome to the site"}), frozenset())
     assert html.main_text(pages[0], made) == f"{words_of(20, 0)}\n\n{words_of(9, 70)}"
-    assert html.template([pages[0]] * 8) == []  # copies prove nothing
+    assert html.wrapper([pages[0]] * 8) == ("", [], [])  # copies prove nothing
+
+
+def test_content_slot_and_menus_without_names():
+    """Parts that vary from page to page and have no telling names: alignment finds the menu by its links and the content by its text."""
+    def page(i):
+        menu = "".join(f"<li><a href='/{j}'>{words_of(2, 50 * i + j)}</a></li>" for j in range(5))
+        return f"<html><body><div class=x1><ul>{menu}</ul></div><div class=x2>{words_of(4, 900 + i)}</div><div class=x3><h1>{words_of(5, 800 + i)}</h1><ul>{menu}</ul><p>{words_of(60, i)}</p><p>{words_of(30, 400 + i)}</p></div><div class=x4>{words_of(6, 700 + i)}</div>"
+
+    made = made_of([page(i) for i in range(9)])
+    assert made[0] == "/html/body/div.x3" and {"/html/body/div.x1/ul/li", "/html/body/div.x3/ul/li"} == made[2]
+    assert html.main_text(page(20), made) == "\n\n".join([words_of(5, 820), words_of(60, 20), words_of(30, 420)])
+    assert html.main_text("<p>other layout</p>", made) == "other layout"
+
+
+def test_titles_in_headers_and_articles_of_template_only():
+    page = "<body><header>Site</header><article><header><h1>Title</h1></header><div class='share related'>kept</div><svg><text>x</text></svg><p>Text</p></article></body>"
+    assert html.main_text(page) == "Title\n\nkept\n\nx\n\nText"
+    only = frozenset({"/body/article/p\nText"})
+    assert html.main_text("<body><article><p>Text</p></article><p>no</p></body>", ("", only, frozenset())) == ""
 
 
 def test_template_larger_than_the_content():
     menu = "".join(f"<div>{words_of(4, 300 + i)}</div>" for i in range(20))
     pages = [f"<body>{menu}<p>{words_of(60, i)}</p></body>" for i in range(8)]
-    made = html.template(pages)
-    assert len(made) == 20 and html.main_text(pages[0], made) == words_of(60, 0)
+    made = made_of(pages)
+    assert len(made[1]) == 20 and html.main_text(pages[0], made) == words_of(60, 0)
     base = [words_of(100, 400 + i) for i in range(5)]  # copies with a changed word each still prove nothing
     copies = ["<body>" + "".join(f"<p>{t + f' changed{i}' if i % 5 == j else t}</p>" for j, t in enumerate(base)) + "</body>" for i in range(8)]
-    assert html.template(copies) == []
+    assert html.wrapper(copies) == ("", [], [])
+
+
+def test_template_counts_all_pages_of_a_host(spark):
+    """A text in all aligned pages, but not in most pages of the host, stays; one that is in most goes, on both sides of the bounds."""
+    rows = [(i, f"http://h.x/{i}", f"<body><div><p>{'Often' if i % 10 else 'Seldom'} there</p><p>{words_of(40, i)}</p></div></body>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got[1] == words_of(40, 1) and got[10] == f"Seldom there\n\n{words_of(40, 10)}"
+    old = html.HELD, html.DRAWN
+    html.HELD, html.DRAWN = 0, 0
+    try:
+        assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == got
+    finally:
+        html.HELD, html.DRAWN = old
 
 
 def test_pages_query(spark):
@@ -484,25 +723,51 @@ def test_pages_query(spark):
 # the pipeline
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, reference_encoding):
+    """Each stage against plain Python on its own input."""
     import corpus_pipeline as c
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = docs.count()
-    for name, stage in c.STAGES[:-1]:
-        before, docs = docs, c.stored(stage(spark, docs, SF))
-        assert docs.columns == before.columns, name
-        assert 0 < docs.count() <= n
-    out = c.STAGES[-1][1](spark, docs, SF)
-    assert out.count() == docs.count() and out.filter("n_tokens <> length(token_ids) / 4").count() == 0
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    stages = dict(c.STAGES)
+    key = lambda r: (r["doc_id"], r["text"] or "")
+
+    def step(name):
+        nonlocal docs
+        before, docs = sorted(docs.collect(), key=key), c.stored(stages[name](spark, docs, SF))
+        return before, sorted(docs.collect(), key=key)
+
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    before, after = step("toxicity")
+    assert after == [r for r in before if scores[r["doc_id"]] < 0.3]
+    before, after = step("simhash_dedup")
+    groups = slow_components([(r["doc_id"], slow_fingerprint(r["text"])) for r in before])
+    assert after == [r for r in before if groups[r["doc_id"]] == r["doc_id"]]
+    before, after = step("pii")
+    for x, y in zip(before, after, strict=True):
+        text, at, parts = x["text"] or "", 0, []
+        for start, kind, end in slow_spans(text):
+            if start >= at:
+                parts += [text[at:start], f"[{pii.KINDS[kind].upper()}]"]
+            at = max(at, end)
+        assert y["text"] == "".join([*parts, text[at:]]) and y["n_chars"] == len(y["text"])  # no terms disclose here
+        assert (x["doc_id"], x["lang"], x["source"]) == (y["doc_id"], y["lang"], y["source"])
+    rated = {r["doc_id"]: r for r in mixing.mix(docs, mixing.domains_of(labels), c.TARGETS, "prose").withColumn("times", mixing.copies(F.col("rate"), F.col("doc_id"))).collect()}
+    before, after = step("mixing")
+    assert after == [r for r in before for _ in range(rated[r["doc_id"]]["times"])]
+    out = {r["doc_id"]: bytes(r["token_ids"]) for r in stages["bpe"](spark, docs, SF).collect()}
+    assert out == {r["doc_id"]: array("I", reference_encoding.encode_ordinary(r["text"])).tobytes() for r in after}
 
 
 def test_pipeline_on_odd_rows(spark, docs, marks, tmp_path):
     import corpus_pipeline as c
 
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    with_clashes(docs).write.parquet(f"{tmp_path}/documents.parquet")
     marks.write.parquet(f"{tmp_path}/labels.parquet")
     assert c.run(spark, str(tmp_path)).count() >= 1
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in c.STAGES[:-1]:
+        before, rows = rows, c.stored(stage(spark, rows, str(tmp_path)))
+        assert rows.columns == before.columns and rows.filter("rate <> -5 OR n_tokens <> -5 OR spans <> -5 OR _id <> -5 OR _toxicity <> -5").isEmpty(), name
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     marks.write.parquet(f"{tmp_path}/none/labels.parquet")
     assert c.run(spark, f"{tmp_path}/none").count() == 0
