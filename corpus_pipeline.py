@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: toxicity, near-duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-one's docs. Nulls: a text that is null counts as empty and goes through all stages.
+one's docs. A text that is null counts as empty and goes through all stages; null ids take part; repeated rows are copies and one stays;
+an empty table gives no rows; other columns go along as they are, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -22,23 +23,24 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under the threshold."""
-    model = toxicity.train(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, model, "_toxicity").filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents whose toxicity is under the threshold. A null text counts as empty; ids that are null or repeated, ties, very long texts,
+    empty tables and other columns are as in ``toxicity.without_toxic``."""
+    return toxicity.without_toxic(docs, _labels(spark, sf_dir))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id; of repeated ids, the one with the least hash of
+    its text; rows without id as in ``simhash.one_of_each``."""
     return simhash.one_of_each(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows."""
+    """Personal data replaced by its kind; n_chars follows. A null text stays null; all rows stay."""
     return pii.sanitise(docs)
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say, for the token shares of TARGETS."""
+    """Documents as often as their rates say, for the token shares of TARGETS. Texts without words stay once."""
     return mixing.mixed(docs, mixing.domains_of(_labels(spark, sf_dir)), TARGETS, "prose")
 
 
