@@ -48,26 +48,50 @@ def first_seen(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct("t", "seq")).alias("_r")).select(key, "_r.*")
 
 
-def decimate(df: DataFrame, interval: int, key: str = "symbol") -> DataFrame:
-    """Ticks on which a decision runs: the first, and then each that comes ``interval`` or more after the last that ran. A gap of at
-    least ``interval`` restarts the rule, so the tape is cut there and the segments go in parallel."""
+def decimate(df: DataFrame, interval: int, key: str = "symbol", start: DataFrame | None = None, chunk: int = 3_600_000_000) -> DataFrame:
+    """Ticks on which a decision runs: the first, and then each that comes ``interval`` or more after the last that ran (before them: ``last``
+    of ``start``, by key). From any tick, the next one that would run is known by its time alone, so a chunk of time maps each tick of its first
+    ``interval``, where the first run must lie, to its last run. These few are folded over the chunks; then chunks mark their ticks in
+    parallel. No pause in the tape is needed."""
     if interval <= 0:
         return df
-    def mark(rows, w):
-        return rows.withColumn("_cut", F.coalesce((F.col("t") - F.lag("t").over(w) >= interval).cast("int"), F.lit(1)))
-
-    width = max(86_400_000_000, 4 * interval)
-    rows = scan.over_chunks(df, width, mark, back=interval, key=key)  # a row that isn't in the halo is further away than the interval
-    rows = scan.running(rows, {"_segment": F.col("_cut")}, width, key).drop("_cut")
-
-    def run(pdf):
-        last, keep = None, []
-        for t in pdf.sort_values(["t", "seq"])["t"].tolist():
-            keep.append(last is None or t - last >= interval)
-            last = t if keep[-1] else last
-        return pdf.sort_values(["t", "seq"])[keep].drop(columns=["_segment"])
-
-    single = F.count("*").over(Window.partitionBy(key, "_segment")) == 1
-    rows = rows.withColumn("_single", single)
-    alone, groups = rows.filter("_single").drop("_single", "_segment"), rows.filter("NOT _single").drop("_single")
-    return alone.unionByName(groups.groupBy(key, "_segment").applyInPandas(run, df.schema))
+    width, columns = max(chunk, 4 * interval), df.columns
+
+    def summary(pdf):
+        import numpy as np
+        import pandas as pd
+
+        t = np.unique(pdf["t"].to_numpy())
+        after = np.searchsorted(t, t + interval)
+        last = np.where(after < len(t), after, np.arange(len(t)))
+        for _ in range(len(t).bit_length()):
+            last = last[last]  # twice as many runs ahead
+        first = int(np.searchsorted(t, int(pdf["_chunk"].iloc[0]) * width + interval)) + 1
+        return pd.DataFrame({key: pdf[key].iloc[0], "_chunk": pdf["_chunk"].iloc[0], "run": t[:first], "final": t[last[:first]]})
+
+    def fold(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["_chunk", "run"])
+        last = None if "last" not in pdf or pd.isna(pdf["last"].iloc[0]) else int(pdf["last"].iloc[0])
+        out = []
+        for part, rows in pdf.groupby("_chunk", sort=True):
+            out.append((pdf[key].iloc[0], part, last))
+            at = 0 if last is None else int(np.searchsorted(rows["run"].to_numpy(), last + interval))
+            last = int(rows["final"].iloc[at]) if at < len(rows) else last
+        return pd.DataFrame(out, columns=[key, "_chunk", "last"]).astype({"last": "Int64"})
+
+    def mark(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values(["t", "seq"])
+        t, last, kept = pdf["t"].to_numpy(), pdf["last"].iloc[0], []
+        at = 0 if last is None or last != last else int(np.searchsorted(t, int(last) + interval))
+        while at < len(t):
+            kept.append(at)
+            at = int(np.searchsorted(t, t[at] + interval))
+        return pdf.iloc[kept][columns]
+
+    part = F.floor(F.col("t") / F.lit(width)).cast("long")
+    return scan.carried(df, part, summary, "run long, final long", fold, "last long", mark, df.schema, key, start)

@@ -151,7 +151,7 @@ def stop_actions(positions: DataFrame, stops: DataFrame) -> DataFrame:
     """What to do with each open stop (owned or not) and with positions without one: ADOPT the first owned stop of an open
     position, CANCEL its others, PLACE one if there is none, CANCEL_STALE owned stops of flat symbols, LEAVE foreign ones."""
     rn = F.row_number().over(Window.partitionBy("symbol", "owned").orderBy("stop_id"))
-    both = positions.filter("is_open").select("symbol", F.lit(True).alias("open")).join(stops.withColumn("_n", rn), "symbol", "full_outer")
+    both = positions.filter("is_open").select("symbol", F.lit(True).alias("open")).join(stops.withColumn("_n", rn).hint("merge"), "symbol", "full_outer")
     has = F.max(F.coalesce("owned", F.lit(False)).cast("int")).over(Window.partitionBy("symbol")) == 1
     both = both.withColumn("_has", has)
     action = (

@@ -25,13 +25,15 @@ def training_set(features: DataFrame, names: list[str], label: str) -> DataFrame
     return features.filter(keep)
 
 
-def fit_head(rows: DataFrame, names: list[str], label: str, kind: str) -> PipelineModel:
-    """M2: scaled features into a logistic head, or a squared or Huber regression. A batch refit; no match for per-row steps."""
+def fit_head(rows: DataFrame, names: list[str], label: str, kind: str, weight: float = 1e-5) -> PipelineModel:
+    """M2: scaled features into a logistic head, or a squared or Huber regression, drawn to zero by ``weight``. A batch refit; no match for
+    per-row steps. Rows without the label are left out."""
+    rows = rows.filter(F.col(label).isNotNull())
     stages = [VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     if kind == "logistic":
-        head = LogisticRegression(labelCol=label, regParam=1e-5, maxIter=30)
+        head = LogisticRegression(labelCol=label, regParam=weight, maxIter=30)
     else:
-        head = LinearRegression(labelCol=label, loss="huber" if kind == "huber" else "squaredError", regParam=0.0 if kind != "huber" else 1e-5, maxIter=30)
+        head = LinearRegression(labelCol=label, loss="huber" if kind == "huber" else "squaredError", regParam=0.0 if kind != "huber" and weight <= 1e-5 else weight, maxIter=30)
     return Pipeline(stages=[*stages, head]).fit(rows)
 
 
@@ -56,6 +58,21 @@ def saturation(spark: SparkSession, heads: dict[str, PipelineModel], limit: floa
     return spark.createDataFrame(rows, "head string, peak double").withColumn("retrain", F.col("peak") >= limit)
 
 
+def retrained(rows: DataFrame, names: list[str], heads: dict[str, tuple[str, str]], made: dict[str, PipelineModel], limit: float = SATURATED) -> DataFrame:
+    """M4: the audit, and what comes of it: a head past ``limit`` is fitted from zero with a weight that keeps its coefficients small; its samples
+    count from zero again. head, peak, retrain, peak_after, samples."""
+    spark, out = rows.sparkSession, []
+    seen = rows.agg(*(F.count(label).alias(h) for h, (label, _) in heads.items())).head()
+    peak = lambda m: float(max(map(abs, m.stages[-1].coefficients.toArray()), default=0.0))
+    for head, model in made.items():
+        before = peak(model)
+        again = before >= limit
+        if again:
+            model = made[head] = fit_head(rows, names, *heads[head], weight=1.0)
+        out.append((head, before, again, peak(model), 0 if again else int(seen[head])))
+    return spark.createDataFrame(out, "head string, peak double, retrain boolean, peak_after double, samples long")
+
+
 def confidence(p_tp, quality, trend_, noise, risk):
     """M6: our blend: 0.30 of the target head, the rest by quality, trend and calm; less a tenth of risk."""
     return 0.30 * p_tp + 0.25 * quality + 0.25 * trend_ + 0.20 * (1 - noise) - 0.10 * risk

@@ -7,6 +7,8 @@ carried back in.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,10 @@ def below(df: DataFrame, p: str, sums: dict[str, Column], buckets: int = 4096) -
 def affine_scan(df: DataFrame, x: str, out: str, factor: float, seed: Column | None = None, chunk: int = 500, key: str = "symbol", index: str = "idx") -> DataFrame:
     """``out``: y_i = factor * y_{i-1} + (1 - factor) * x_i over ``index`` (0, 1, ... within ``key``); y_0 = x_0, or one step
     from ``seed`` where given. Within a chunk the recursion is a weighted prefix sum; chunk ends are folded in order and
-    carried into the next chunk. ``chunk`` rows keep factor ** -n inside the range of doubles."""
+    carried into the next chunk. ``chunk`` rows keep factor ** -n inside the range of doubles. Ends of chunks so long ago that they weigh
+    less than 1e-300 are left out: what is folded for a chunk doesn't grow with the history."""
     a = factor
+    far = math.ceil(690 / (chunk * -math.log(a))) + 1
     rows = df.withColumn("_part", F.floor(F.col(index) / F.lit(chunk)).cast("long")).withColumn("_k", (F.col(index) % chunk).cast("int"))
     gain = F.when((F.col(index) == 0) & F.lit(seed is None), F.lit(1.0)).otherwise(F.lit(1.0 - a))
     inside = Window.partitionBy(key, "_part").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
@@ -75,8 +79,20 @@ def affine_scan(df: DataFrame, x: str, out: str, factor: float, seed: Column | N
     rows = rows.withColumn("_own", scaled * F.pow(F.lit(a), F.col("_k")))
     ends = rows.groupBy(key, "_part").agg(F.max_by("_own", "_k").alias("_b"), (F.max("_k") + 1).alias("_n"))
     order = Window.partitionBy(key).orderBy("_part")
-    past = F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_n").alias("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.lit(0.0) if seed is None else seed
+    past = F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_n").alias("n"))).over(order.rowsBetween(-far, -1))
+    first = F.lit(0.0) if seed is None else F.when(F.col("_part") <= far, seed).otherwise(0.0)
     carry = F.aggregate(past, first.cast("double"), lambda y, e: y * F.pow(F.lit(a), e["n"]) + e["b"])
     rows = rows.join(ends.select(key, "_part", carry.alias("_carry")).hint("shuffle_hash"), [key, "_part"])
     return rows.withColumn(out, F.col("_own") + F.col("_carry") * F.pow(F.lit(a), F.col("_k") + 1)).drop("_part", "_k", "_own", "_carry")
+
+
+def carried(rows: DataFrame, chunk: Column, summary, summary_schema: str, fold, carry_schema: str, mark, schema, key: str = "symbol", start: DataFrame | None = None) -> DataFrame:
+    """A rule whose state goes from row to row, in three steps over chunks of ``key``. ``summary(pdf)``: what a chunk does to each state that
+    may come in, in a few rows. ``fold(pdf)``: over a key's summaries in order (with ``start``'s columns, if given), the state that comes into
+    each chunk; one task for each key, but of summaries only. ``mark(pdf)``: the chunk's rows (with their state) to result rows."""
+    cut = rows.withColumn("_chunk", chunk)
+    parts = cut.groupBy(key, "_chunk").applyInPandas(summary, f"{key} string, _chunk long, {summary_schema}")
+    if start is not None:
+        parts = parts.join(start.hint("merge"), key, "left")
+    states = parts.groupBy(key).applyInPandas(fold, f"{key} string, _chunk long, {carry_schema}")
+    return cut.join(states.hint("merge"), [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(mark, schema)

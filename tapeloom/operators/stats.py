@@ -63,11 +63,45 @@ def auc(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return by.agg((F.sum(won) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
-def feed_health(tape: DataFrame, period: int, gap: int) -> DataFrame:
-    """Messages, gaps over the limit and the longest gap, by symbol and period."""
+def feed_health(tape: DataFrame, period: int, gap: int, reconnects: DataFrame | None = None) -> DataFrame:
+    """Messages, gaps over the limit, the longest gap and reconnects (rows of symbol, t), by symbol and period; a period with
+    reconnects alone counts too."""
     made = labels.over_rows(scan.indexed(tape, 86_400_000_000), 4096, lambda r, w: r.withColumn("idle", F.col("t") - F.lag("t").over(w)), back=1)
-    rows = made.withColumn("period", F.floor(F.col("t") / F.lit(period)).cast("long"))
-    return rows.groupBy("symbol", "period").agg(F.count("*").alias("messages"), F.sum((F.coalesce("idle", F.lit(0)) > gap).cast("long")).alias("gaps"), F.max("idle").alias("max_gap"))
+    slot = F.floor(F.col("t") / F.lit(period)).cast("long").alias("period")
+    rows = made.select("symbol", slot, "idle", F.lit(1).alias("message"), F.lit(0).alias("reconnect"))
+    if reconnects is not None:
+        rows = rows.unionByName(reconnects.select("symbol", slot, F.lit(None).cast("long").alias("idle"), F.lit(0).alias("message"), F.lit(1).alias("reconnect")))
+    return rows.groupBy("symbol", "period").agg(
+        F.sum("message").alias("messages"), F.sum((F.coalesce("idle", F.lit(0)) > gap).cast("long")).alias("gaps"), F.max("idle").alias("max_gap"), F.sum("reconnect").alias("reconnects")
+    )
+
+
+def admitted(trades: DataFrame, most: int, key: str = "account") -> DataFrame:
+    """K6: ``trades`` (open_t, close_t, symbol, life) with whether each gets one of ``most`` places of its account, first come, first served: a
+    place is taken from opening to closing by those let in, and free again at the closing time. Openings are taken by (open_t, symbol, life).
+    Accounts go in parallel; within one, rows stream by in order and only the closing times of at most ``most`` open positions are held."""
+    schema = f"{key} long, symbol string, life long, admitted boolean"
+
+    def run(batches):
+        import heapq
+
+        import pandas as pd
+
+        account, taken = None, []
+        for pdf in batches:
+            out = []
+            for who, opened, closed in zip(pdf[key].tolist(), pdf["open_t"].tolist(), pdf["close_t"].tolist(), strict=True):
+                if who != account:
+                    account, taken = who, []
+                while taken and taken[0] <= opened:
+                    heapq.heappop(taken)
+                out.append(len(taken) < most)
+                if out[-1]:
+                    heapq.heappush(taken, closed)
+            yield pd.DataFrame({key: pdf[key], "symbol": pdf["symbol"], "life": pdf["life"], "admitted": out})
+
+    rows = trades.select(key, "symbol", "life", "open_t", "close_t")
+    return rows.repartition(key).sortWithinPartitions(key, "open_t", "symbol", "life").mapInPandas(run, schema)
 
 
 def overlap(trades: DataFrame, most: int) -> DataFrame:
@@ -85,5 +119,5 @@ def overlap(trades: DataFrame, most: int) -> DataFrame:
 def decimation(kept: DataFrame, all_: DataFrame, period: int) -> DataFrame:
     """Ticks seen, decisions run and the share skipped, by symbol and period; periods without ticks give no row."""
     at = lambda d, n: d.groupBy("symbol", F.floor(F.col("t") / F.lit(period)).cast("long").alias("period")).agg(F.count("*").alias(n))
-    both = at(all_, "ticks").join(at(kept, "decisions"), ["symbol", "period"], "left").withColumn("decisions", F.coalesce("decisions", F.lit(0)))
+    both = at(all_, "ticks").join(at(kept, "decisions").hint("merge"), ["symbol", "period"], "left").withColumn("decisions", F.coalesce("decisions", F.lit(0)))
     return both.withColumn("skipped_pct", 100 * (1 - F.col("decisions") / F.col("ticks")))

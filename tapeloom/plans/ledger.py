@@ -174,16 +174,33 @@ def _(spark, d):
     return ledger.peak_pnl(position_ticks(spark, d))
 
 
-@query("J7_excursions", "symbol life n|mfe mae", "tape", "trades", sql="""SELECT s.symbol, s.life, count(*) AS n, max(p.price - 100) AS mfe, min(p.price - 100) AS mae FROM (SELECT 'S' || CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS VARCHAR) AS symbol, CAST(substr(symbol, 2) AS BIGINT) * 1000 + life AS life,
-  1704067200000000 + (open_t // 1000) % 2000000000000 AS o FROM trades WHERE life = 1) s JOIN tape p ON p.symbol = s.symbol AND p.t BETWEEN s.o AND s.o + 21600000000 GROUP BY 1, 2""")
-def _(spark, d):
+#: Trades of parts on the tape's symbols and time axis.
+ON_TAPE = "'S' || CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS VARCHAR)"
+
+
+def on_tape(t, time):
+    """symbol and a time (``time`` of the trade, moved into the tape's days) of trades, and their number."""
     part = F.substring("symbol", 2, 20).cast("long")
-    t = made_trades(spark, d).filter("life = 1")
-    spans = t.select(F.concat(F.lit("S"), (part % 4).cast("string")).alias("symbol"), (part * 1000 + F.col("life")).alias("life"), (F.lit(1_704_067_200_000_000) + F.floor(F.col("open_t") / 1000) % 2_000_000_000_000).alias("open_t"))
+    at = F.lit(1_704_067_200_000_000) + F.floor(F.col(time) / 1000) % 2_000_000_000_000
+    return t.select(F.concat(F.lit("S"), (part % 4).cast("string")).alias("symbol"), (part * 1000 + F.col("life")).alias("life"), at.alias("open_t"))
+
+
+@query("J7_excursions", "symbol life n|mfe mae", "tape", "trades", sql=f"""SELECT s.symbol, s.life, count(*) AS n, max(p.price - 100) AS mfe, min(p.price - 100) AS mae FROM (SELECT {ON_TAPE} AS symbol, CAST(substr(symbol, 2) AS BIGINT) * 1000 + life AS life,
+  1704067200000000 + (open_t // 1000) % 2000000000000 AS o FROM trades) s JOIN tape p ON p.symbol = s.symbol AND p.t BETWEEN s.o AND s.o + 21600000000 GROUP BY 1, 2""")
+def _(spark, d):
+    spans = on_tape(made_trades(spark, d), "open_t")
     rows = joins.interval(spans.withColumn("close_t", F.col("open_t") + 21_600_000_000), adapters.tape(spark, d), 21_600_000_000)
     return rows.groupBy("symbol", "life").agg(F.count("*").alias("n"), F.max(F.col("price") - 100).alias("mfe"), F.min(F.col("price") - 100).alias("mae"))
 
 
+@query("J9_post_loss_phase", "symbol seq phase", "tape", "trades", sql=f"""SELECT l.symbol, l.seq, CASE WHEN l.t - r.t < {P.cool_off} THEN 'COOL_OFF' WHEN l.t - r.t < {2 * P.cool_off} THEN 'TIGHT' ELSE 'NORMAL' END AS phase
+  FROM tape l ASOF LEFT JOIN (SELECT DISTINCT {ON_TAPE} AS symbol, 1704067200000000 + (close_t // 1000) % 2000000000000 AS t FROM trades WHERE net < 0) r ON l.symbol = r.symbol AND l.t >= r.t""")
+def _(spark, d):
+    losses = on_tape(made_trades(spark, d).filter("net < 0"), "close_t").withColumnRenamed("open_t", "t")
+    rows = joins.latest_event_age(adapters.tape(spark, d), losses, 2 * P.cool_off)
+    return rows.withColumn("phase", joins.phase(F.col("since"), P.cool_off))
+
+
 adapters.SQL["lv"] = "lv AS (SELECT symbol, CAST(life AS BIGINT) AS life, order_id FROM lives)"
 
 
@@ -246,6 +263,13 @@ def _(spark, d):
     return stats.overlap(made_trades(spark, d), 500)
 
 
+@query("K6_admitted", "account symbol life admitted")
+def _(spark, d):
+    """Ten accounts with two places each."""
+    t = made_trades(spark, d).withColumn("account", F.substring("symbol", 2, 20).cast("long") % 10)
+    return stats.admitted(t, 2)
+
+
 @query("U2_except_foreign", "order_id", sql="SELECT o_orderkey AS order_id FROM orders WHERE o_orderkey % 4 = 1")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"))
@@ -280,17 +304,28 @@ def _(spark, d):
     return user_events(spark, d).withColumn("symbol", readers.event_symbol(F.col("raw")))
 
 
+def watchlist(spark):
+    return spark.range(4).filter("id % 2 = 0").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("symbol"))
+
+
 @query("P3_route", "seq symbol routed", sql=f"SELECT event_id AS seq, {SYM} AS symbol, coalesce({SYM} IN ('S0', 'S2'), false) AS routed FROM events")
 def _(spark, d):
-    watch = spark.range(4).filter("id % 2 = 0").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("symbol"))
-    return readers.route(user_events(spark, d).withColumn("symbol", readers.event_symbol(F.col("raw"))), watch)
+    return readers.route(user_events(spark, d).withColumn("symbol", readers.event_symbol(F.col("raw"))), watchlist(spark))
 
 
-@query("P4_account_positions", "seq symbol own", "tape", sql="SELECT seq, 'S' || CAST(w AS VARCHAR) AS symbol, symbol = 'S' || CAST(w AS VARCHAR) AS own FROM tape, (SELECT unnest([0, 1, 2, 3]) AS w) WHERE seq % 50 = 0")
+@query("P3_unknown", "symbol seq n", sql=f"SELECT {SYM} AS symbol, min(event_id) AS seq, count(*) AS n FROM events WHERE {SYM} NOT IN ('S0', 'S2') GROUP BY 1")
 def _(spark, d):
-    """Each account event goes to every watched symbol; each keeps its own position."""
-    t = adapters.tape(spark, d).filter("seq % 50 = 0").select("seq", F.col("symbol").alias("held"))
-    to = t.withColumn("symbol", F.explode(F.array(*(F.lit(f"S{i}") for i in range(4)))))
+    """Symbols that no watchlist knows, each reported once, with its first event and how many there were."""
+    routed = readers.route(user_events(spark, d).withColumn("symbol", readers.event_symbol(F.col("raw"))), watchlist(spark))
+    return routed.filter("NOT routed AND symbol IS NOT NULL").groupBy("symbol").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+
+
+@query("P4_account_positions", "seq symbol own", "tape", sql="SELECT seq, w AS symbol, symbol = w AS own FROM tape, (SELECT DISTINCT symbol AS w FROM tape)")
+def _(spark, d):
+    """Each account event goes to every watched symbol (those of the tape: a list that one row of an aggregate holds); each keeps its own position."""
+    t = adapters.tape(spark, d)
+    watched = t.agg(F.collect_set("symbol").alias("watched"))
+    to = t.select("seq", F.col("symbol").alias("held")).crossJoin(F.broadcast(watched)).select("seq", "held", F.explode("watched").alias("symbol"))
     return to.withColumn("own", F.col("symbol") == F.col("held"))
 
 
@@ -343,11 +378,11 @@ def _(spark, d):
     return spark.read.schema("level string, value string, trades long").json(f"{path}/json")
 
 
-@query("S14_scoped_layout", "env symbol n", "tape", sql="SELECT 'DEMO' AS env, symbol, count(*) AS n FROM tape WHERE symbol IN ('S1', 'S2') GROUP BY symbol")
+@query("S14_scoped_layout", "env symbol n", "tape", sql="SELECT 'DEMO' AS env, symbol, count(*) AS n FROM tape GROUP BY symbol")
 def _(spark, d):
     path = sinks.scratch(spark, "scoped")
     sinks.write_scoped(adapters.tape(spark, d), path, "DEMO")
-    return spark.read.parquet(path).filter("env = 'DEMO' AND symbol IN ('S1', 'S2')").groupBy("env", "symbol").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).filter("env = 'DEMO'").groupBy("env", "symbol").agg(F.count("*").alias("n"))
 
 
 def snapshots(spark, d):
@@ -390,6 +425,18 @@ def _(spark, d):
     return steps.withColumn("margin", margin).withColumn("ok", F.col("margin") >= F.col("min_notional") / 10)
 
 
+@query("J11_sweep", "symbol size threshold allowed|notional", sql="""SELECT 'P' || CAST(p_partkey AS VARCHAR) AS symbol, size, threshold, size * p_retailprice AS notional, size * p_retailprice >= 10 * CASE WHEN p_size % 5 <> 0 THEN p_retailprice ELSE 0.0 END AND size * p_retailprice * threshold >= 20.0 AS allowed
+  FROM part, (SELECT unnest([5, 10, 20, 40]) AS size), (SELECT CAST(unnest([0.0001, 0.001, 0.01]) AS DOUBLE) AS threshold)""")
+def _(spark, d):
+    """Each symbol with every size and threshold of a sweep (twelve scenarios): whether the size is feasible and its expected gain worth it."""
+    from .market import exchange_info
+
+    sizes = spark.createDataFrame([(x,) for x in (5, 10, 20, 40)], "size int").crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in (0.0001, 0.001, 0.01)], "threshold double")))
+    known = readers.symbol_filters(exchange_info(spark, d)).join(table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), "p_retailprice").hint("merge"), "symbol")
+    rows = known.crossJoin(F.broadcast(sizes)).withColumn("notional", F.col("size") * F.col("p_retailprice"))
+    return rows.withColumn("allowed", (F.col("notional") >= 10 * F.col("min_notional")) & (F.col("notional") * F.col("threshold") >= 20.0))
+
+
 def features(spark, d):
     rows = labelled(spark, d).withColumn("f_qty", F.col("qty").cast("double")).withColumn("f_vol", F.col("tick_vol")).withColumn("f_price", F.col("price"))
     return rows
@@ -403,28 +450,59 @@ def _(spark, d):
     return models.training_set(features(spark, d), NAMES, "tp_hit")
 
 
-def heads(spark, d):
-    rows = models.training_set(features(spark, d), NAMES, "tp_hit").withColumn("fwd", F.col("fwd_ret"))
-    return rows, {"tp_hit": models.fit_head(rows, NAMES, "tp_hit", "logistic"), "trend": models.fit_head(rows, NAMES, "fwd", "squaredError"), "quality": models.fit_head(rows, NAMES, "fwd", "huber")}
+@query("M1_success_set", "symbol life success|size notional entry_price hold", "trades", sql="SELECT symbol, life, CAST(net > 0 AS INTEGER) AS success, size, notional, notional / size AS entry_price, (close_t - open_t) / 1e6 AS hold FROM trades WHERE life % 5 <> 0")
+def _(spark, d):
+    """Success at close by the features frozen at entry; infrastructure exits (here: every fifth) are no evidence."""
+    t = made_trades(spark, d).filter("life % 5 <> 0").withColumn("success", F.col("win").cast("int")).withColumn("entry_price", F.col("notional") / F.col("size"))
+    return models.training_set(t.withColumn("hold", (F.col("close_t") - F.col("open_t")) / 1e6), ["size", "notional", "entry_price"], "success")
+
+
+#: Heads: label and kind. The success head learns from trades, by the same names of features.
+HEADS = {"tp_hit": ("tp_hit", "logistic"), "noise": ("noise", "logistic"), "trend": ("fwd", "squaredError"), "quality": ("fwd_abs", "huber")}
+
+
+def training_rows(spark, d):
+    """The tape's training set, written once: heads are fitted to it again and again."""
+    rows = models.training_set(features(spark, d), NAMES, "tp_hit").withColumn("fwd", F.col("fwd_ret")).withColumn("fwd_abs", F.abs("fwd_ret"))
+    rows = rows.select("symbol", "seq", "tp_hit", "noise", "fwd", "fwd_abs", *NAMES)
+    path = sinks.scratch(spark, "training")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
-@query("M2_M3_M6_F40_scores", "symbol seq direction|p_tp trend_confidence confidence")
+def success_rows(spark, d):
+    t = made_trades(spark, d).filter("life % 5 <> 0")
+    return t.select(F.col("win").cast("int").alias("success"), F.col("size").alias("f_qty"), (F.col("dca_count") / 10).alias("f_vol"), (F.col("notional") / F.col("size")).alias("f_price"))
+
+
+def heads(spark, d, which=tuple(HEADS)):
+    rows = training_rows(spark, d)
+    return rows, {h: models.fit_head(rows, NAMES, *HEADS[h]) for h in which}
+
+
+@query("M2_M3_M6_F40_scores", "symbol seq direction|p_tp p_noise p_success trend_confidence risk confidence")
 def _(spark, d):
+    """All heads, trend and confidence; risk is how far the tick's volatility goes beyond the take-profit distance."""
     rows, made = heads(spark, d)
-    scored = models.score(made["trend"], models.score(made["tp_hit"], rows, out="p_tp"), out="pred")
+    made["success"] = models.fit_head(success_rows(spark, d), NAMES, "success", "logistic")
+    scored = rows
+    for head, out in (("tp_hit", "p_tp"), ("noise", "p_noise"), ("success", "p_success"), ("trend", "pred"), ("quality", "worth")):
+        scored = models.score(made[head], scored, out=out)
     strength, direction = models.trend(F.col("pred"), F.lit(0.0015))
-    scored = scored.withColumn("trend_confidence", strength).withColumn("direction", direction)
-    return scored.withColumn("confidence", models.confidence(F.col("p_tp"), F.lit(0.5), F.col("trend_confidence"), F.lit(0.5), F.lit(0.1)))
+    quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("worth") / 0.05))
+    scored = scored.withColumn("trend_confidence", strength).withColumn("direction", direction).withColumn("risk", F.least(F.lit(1.0), F.col("f_vol") / 0.05))
+    return scored.withColumn("confidence", models.confidence(F.col("p_tp"), quality, F.col("trend_confidence"), F.col("p_noise"), F.col("risk")))
 
 
-@query("M4_saturation", "head retrain|peak")
+@query("M4_saturation", "head retrain samples|peak peak_after")
 def _(spark, d):
-    return models.saturation(spark, heads(spark, d)[1])
+    """Heads with a coefficient past the limit (a low one, so that some are) are fitted anew from zero, more strongly drawn to it, and their
+    counters start again."""
+    rows, made = heads(spark, d)
+    return models.retrained(rows, NAMES, HEADS, made, limit=0.05)
 
 
 @query("M5_decile_lift", "decile n|rate lift")
 def _(spark, d):
-    rows, made = heads(spark, d)
+    rows, made = heads(spark, d, ("tp_hit",))
     return stats.decile_lift(models.score(made["tp_hit"], rows), y="tp_hit")
-
-

@@ -78,13 +78,12 @@ def _(spark, d):
     return rows.select("seq", F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"), F.get("bids", F.lit(0))["px"].alias("best_bid"))
 
 
-@query("S5_K1_klines", "open_ms close_ms n|open close volume", "candles", sql=f"""SELECT * FROM (SELECT bucket * {P.candle // 1000} AS open_ms, (bucket + 1) * {P.candle // 1000} - 1 AS close_ms, n, open, close, volume
-  FROM candles WHERE symbol = 'S1' ORDER BY bucket DESC LIMIT 100)""")
+@query("S5_K1_klines", "symbol open_ms close_ms n|open close volume", "candles", sql=f"""SELECT symbol, bucket * {P.candle // 1000} AS open_ms, (bucket + 1) * {P.candle // 1000} - 1 AS close_ms, n, open, close, volume
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket DESC) AS r FROM candles) WHERE r <= 100""")
 def _(spark, d):
-    c = made_candles(spark, d).filter("symbol = 'S1'")
     ms = P.candle // 1000
     slots = F.array(*(x.cast("string") for x in (F.col("bucket") * ms, *(F.col(n) for n in ("open", "high", "low", "close", "volume")), (F.col("bucket") + 1) * ms - 1, F.lit(0), F.col("n"), F.lit(0), F.lit(0), F.lit(0))))
-    return readers.klines(c.select(F.to_json(slots).alias("raw")), 100)
+    return readers.klines(made_candles(spark, d).select("symbol", F.to_json(slots).alias("raw")), 100)
 
 
 @query("S6_fill_history", "id order_id|price", "fills", sql="""SELECT * FROM (SELECT CAST(substr(symbol, 2) AS BIGINT) * 1000 + seq AS id, order_id, price FROM fills WHERE CAST(substr(symbol, 2) AS BIGINT) * 1000 + seq >= 50000 ORDER BY 1 LIMIT 1000)""")
@@ -98,6 +97,23 @@ def _(spark, d):
     return readers.latest(adapters.tape(spark, d), "symbol", ["t", "seq"])
 
 
+@query("S7_snapshots", "kind symbol t|a b c", sql="""WITH raw AS (SELECT event_id AS seq, event_id % 4 AS k, 'S' || CAST(user_id % 4 AS VARCHAR) AS s, epoch_us(ts) // 1000 AS t, 100.0 + value / 10 AS x FROM events)
+  SELECT kind, symbol, t, a, b, c FROM (SELECT *, row_number() OVER (PARTITION BY kind, symbol ORDER BY t DESC, seq DESC) AS n FROM (
+  SELECT CASE k WHEN 0 THEN 'position' WHEN 1 THEN 'premium' WHEN 2 THEN 'open_interest' ELSE 'balance' END AS kind, CASE k WHEN 3 THEN 'USDT' ELSE s END AS symbol, seq, t,
+  CASE k WHEN 0 THEN -x ELSE x END AS a, CASE k WHEN 0 THEN x + 1 WHEN 1 THEN x / 1000 WHEN 3 THEN x - 1 END AS b, CASE k WHEN 0 THEN x / 2 END AS c FROM raw)) WHERE n = 1""")
+def _(spark, d):
+    x, k = F.lit(100.0) + F.col("value") / 10, F.col("event_id") % 4
+    text, t = (lambda name, v: F.concat(F.lit(f'"{name}":"'), v.cast("string"), F.lit('"'))), F.floor(adapters.micros("ts") / 1000).cast("string")
+    s = F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string"))
+    raws = {
+        0: ([text("symbol", s), text("positionAmt", -x), text("entryPrice", x + 1), text("liquidationPrice", x / 2)], "updateTime"), 1: ([text("symbol", s), text("markPrice", x), text("lastFundingRate", x / 1000)], "time"),
+        2: ([text("symbol", s), text("openInterest", x)], "time"), 3: ([text("asset", F.lit("USDT")), text("balance", x), text("availableBalance", x - 1)], "updateTime"),
+    }
+    raw = F.coalesce(*(F.when(k == i, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit(f',"{at}":'), t, F.lit("}"))) for i, (parts, at) in raws.items()))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), k.alias("k"), raw.alias("raw"))
+    return readers.account_snapshots(rows, {0: "position", 1: "premium", 2: "open_interest", 3: "balance"})
+
+
 def exchange_info(spark, d):
     size = F.col("p_size")
     lot = F.concat(F.lit('{"filterType":"LOT_SIZE","stepSize":"'), (F.lit(1.0) / size).cast("string"), F.lit('","minQty":"'), size.cast("string"), F.lit('"}'))
@@ -248,10 +264,11 @@ def _(spark, d):
     return indicators.trend_scale(c, "ret_1")
 
 
-@query("W22_A19_feed_health", "symbol period messages gaps max_gap", "tape", sql=f"""SELECT symbol, t // {DAY} AS period, count(*) AS messages, CAST(sum(CASE WHEN coalesce(idle, 0) > {HOUR} THEN 1 ELSE 0 END) AS BIGINT) AS gaps, max(idle) AS max_gap
-  FROM (SELECT *, t - lag(t) OVER (PARTITION BY symbol ORDER BY t, seq) AS idle FROM tape) GROUP BY 1, 2""")
+@query("W22_A19_feed_health", "symbol period messages gaps max_gap reconnects", "tape", sql=f"""SELECT symbol, period, sum(m) AS messages, sum(g) AS gaps, max(idle) AS max_gap, sum(r) AS reconnects FROM (SELECT symbol, t // {DAY} AS period, 1 AS m, CASE WHEN coalesce(idle, 0) > {HOUR} THEN 1 ELSE 0 END AS g, idle, 0 AS r
+  FROM (SELECT *, t - lag(t) OVER (PARTITION BY symbol ORDER BY t, seq) AS idle FROM tape) UNION ALL SELECT 'S' || CAST(user_id % 4 AS VARCHAR), epoch_us(ts) // {DAY}, 0, 0, NULL, 1 FROM events WHERE event_type = 'error') GROUP BY 1, 2""")
 def _(spark, d):
-    return stats.feed_health(adapters.tape(spark, d), DAY, HOUR)
+    lost = table(spark, d, "events").filter("event_type = 'error'").select(F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string")).alias("symbol"), adapters.micros("ts").alias("t"))
+    return stats.feed_health(adapters.tape(spark, d), DAY, HOUR, lost)
 
 
 @query("W23_streak", "symbol seq confirmed", "tape", sql="SELECT symbol, seq, sum(CASE WHEN price > 102 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY t, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS confirmed FROM tape")
@@ -264,13 +281,25 @@ def _(spark, d):
     return labels.first_seen(adapters.tape(spark, d, wide=True), "symbol")
 
 
-@query("J6_T7_as_of", "symbol seq age fresh|imbalance", "tape", sql=f"""SELECT l.symbol, l.seq, CASE WHEN l.t - r.t <= {P.depth_stale} THEN l.t - r.t END AS age, coalesce(l.t - r.t <= {P.depth_stale}, false) AS fresh, CASE WHEN l.t - r.t <= {P.depth_stale} THEN r.price ELSE 0.0 END AS imbalance
-  FROM (SELECT * FROM tape WHERE seq % 3 <> 0) l ASOF LEFT JOIN (SELECT * FROM tape WHERE seq % 3 = 0) r ON l.symbol = r.symbol AND l.t >= r.t""")
+#: Book frames on the tape's time axis.
+FRAME_T = "1704067200000000 + (frame * 1000003000) % 2592000000000"
+
+
+@query("J6_T7_as_of", "symbol seq age_depth age_trade age_funding age_balance data_available|imbalance funding balance", "tape", "imb", sql=f"""SELECT l.symbol, l.seq, CASE WHEN l.t - b.t <= {P.depth_stale} THEN l.t - b.t END AS age_depth, CASE WHEN l.t - r.t <= {P.trade_stale} THEN l.t - r.t END AS age_trade,
+  CASE WHEN l.t - f.t <= {8 * HOUR} THEN l.t - f.t END AS age_funding, CASE WHEN l.t - g.t <= {6 * HOUR} THEN l.t - g.t END AS age_balance, coalesce(l.t - b.t <= {P.depth_stale}, false) AND coalesce(l.t - r.t <= {P.trade_stale}, false) AS data_available,
+  CASE WHEN l.t - b.t <= {P.depth_stale} THEN b.imbalance ELSE 0.0 END AS imbalance, CASE WHEN l.t - f.t <= {8 * HOUR} THEN f.price / 1000 END AS funding, CASE WHEN l.t - g.t <= {6 * HOUR} THEN g.price * 10 END AS balance
+  FROM tape l ASOF LEFT JOIN (SELECT symbol, {FRAME_T} AS t, imbalance FROM imb) b ON l.symbol = b.symbol AND l.t >= b.t ASOF LEFT JOIN (SELECT * FROM tape WHERE seq % 3 = 0) r ON l.symbol = r.symbol AND l.t >= r.t
+  ASOF LEFT JOIN (SELECT * FROM tape WHERE seq % 7 = 0) f ON l.symbol = f.symbol AND l.t >= f.t ASOF LEFT JOIN (SELECT * FROM tape WHERE seq % 11 = 0) g ON l.symbol = g.symbol AND l.t >= g.t""")
 def _(spark, d):
     t = adapters.tape(spark, d)
-    right = t.filter("seq % 3 = 0").select("symbol", "t", F.col("price").alias("imbalance"))
-    rows = joins.as_of(t.filter("seq % 3 <> 0"), right, ["imbalance"], P.depth_stale)
-    return rows.withColumn("fresh", F.col("age").isNotNull()).withColumn("imbalance", F.coalesce("imbalance", F.lit(0.0)))
+    book = imbalances(spark, d).select("symbol", F.expr(FRAME_T).alias("t"), "imbalance")
+    sides = {
+        "depth": (book, ["imbalance"], P.depth_stale), "trade": (t.filter("seq % 3 = 0").select("symbol", "t", F.col("qty").alias("trade_qty")), ["trade_qty"], P.trade_stale),
+        "funding": (t.filter("seq % 7 = 0").select("symbol", "t", (F.col("price") / 1000).alias("funding")), ["funding"], 8 * HOUR),
+        "balance": (t.filter("seq % 11 = 0").select("symbol", "t", (F.col("price") * 10).alias("balance")), ["balance"], 6 * HOUR),
+    }
+    rows = joins.as_of_many(t, sides, chunk=DAY)
+    return rows.withColumn("data_available", F.col("age_depth").isNotNull() & F.col("age_trade").isNotNull()).withColumn("imbalance", F.coalesce("imbalance", F.lit(0.0)))
 
 
 @query("J8_reconnect_cooldown", "symbol seq allowed", "tape", sql=f"""SELECT l.symbol, l.seq, NOT coalesce(l.t - r.t < {P.reconnect_cooldown}, false) AS allowed FROM (SELECT * FROM tape WHERE seq % 7 <> 0) l
@@ -281,14 +310,6 @@ def _(spark, d):
     return rows.withColumn("allowed", ~F.coalesce(F.col("since") < P.reconnect_cooldown, F.lit(False)))
 
 
-@query("J9_post_loss_phase", "symbol seq phase", "tape", sql=f"""SELECT l.symbol, l.seq, CASE WHEN l.t - r.t < {P.cool_off} THEN 'COOL_OFF' WHEN l.t - r.t < {2 * P.cool_off} THEN 'TIGHT' ELSE 'NORMAL' END AS phase
-  FROM (SELECT * FROM tape WHERE seq % 11 <> 0) l ASOF LEFT JOIN (SELECT * FROM tape WHERE seq % 11 = 0) r ON l.symbol = r.symbol AND l.t >= r.t""")
-def _(spark, d):
-    t = adapters.tape(spark, d)
-    rows = joins.latest_event_age(t.filter("seq % 11 <> 0"), t.filter("seq % 11 = 0"), 2 * P.cool_off)
-    return rows.withColumn("phase", joins.phase(F.col("since"), P.cool_off))
-
-
 @query("P17_dead_market", "symbol bucket blocked", "atr", sql="SELECT symbol, bucket, atr_pct > 0 AND atr_pct < 0.03 AS blocked FROM atr")
 def _(spark, d):
     return indicators.atr(made_candles(spark, d), P.atr_period).withColumn("blocked", rules.dead_market(F.col("atr_pct"), 0.03))
@@ -310,7 +331,7 @@ def flagship(spark, d):
     c = c.withColumn("regime", indicators.regime(F.col("atr_ratio"), F.col("ema_slope")))
     flow = orderflow.rolling_delta(t, P.delta_window, DAY)
     last = flow.groupBy("symbol", F.floor(F.col("t") / P.candle).cast("long").alias("bucket")).agg(F.max_by("delta", F.struct("t", "seq")).alias("delta"))
-    rows = c.join(last, ["symbol", "bucket"]).withColumn("side", F.when(F.col("ema_slope") >= 0, "LONG").otherwise("SHORT"))
+    rows = c.join(last.hint("merge"), ["symbol", "bucket"]).withColumn("side", F.when(F.col("ema_slope") >= 0, "LONG").otherwise("SHORT"))
     imb = (F.col("buy_vol") - F.col("sell_vol")) / F.col("volume")
     verdict = rules.flow_guard(F.col("side"), imb, F.col("delta"), F.lit(True), F.lit(True), P.flow_threshold, P.flow_support, P.flow_delta_min, F.lit(True))
     return rows.withColumn("_v", verdict).select("symbol", "bucket", "open", "high", "low", "close", "volume", "atr_pct", "ema_9", "ema_21", "ema_55", "regime", "side", "delta", F.col("_v.blocked").alias("blocked"), F.col("_v.reason").alias("reason"))
@@ -319,15 +340,3 @@ def flagship(spark, d):
 @query("flagship", "symbol bucket regime side blocked reason|open high low close volume atr_pct ema_9 ema_21 ema_55 delta")
 def _(spark, d):
     return flagship(spark, d)
-
-
-@query("A16_decimation", "symbol period ticks decisions|skipped_pct")
-def _(spark, d):
-    t = adapters.tape(spark, d)
-    return stats.decimation(labels.decimate(t, P.decision_interval_flat), t, DAY)
-
-
-@query("T1_decimated_batch", "symbol seq t")
-def _(spark, d):
-    return labels.decimate(adapters.tape(spark, d), P.decision_interval_flat)
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import labels, scan, stats
 from ..params import FIXTURE as P
 from ..sources import adapters
 from ..streaming import streams
@@ -11,69 +12,106 @@ from .base import query
 from .market import DAY, HOUR
 
 
-@query("T3_stream_candles", "symbol start n|open high low close volume", "candles", sql=f"SELECT symbol, bucket * {P.candle} AS start, n, open, high, low, close, volume FROM candles")
+#: In append mode a window comes out once the watermark, an hour behind the newest tick, has passed its end.
+PASSED = f"(SELECT max(t) FROM tape) - {HOUR}"
+#: The greedy rule in SQL: from each time the next that would run, and the chain of these from the first.
+RUNS = f"""WITH RECURSIVE times AS (SELECT DISTINCT symbol, t FROM tape), ahead AS (SELECT symbol, t, min(t) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN {P.decision_interval_flat} FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM times),
+  runs AS (SELECT symbol, min(t) AS t FROM times GROUP BY symbol UNION ALL SELECT runs.symbol, ahead.after FROM runs JOIN ahead ON runs.symbol = ahead.symbol AND runs.t = ahead.t WHERE ahead.after IS NOT NULL)
+  SELECT symbol, min(seq) AS seq, t FROM runs JOIN tape USING (symbol, t) GROUP BY symbol, t"""
+
+
+@query("T3_stream_candles", "symbol start n|open high low close volume", "candles", sql=f"SELECT symbol, bucket * {P.candle} AS start, n, open, high, low, close, volume FROM candles WHERE (bucket + 1) * {P.candle} <= {PASSED}")
 def _(spark, d):
-    return streams.finished(streams.candles(streams.tape(spark, d), "1 hour"), "complete")
+    return streams.finished(streams.candles(streams.tape(spark, d), "1 hour"))
 
 
-@query("T4_stream_sliding", "symbol start|delta", "tape", sql=f"""SELECT symbol, w AS start, sum(CASE WHEN is_buyer_maker THEN -qty ELSE qty END) AS delta FROM (SELECT *, unnest([t // {2 * HOUR} * {2 * HOUR}, t // {2 * HOUR} * {2 * HOUR} - {2 * HOUR}, t // {2 * HOUR} * {2 * HOUR} - {4 * HOUR}]) AS w FROM tape) GROUP BY 1, 2""")
+@query("T4_stream_sliding", "symbol start|delta", "tape", sql=f"""SELECT symbol, w AS start, sum(CASE WHEN is_buyer_maker THEN -qty ELSE qty END) AS delta FROM (SELECT *, unnest([t // {2 * HOUR} * {2 * HOUR}, t // {2 * HOUR} * {2 * HOUR} - {2 * HOUR}, t // {2 * HOUR} * {2 * HOUR} - {4 * HOUR}]) AS w FROM tape)
+  WHERE w + {6 * HOUR} <= {PASSED} GROUP BY 1, 2""")
 def _(spark, d):
-    return streams.finished(streams.sliding_delta(streams.tape(spark, d), "6 hours", "2 hours"), "complete")
+    return streams.finished(streams.sliding_delta(streams.tape(spark, d), "6 hours", "2 hours"))
+
+
+SESSIONS = f"""SELECT symbol, min(t) AS start, max(t) + {HOUR} AS end_t, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY t, seq) AS g FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY symbol ORDER BY t, seq) > {HOUR} THEN 1 ELSE 0 END AS c FROM tape))
+  GROUP BY symbol, g HAVING max(t) + {HOUR} <= {PASSED}"""
 
 
-@query("T5_stream_sessions", "symbol start end_t n", "tape", sql=f"""SELECT symbol, min(t) AS start, max(t) + {HOUR} AS end_t, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY t, seq) AS g FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY symbol ORDER BY t, seq) > {HOUR} THEN 1 ELSE 0 END AS c FROM tape)) GROUP BY symbol, g""")
+@query("T5_stream_sessions", "symbol start end_t n", "tape", sql=SESSIONS)
 def _(spark, d):
-    return streams.finished(streams.sessions(streams.tape(spark, d), "1 hour"), "complete").withColumnRenamed("end", "end_t")
+    return streams.finished(streams.sessions(streams.tape(spark, d), "1 hour")).withColumnRenamed("end", "end_t")
 
 
 @query("T9_stream_once", "seq", "tape", sql="SELECT seq FROM tape")
 def _(spark, d):
     t = streams.tape(spark, d)
-    return streams.finished(streams.exactly_once(t.withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1)))).drop("twice"), "seq", "60 days"), "append")
+    return streams.finished(streams.exactly_once(t.withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1)))).drop("twice"), "seq", "60 days"))
 
 
 @query("T10_stream_restart", "symbol seq|price", "tape", sql="SELECT symbol, seq, price FROM tape")
 def _(spark, d):
-    return streams.finished(streams.tape(spark, d), "append", runs=2)
+    return streams.finished(streams.tape(spark, d), runs=2)
+
+
+@query("T11_stream_day_totals", "symbol day n|volume", "tape", sql=f"SELECT symbol, t // {DAY} AS day, count(*) AS n, sum(qty) AS volume FROM tape GROUP BY 1, 2 HAVING (t // {DAY} + 1) * {DAY} <= {PASSED}")
+def _(spark, d):
+    return streams.finished(streams.day_totals(streams.tape(spark, d)))
+
+
+@query("T1_T12_stream_decimated", "symbol seq t", "tape", sql=RUNS)
+def _(spark, d):
+    return streams.decimated(streams.tape(spark, d), P.decision_interval_flat)
 
 
-@query("T11_stream_day_totals", "symbol day n|volume", "tape", sql=f"SELECT symbol, t // {DAY} AS day, count(*) AS n, sum(qty) AS volume FROM tape GROUP BY 1, 2")
+@query("T1_decimated_batch", "symbol seq t", "tape", sql=RUNS)
 def _(spark, d):
-    return streams.finished(streams.day_totals(streams.tape(spark, d)), "complete")
+    return labels.decimate(adapters.tape(spark, d), P.decision_interval_flat)
 
 
-@query("T1_T12_stream_decimated", "symbol seq t")
+@query("A16_decimation", "symbol period ticks decisions|skipped_pct", "tape", sql=f"""SELECT symbol, period, ticks, coalesce(decisions, 0) AS decisions, 100 * (1 - coalesce(decisions, 0) / ticks) AS skipped_pct FROM (SELECT symbol, t // {DAY} AS period, count(*) AS ticks FROM tape GROUP BY 1, 2)
+  LEFT JOIN (SELECT symbol, t // {DAY} AS period, count(*) AS decisions FROM ({RUNS}) GROUP BY 1, 2) USING (symbol, period)""")
 def _(spark, d):
-    return streams.finished(streams.decimated(streams.tape(spark, d), P.decision_interval_flat), "append")
+    t = adapters.tape(spark, d)
+    return stats.decimation(labels.decimate(t, P.decision_interval_flat), t, DAY)
 
 
-@query("T13_stream_alerts", "symbol seq t|price", "tape", sql="SELECT symbol, seq, t, price FROM tape WHERE price >= 110")
+@query("T13_stream_alerts", "symbol t alert", "tape", sql=f"""SELECT symbol, t, 'liquidation' AS alert FROM tape WHERE (price - 100) / price <= 0.0005 UNION ALL SELECT symbol, end_t, 'stale_feed' FROM ({SESSIONS})
+  UNION ALL SELECT symbol, t, 'unprotected' FROM tape WHERE qty % 5 = 0 AND NOT (seq % 3 <> 0 AND seq % 10 <= 5) AND t + 300000000 <
+  least((SELECT max(t) FROM tape WHERE qty % 5 = 0), (SELECT max(t + seq % 10 * 60000000) FROM tape WHERE qty % 5 = 0 AND seq % 3 <> 0)) - {HOUR}""")
 def _(spark, d):
-    return streams.finished(streams.alerts(streams.tape(spark, d), 110.0), "append")
+    def t():
+        return streams.tape(spark, d)
+
+    openings = t().filter("qty % 5 = 0").select("symbol", F.col("seq").alias("life"), "ts")
+    stops = t().filter("qty % 5 = 0 AND seq % 3 <> 0").select(F.col("seq").alias("life"), F.expr("ts + make_dt_interval(0, 0, CAST(seq % 10 AS INT), 0)").alias("stop_ts"))
+    made = [streams.liquidation_alerts(t(), 100.0, 0.0005), streams.stale_alerts(t(), "1 hour"), streams.unprotected_alerts(openings, stops, "300 seconds")]
+    done = [streams.finished(x) for x in made]
+    return done[0].unionByName(done[1]).unionByName(done[2])
 
 
-@query("T2_stream_positions", "symbol seq status step")
+EVENTS = ("ENTRY_SENT", "ENTRY_FILLED", "ADD_SENT", "ADD_FILLED", "CLOSE_SENT", "CLOSE_FILLED", "ENTRY_CANCELED")
+MOVED = "CASE " + " ".join(f"WHEN status = '{a}' AND event = '{e}'{' AND step < 1' if e == 'ADD_SENT' else ''} THEN '{b}'" for (a, e), b in streams.MOVES.items()) + " ELSE status END"
+
+
+@query("T2_stream_positions", "symbol seq status step", "tape", sql=f"""WITH RECURSIVE ev AS (SELECT symbol, seq, {list(EVENTS)}[qty % {len(EVENTS)} + 1] AS event, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS n FROM tape),
+  m AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, 'FLAT' AS status, 0 AS step FROM ev WHERE n = 1 UNION ALL SELECT symbol, seq, n, status, CASE WHEN status = 'FLAT' THEN 0 WHEN event = 'ADD_FILLED' AND was = 'DCA_PENDING' THEN least(1, step + 1) ELSE step END AS step
+  FROM (SELECT ev.symbol, ev.seq, ev.n, m.status AS was, ev.event, m.step, {MOVED.replace("status =", "m.status =").replace("event =", "ev.event =").replace("step <", "m.step <").replace("ELSE status", "ELSE m.status")} AS status FROM m JOIN ev ON ev.symbol = m.symbol AND ev.n = m.n + 1)) SELECT symbol, seq, status, step FROM m WHERE n > 0""")
 def _(spark, d):
     t = streams.tape(spark, d)
-    names = ("ENTRY_SENT", "ENTRY_FILLED", "ADD_SENT", "ADD_FILLED", "CLOSE_SENT", "CLOSE_FILLED", "ENTRY_CANCELED")
-    event = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("qty") % len(names) + 1).cast("int"))
-    return streams.finished(streams.position_states(t.select("symbol", "seq", F.unix_micros("ts").alias("t"), event.alias("event"))), "append")
+    event = F.element_at(F.array(*(F.lit(n) for n in EVENTS)), (F.col("qty") % len(EVENTS) + 1).cast("int"))
+    return streams.position_states(t.select("symbol", "seq", F.unix_micros("ts").alias("t"), event.alias("event")))
 
 
-@query("T8_stream_matched_fills", "seq matched")
+@query("T8_stream_matched_fills", "seq matched", "tape", sql=f"SELECT seq, seq % 3 <> 0 AS matched FROM tape WHERE seq % 3 <> 0 OR t + {HOUR} < (SELECT max(t) FROM tape WHERE seq % 3 <> 0) - {HOUR}")
 def _(spark, d):
+    """Fills that were matched, and those whose time for it was up when the stream ended."""
     t = streams.tape(spark, d)
     fills = t.select(F.col("seq").alias("order_id"), "seq", "ts")
     orders = t.filter("seq % 3 <> 0").select(F.col("seq").alias("order_id"), F.col("ts").alias("order_ts"))
-    return streams.finished(streams.matched_fills(fills, orders, "1 hour"), "append")
+    return streams.finished(streams.matched_fills(fills, orders, "1 hour"))
 
 
 @query("T6_late_rows", "symbol slot late_rows", "tape", sql=f"""SELECT symbol, t // {DAY} AS slot, count(*) FILTER (t < m - {HOUR}) AS late_rows FROM (SELECT *, max(t) OVER (PARTITION BY symbol ORDER BY seq * 7919 % 10007, seq) AS m FROM tape) GROUP BY 1, 2""")
 def _(spark, d):
     """Rows that come more than an hour behind the newest seen, when the tape arrives in a shuffled order: what a late sink gets."""
-    from pyspark.sql import Window
-
-    t = adapters.tape(spark, d)
-    newest = F.max("t").over(Window.partitionBy("symbol").orderBy(F.col("seq") * 7919 % 10007, "seq"))
-    rows = t.withColumn("late", F.col("t") < newest - HOUR)
+    t = adapters.tape(spark, d).withColumn("arrival", F.col("seq") * 7919 % 10007)
+    rows = scan.running(t, {"newest": F.col("t")}, 100, by="arrival", order=("arrival", "seq"), fold="max").withColumn("late", F.col("t") < F.col("newest") - HOUR)
     return rows.groupBy("symbol", F.floor(F.col("t") / DAY).cast("long").alias("slot")).agg(F.sum(F.col("late").cast("long")).alias("late_rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,12 +52,17 @@ def depth(frames: DataFrame) -> DataFrame:
 
 
 def klines(raw: DataFrame, limit: int, text: str = "raw") -> DataFrame:
-    """Twelve-slot arrays, oldest first, at most 1..1500 of the latest."""
+    """Twelve-slot arrays, oldest first, at most 1..1500 of the latest: of each symbol, if there is such a column."""
     a = F.from_json(F.col(text), "array<string>")
     rows = raw.withColumn("a", a).filter(F.size("a") == 12)
     at = lambda i, kind="double": F.element_at("a", i).try_cast(kind)
-    made = rows.select(*raw.columns[:-1] if raw.columns[-1] == text else raw.columns, at(1, "bigint").alias("open_ms"), at(2).alias("open"), at(3).alias("high"), at(4).alias("low"), at(5).alias("close"), at(6).alias("volume"), at(7, "bigint").alias("close_ms"), at(9, "bigint").alias("n"))
-    return made.orderBy(F.desc("open_ms")).limit(max(1, min(1500, limit))).orderBy("open_ms")
+    rest = [c for c in raw.columns if c != text]
+    made = rows.select(*rest, at(1, "bigint").alias("open_ms"), at(2).alias("open"), at(3).alias("high"), at(4).alias("low"), at(5).alias("close"), at(6).alias("volume"), at(7, "bigint").alias("close_ms"), at(9, "bigint").alias("n"))
+    most = max(1, min(1500, limit))
+    if "symbol" in rest:  # a window with a limit: each task passes on no more than the latest of each symbol
+        latest_first = Window.partitionBy("symbol").orderBy(F.desc("open_ms"))
+        return made.withColumn("_rank", F.row_number().over(latest_first)).filter(F.col("_rank") <= most).drop("_rank").orderBy("symbol", "open_ms")
+    return made.orderBy(F.desc("open_ms")).limit(most).orderBy("open_ms")
 
 
 def fill_history(fills: DataFrame, order_id: int | None = None, from_id: int | None = None, start: int | None = None, page: int = 1000) -> DataFrame:
@@ -77,6 +82,26 @@ def latest(snapshots: DataFrame, key: str, order: list[str]) -> DataFrame:
     return snapshots.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
 
 
+#: Fields of account snapshots: key, time, and what becomes a, b, c.
+SNAPSHOTS = {
+    "position": ("symbol", "updateTime", ("positionAmt", "entryPrice", "liquidationPrice")), "premium": ("symbol", "time", ("markPrice", "lastFundingRate")),
+    "open_interest": ("symbol", "time", ("openInterest",)), "balance": ("asset", "updateTime", ("balance", "availableBalance")),
+}
+
+
+def account_snapshots(raw: DataFrame, kinds: dict[int, str], text: str = "raw") -> DataFrame:
+    """Position-risk, premium-index, open-interest and balance responses (seq, k: which, raw), numbers from their strings: the latest of each
+    kind and symbol (asset of a balance), as kind, symbol, t, seq, a, b, c."""
+    rows = None
+    for k, kind in kinds.items():
+        key, at, fields = SNAPSHOTS[kind]
+        v = F.from_json(F.col(text), f"struct<{key}:string,{at}:bigint,{','.join(f'{f}:string' for f in fields)}>")
+        numbers = [v[f].try_cast("double").alias(n) for n, f in zip("abc", fields)] + [F.lit(None).cast("double").alias(n) for n in "abc"[len(fields) :]]
+        own = raw.filter(F.col("k") == k).select(F.lit(kind).alias("kind"), v[key].alias("symbol"), v[at].alias("t"), "seq", *numbers).filter("symbol IS NOT NULL")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("kind", "symbol").agg(F.max_by(F.struct("t", "seq", "a", "b", "c"), F.struct("t", "seq")).alias("_r")).select("kind", "symbol", "_r.*")
+
+
 def symbol_filters(raw: DataFrame, text: str = "raw") -> DataFrame:
     """tick_size, step_size, min_qty, min_notional by symbol; missing ones are 0."""
     kind = "struct<symbol:string,filters:array<struct<filterType:string,tickSize:string,stepSize:string,minQty:string,notional:string>>>"
@@ -91,9 +116,15 @@ def symbol_filters(raw: DataFrame, text: str = "raw") -> DataFrame:
     )
 
 
+#: Filters up to which they are broadcast: five short columns each.
+FEW = 100_000
+
+
 def known_filters(symbols: DataFrame, filters: DataFrame) -> DataFrame:
-    """Symbols with their filters; an unknown symbol is an error."""
-    joined = symbols.join(filters.withColumn("_known", F.lit(True)), "symbol", "left")
+    """Symbols with their filters; an unknown symbol is an error. The filters are broadcast if they are few (counted), else merged."""
+    few = filters.limit(FEW + 1).count() <= FEW
+    known = filters.withColumn("_known", F.lit(True))
+    joined = symbols.join(F.broadcast(known) if few else known.hint("merge"), "symbol", "left")
     return joined.filter(F.assert_true(F.col("_known").isNotNull(), F.concat(F.lit("no filters for "), "symbol")).isNull()).drop("_known")
 
 

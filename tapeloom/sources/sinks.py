@@ -5,28 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str = "table") -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset (tests), in a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a temporary folder of this machine if all tasks run on it (local mode,
+    as in tests), else an error."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if base is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def append_trades(trades: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Append, one row for each closed trade; lifecycles that the log already holds are not written again. For foreachBatch."""
+    """Append, one row for each closed trade; lifecycles that the log already holds are not written again. For foreachBatch: one writer
+    at a time, as a stream has."""
     spark = trades.sparkSession
     rows = trades.dropDuplicates(["symbol", "life"])
     try:
-        rows = rows.join(spark.read.format(kind).load(path).select("symbol", "life"), ["symbol", "life"], "left_anti")
-    except Exception as e:  # the log doesn't exist yet
-        if "PATH_NOT_FOUND" not in str(e):
+        known = spark.read.format(kind).load(path).select("symbol", "life")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
+    else:
+        rows = rows.join(known, ["symbol", "life"], "left_anti")
     rows.write.mode("append").format(kind).save(path)
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import labels, scan
 from ..sources.sinks import scratch
 
 
+#: Files of a micro-batch at most.
+FILES = 64
+
+
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of ticks with event time ts (a true timestamp: watermarks need one)."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file or a folder
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file or a folder
     return rows.select(
         F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string")).alias("symbol"),
         F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)))").alias("ts"),
@@ -23,18 +25,41 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def finished(stream: DataFrame, mode: str, runs: int = 1) -> DataFrame:
-    """Runs the stream over what is there and returns what it put out: the last batch's table (complete), or all rows (append). With
-    more ``runs`` it is started again from its checkpoint (T10): what was read before isn't read again."""
+def written(spark: SparkSession, schema, path: str) -> DataFrame:
+    """What batches left under ``path``, each in a folder of its own."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/none")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def finished(stream: DataFrame, runs: int = 1, put=None) -> DataFrame:
+    """Runs the stream in append mode over what is there and returns all that it put out. Each batch writes a folder named by its number, so
+    that a batch that is repeated after a failure is not written twice. With more ``runs`` it is started again from its checkpoint (T10): what
+    was read before isn't read again."""
     spark = stream.sparkSession
     out, state = scratch(spark, "stream"), scratch(spark, "state")
 
-    def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def plain(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/n{n}")
 
     for _ in range(runs):
-        stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+        stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put or plain).start().awaitTermination()
+    return written(spark, stream.schema, out)
+
+
+def scanned(stream: DataFrame, make, result: str, last: str, key: str = "symbol") -> DataFrame:
+    """``make(batch, before)`` over the micro-batches: an order-dependent batch operator that goes on from where each key was. It gives result
+    rows (schema ``result``) and, by key, what goes into the next batch (schema ``last``). Both are written by the batch's number."""
+    spark = stream.sparkSession
+    out, states = scratch(spark, "stream"), scratch(spark, "carry")
+
+    def put(batch: DataFrame, n: int) -> None:
+        before = spark.read.schema(last).parquet(f"{states}/n{n - 1}") if n else spark.createDataFrame([], last)
+        rows, now = make(batch, before)
+        rows.write.mode("overwrite").parquet(f"{out}/n{n}")
+        now(spark.read.schema(result).parquet(f"{out}/n{n}")).write.mode("overwrite").parquet(f"{states}/n{n}")
+
+    finished(stream, put=put)
+    return written(spark, spark.createDataFrame([], result).schema, out)
 
 
 def micros(c: str) -> F.Column:
@@ -69,31 +94,19 @@ def exactly_once(events: DataFrame, key: str, delay: str = "30 days") -> DataFra
 
 
 def day_totals(ticks: DataFrame) -> DataFrame:
-    """Totals that start anew each UTC day."""
-    day = F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)).cast("long")
-    return ticks.groupBy("symbol", day.alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("qty").cast("double")).alias("volume"))
+    """Totals that start anew each UTC day; a day comes out when the watermark has passed it."""
+    made = ticks.withWatermark("ts", "1 hour").groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum(F.col("qty").cast("double")).alias("volume"))
+    return made.select("symbol", F.floor(micros("w.start") / F.lit(86_400_000_000)).cast("long").alias("day"), "n", "volume")
 
 
 def decimated(ticks: DataFrame, interval: int) -> DataFrame:
-    """Greedy rate limit. State is the time of the last decision of a symbol; rows of a batch are taken in time order."""
-    schema = "symbol string, seq long, t long"
+    """Greedy rate limit over micro-batches, by the batch operator; a symbol's last decision goes into the next batch."""
 
-    def step(key, batches: Iterator, state: GroupState):
-        import pandas as pd
-
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches))[["seq", "t"]].sort_values(["t", "seq"])
-        keep = []
-        for t in rows["t"].tolist():
-            keep.append(last is None or interval <= 0 or t - last >= interval)
-            last = t if keep[-1] else last
-        if last is not None:
-            state.update((last,))
-        got = rows[keep]
-        yield pd.DataFrame({"symbol": [key[0]] * len(got), "seq": got["seq"].tolist(), "t": got["t"].tolist()})
+    def make(batch, before):
+        rows = labels.decimate(batch, interval, start=before)
+        return rows, lambda kept: kept.select("symbol", F.col("t").alias("last")).unionByName(before).groupBy("symbol").agg(F.max("last").alias("last"))
 
-    rows = ticks.select("symbol", "seq", F.unix_micros("ts").alias("t"))
-    return rows.groupBy("symbol").applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return scanned(ticks.select("symbol", "seq", F.unix_micros("ts").alias("t")), make, "symbol string, seq long, t long", "symbol string, last long")
 
 
 #: From each status, which events move on, and where to.
@@ -113,25 +126,60 @@ def advance(status: str, step: int, event: str, most: int) -> tuple[str, int]:
     return (to, 0 if to == "FLAT" else step)
 
 
-def position_states(updates: DataFrame, most: int = 1) -> DataFrame:
-    """Updates (symbol, seq, t, event) with the status and step after each; repeated seq are ignored by the machine itself."""
-    schema = "symbol string, seq long, event string, status string, step int"
+STATUSES = ("FLAT", "ENTERING", "OPEN", "DCA_PENDING", "CLOSING")
+STATE = "symbol string, status string, step int, seen long"
+
 
-    def step_(key, batches: Iterator, state: GroupState):
+def machine(updates: DataFrame, most: int = 1, start: DataFrame | None = None, chunk: int = 10_000) -> DataFrame:
+    """Updates (symbol, seq, t, event) with the status and step after each. Repeated seq, and those at or before ``seen`` of ``start``, change
+    nothing and are left out. A chunk of updates maps each of the few states to a state; these maps are folded in order, then chunks run
+    in parallel from the state that comes in."""
+    rows = updates.groupBy("symbol", "seq").agg(F.min_by("event", "t").alias("event"))
+    if start is not None:
+        rows = rows.join(start.select("symbol", "seen").hint("merge"), "symbol", "left").filter(F.col("seen").isNull() | (F.col("seq") > F.col("seen"))).drop("seen")
+
+    def walk(events, status, step):
+        for event in events:
+            status, step = advance(status, step, event, most)
+            yield status, step
+
+    def summary(pdf):
+        import pandas as pd
+
+        events = pdf.sort_values("seq")["event"].tolist()
+        ends = [(a, b, *list(walk(events, a, b))[-1]) for a in STATUSES for b in range(most + 1)]
+        return pd.DataFrame([(pdf["symbol"].iloc[0], pdf["_chunk"].iloc[0], *e) for e in ends], columns=["symbol", "_chunk", "a", "b", "c", "d"])
+
+    def fold(pdf):
         import pandas as pd
 
-        status, step, seen = state.get if state.exists else ("FLAT", 0, -1)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, event in zip(rows["seq"].tolist(), rows["event"].tolist(), strict=True):
-            if seq > seen:
-                status, step = advance(status, step, event, most)
-                seen = seq
-                out.append((key[0], seq, event, status, step))
-        state.update((status, step, seen))
-        yield pd.DataFrame(out, columns=["symbol", "seq", "event", "status", "step"])
+        known = "status" in pdf and not pd.isna(pdf["status"].iloc[0])
+        now, out = (pdf["status"].iloc[0], int(pdf["step"].iloc[0])) if known else ("FLAT", 0), []
+        for part, maps in pdf.groupby("_chunk", sort=True):
+            out.append((pdf["symbol"].iloc[0], part, *now))
+            now = {(a, int(b)): (c, int(d)) for a, b, c, d in zip(maps["a"], maps["b"], maps["c"], maps["d"], strict=True)}[now]
+        return pd.DataFrame(out, columns=["symbol", "_chunk", "status", "step"])
+
+    def mark(pdf):
+        pdf = pdf.sort_values("seq")
+        states = list(walk(pdf["event"].tolist(), pdf["status"].iloc[0], int(pdf["step"].iloc[0])))
+        return pdf.assign(status=[x for x, _ in states], step=[x for _, x in states])[["symbol", "seq", "event", "status", "step"]]
+
+    part = F.floor(F.col("seq") / F.lit(chunk)).cast("long")
+    return scan.carried(rows, part, summary, "a string, b int, c string, d int", fold, "status string, step int", mark, "symbol string, seq long, event string, status string, step int", start=start)
+
 
-    return updates.groupBy("symbol").applyInPandasWithState(step_, schema, "status string, step int, seen long", "append", GroupStateTimeout.NoTimeout)
+def position_states(updates: DataFrame, most: int = 1) -> DataFrame:
+    """T2 over micro-batches, by the batch operator; a symbol's state goes into the next batch."""
+
+    def make(batch, before):
+        def now(made):
+            ends = made.groupBy("symbol").agg(F.max_by("status", "seq").alias("status"), F.max_by("step", "seq").alias("step"), F.max("seq").alias("seen"))
+            return ends.unionByName(before.join(ends.select("symbol").hint("merge"), "symbol", "left_anti"))
+
+        return machine(batch, most, before), now
+
+    return scanned(updates, make, "symbol string, seq long, event string, status string, step int", STATE)
 
 
 def matched_fills(fills: DataFrame, orders: DataFrame, ttl: str) -> DataFrame:
@@ -142,6 +190,20 @@ def matched_fills(fills: DataFrame, orders: DataFrame, ttl: str) -> DataFrame:
     return f.join(o, near, "leftOuter").select(F.col("f.order_id").alias("order_id"), F.col("f.seq").alias("seq"), F.col("o.order_id").isNotNull().alias("matched"))
 
 
-def alerts(ticks: DataFrame, over: float) -> DataFrame:
-    """Ticks that must be told of: a price at or over a bound (stands for any row predicate)."""
-    return ticks.filter(F.col("price") >= over).select("symbol", "seq", micros("ts").alias("t"), "price")
+def liquidation_alerts(ticks: DataFrame, liquidation: float, band: float) -> DataFrame:
+    """Ticks of a long position within ``band`` (a share of the price) of its liquidation price, or past it."""
+    near = (F.col("price") - liquidation) / F.col("price") <= band
+    return ticks.filter(near).select("symbol", micros("ts").alias("t"), F.lit("liquidation").alias("alert"))
+
+
+def stale_alerts(ticks: DataFrame, limit: str) -> DataFrame:
+    """Where a feed fell silent for longer than ``limit``: the end of each session, once the watermark has passed it."""
+    return sessions(ticks, limit).select("symbol", F.col("end").alias("t"), F.lit("stale_feed").alias("alert"))
+
+
+def unprotected_alerts(openings: DataFrame, stops: DataFrame, limit: str) -> DataFrame:
+    """Positions (symbol, life, ts) for which no stop (life, stop_ts) came within ``limit``, once the watermark has passed it."""
+    o, p = openings.withWatermark("ts", "1 hour").alias("o"), stops.withWatermark("stop_ts", "1 hour").alias("p")
+    near = F.expr(f"o.life = p.life AND p.stop_ts BETWEEN o.ts AND o.ts + INTERVAL {limit}")
+    made = o.join(p, near, "leftOuter").filter("p.life IS NULL")
+    return made.select(F.col("o.symbol").alias("symbol"), micros("o.ts").alias("t"), F.lit("unprotected").alias("alert"))
