@@ -94,4 +94,6 @@ def decimate(df: DataFrame, interval: int, key: str = "symbol", start: DataFrame
         return pdf.iloc[kept][columns]
 
     part = F.floor(F.col("t") / F.lit(width)).cast("long")
+    if start is not None:  # what is too near the last decision before can't run; the chunk that this lies in starts after it
+        df = df.join(start.select(key, F.col("last").alias("_last")).hint("merge"), key, "left").filter(F.col("_last").isNull() | (F.col("t") - F.col("_last") >= interval)).select(*columns)
     return scan.carried(df, part, summary, "run long, final long", fold, "last long", mark, df.schema, key, start)
