@@ -14,6 +14,7 @@ segment is its unit, so segments may be joined in any tree.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from array import array
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import add_columns
 
 #: Characters of a leaf of the text's tree, bytes of a leaf of a piece's tree, remembered pieces.
-LEAF, BYTES, MEMORY = 512, 24, 250_000
+LEAF, BYTES, MEMORY = 1_024, 24, 500_000
 #: Beyond every rank: the two don't join.
 NONE = 1 << 40
 #: Pieces of each side with which a window starts.
@@ -172,6 +173,12 @@ class Codec:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(ranks_path: str, pattern: str, leaf: int) -> Codec:
+    """One codec for all tasks of a Python worker: what it remembers of pieces stays."""
+    return Codec(ranks_path, pattern, leaf)
+
+
 def encode(documents: DataFrame, ranks_path: str, pattern: str, decoded: bool = True, leaf: int = LEAF) -> DataFrame:
     """``documents`` with token_ids (binary: little-endian unsigned 32-bit integers) of the whole text and, if asked for,
     decoded (binary: the bytes that those ids stand for). A null text counts as empty and gives no ids; nulls elsewhere, repeated rows
@@ -179,7 +186,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, decoded: bool =
     A text without any white space takes time that grows with n log n as well."""
 
     def make():
-        codec = Codec(ranks_path, pattern, leaf)
+        codec = codec_of(ranks_path, pattern, leaf)
 
         def f(texts):
             ids = [codec.encode(t) for t in texts]
