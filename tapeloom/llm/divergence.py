@@ -9,8 +9,6 @@ All numbers are whole: shares are billionths, computed in decimals.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,42 +16,64 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, stored
 
-#: Entries of a task's counters before they are passed on.
-HELD = 200_000
+#: Bytes of text that a task counts at once (or one text, if longer).
+HELD = 4 << 20
 #: Terms and sources of a block in which sources are compared: a task holds the shares of one block.
 TERMS, SOURCES = 512, 64
 #: Lower case for A-Z alone; what belongs to no term becomes a space. Bytes over 127 are parts of characters beyond ASCII, which all belong to terms.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of ``keys`` in order, and how often each is there."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+    return keys[at], np.diff(np.concatenate((at, [len(keys)])))
+
+
+def counted_terms(groups: list[tuple[str, str]], texts: list[bytes]) -> pa.RecordBatch:
+    """lang, source, term, n, docs of some whole texts, and an empty term for each of their groups. The folded texts stand in one buffer; a
+    term gets a number by hashing, so that counting is sorting of whole numbers."""
+    folded = [x.translate(FOLDED) for x in texts]
+    buffer = np.frombuffer(b" ".join([*folded, b""]), np.uint8)
+    space = buffer == 32
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1]))) if len(buffer) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buffer[~space].tobytes())]).dictionary_encode()
+    code, known = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
+    doc = np.searchsorted(np.cumsum([len(x) + 1 for x in folded]), starts, "right")
+    place = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+    group_of = np.array([place[g] for g in groups], np.int64)
+    key, n = runs(group_of[doc] * known + code)
+    once, _ = runs(doc * known + code)
+    docs = runs(group_of[once // known] * known + once % known)[1]
+    of = np.concatenate((np.arange(len(place)), key // known))
+    lang, source = (pa.DictionaryArray.from_arrays(of, pa.array([g[i] for g in place], pa.string())).cast(pa.string()) for i in (0, 1))
+    term = pa.concat_arrays([pa.array([""] * len(place), pa.string()), words.dictionary.take(pa.array(key % known)).cast(pa.string())])
+    counts = [pa.array(np.concatenate((np.zeros(len(place), np.int64), x))) for x in (n, docs)]
+    return pa.RecordBatch.from_arrays([lang, source, term, *counts], names=["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(documents: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it) by group; a row with an empty term for each group, so that groups
     without terms are there too. Null text, lang and source count as empty."""
 
     def run(batches):
-        counts: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        groups: list[tuple[str, str]] = []
+        texts: list[bytes] = []
         held = 0
-
-        def rows():
-            for (lang, source), (n, docs) in counts.items():
-                terms = [b"", *n]
-                group = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
-                made = [pa.array(terms, pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in n)], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*group, *made], names=["lang", "source", "term", "n", "docs"])
-            counts.clear()
-
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True):
-                    n, docs = counts[lang, source]
-                    before, terms = len(n), text.translate(FOLDED).split()
-                    n.update(terms)
-                    docs.update(set(terms))
-                    held += len(n) - before + 1
-                if held > HELD:
-                    yield from rows()
-                    held = 0
-        yield from rows()
+                    groups.append((lang, source))
+                    texts.append(text)
+                    held += len(text) + 1
+                    if held > HELD:
+                        yield counted_terms(groups, texts)
+                        groups, texts, held = [], [], 0
+        if groups:
+            yield counted_terms(groups, texts)
 
     group = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
     rows = documents.select(*group, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
