@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_ids, one_each, stored
-from .vectors import blocks, dealt, merged, usable
+from .vectors import asked, blocks, dealt, each_row, merged, own_row, usable
 
 #: Rows at most that the tree is fitted on, its arity, calibration queries, the recall they must reach (over the 0.9 asked for).
 SAMPLE, ARITY, CALIBRATION, TARGET = 65_536, 8, 96, 0.96
@@ -96,10 +96,11 @@ def nearest(cands: tuple[np.ndarray, np.ndarray], asks: tuple[np.ndarray, np.nda
     ids, rows = cands
     by = np.argsort(ids, kind="stable")
     ids, rows = ids[by], rows[by]
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-    for own, row in zip(*asks, strict=True):
+    out: dict[str, list] = {"ask": [], "query_id": [], "vec_id": [], "score": []}
+    for ask, own, row in zip(*asks, strict=True):
         gap = np.sqrt(((rows - row) ** 2).sum(1))
-        gap[ids == own] = np.inf
+        if (at := own_row(ids, rows, own, row)) is not None:
+            gap[at] = np.inf
         if len(gap) > k:
             edge = np.partition(gap, k - 1)[k - 1]
             near = np.flatnonzero(gap <= edge)
@@ -107,14 +108,15 @@ def nearest(cands: tuple[np.ndarray, np.ndarray], asks: tuple[np.ndarray, np.nda
         else:
             near = np.argsort(gap, kind="stable")
         near = near[np.isfinite(gap[near])]
+        out["ask"] += [int(ask)] * len(near)
         out["query_id"] += [int(own)] * len(near)
         out["vec_id"] += ids[near].tolist()
         out["score"] += gap[near].tolist()
     return out
 
 
-SCHEMA = "query_id long, vec_id long, score double"
-FIELDS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+SCHEMA = "ask long, query_id long, vec_id long, score double"
+FIELDS = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def brute_force(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
@@ -123,7 +125,7 @@ def brute_force(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_pydict(nearest((b.column(0).to_numpy(), matrix(b.column(1))), (ids, queries), k), schema=FIELDS)
+                yield pa.RecordBatch.from_pydict(nearest((b.column(0).to_numpy(), matrix(b.column(1))), (ids, ids, queries), k), schema=FIELDS)
 
     return merged(rows.select("vec_id", "embedding").mapInArrow(run, SCHEMA), k, F.asc("score"))
 
@@ -168,8 +170,8 @@ def tree_leaves(rows: DataFrame, tree: Tree) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query (vec_id, embedding), nearest first, ties to the smaller
     vec_id, itself no candidate. Null, zero, non-finite vectors and rows without vec_id take no part. Vectors of different length have no
-    distance: each length that queries have is searched on its own. Repeated vec_ids are candidates each on its own; an empty table gives no
-    rows; other columns are left aside, whatever their names."""
+    distance: each length that queries have is searched on its own. Rows that share a vec_id are candidates, and queries, each on its own: a query's own row
+    is one with its id and vector, any other with its id is a candidate. An empty table gives no rows; other columns are left aside, whatever their names."""
     rows, asks = usable(vectors, zero=False), usable(queries, zero=False)
     found = None
     for n in sorted(r["n"] for r in asks.select(F.size("embedding").alias("n")).distinct().collect()):
@@ -189,10 +191,12 @@ def _search(rows: DataFrame, asks: DataFrame, k: int, sample: int, target: float
     placed = stored(tree_leaves(rows, tree))
     visits = calibrate(placed, tree, asks, k, target)
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row a leaf: at most sample / FITTED * ARITY
+    asks = asked(asks, "vec_id", "embedding")
     nq = blocks(asks.count(), QUERIES)
     table = placed.sparkSession.createDataFrame([(leaf, blocks(n, CHUNK)) for leaf, n in sizes.items()], "leaf int, chunks int")
     chunks = F.broadcast(table)
-    left = placed.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).drop("chunks")
+    each = each_row(placed, k, "vec_id", "embedding", "leaf")
+    left = each.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("chunks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).drop("chunks")
 
     def visit(batches):
         for b in batches:
@@ -201,17 +205,17 @@ def _search(rows: DataFrame, asks: DataFrame, k: int, sample: int, target: float
                 if part.num_rows:
                     found = [tree.visits(x, visits) for x in matrix(part.column(1))]
                     which = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(which)) for c in part.columns), pa.array(np.concatenate(found).astype(np.int32))], names=["vec_id", "embedding", "leaf"])
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(which)) for c in part.columns), pa.array(np.concatenate(found).astype(np.int32))], names=["vec_id", "embedding", "ask", "leaf"])
 
-    right = asks.mapInArrow(visit, "vec_id long, embedding array<double>, leaf int").join(chunks, "leaf")
-    right = right.withColumn("q", dealt("vec_id", nq)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    right = asks.mapInArrow(visit, "vec_id long, embedding array<double>, ask long, leaf int").join(chunks, "leaf")
+    right = right.withColumn("q", dealt("ask", nq)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
-    def score(key, cands: pa.Table, asked: pa.Table) -> pa.Table:
-        if not cands.num_rows or not asked.num_rows:
+    def score(key, cands: pa.Table, table: pa.Table) -> pa.Table:
+        if not cands.num_rows or not table.num_rows:
             return FIELDS.empty_table()
-        made = nearest((cands.column("vec_id").to_numpy(), matrix(cands.column("embedding"))), (asked.column("vec_id").to_numpy(), matrix(asked.column("embedding"))), k)
+        made = nearest((cands.column("vec_id").to_numpy(), matrix(cands.column("embedding"))), (*(table.column(c).to_numpy() for c in ("ask", "vec_id")), matrix(table.column("embedding"))), k)
         return pa.table(made, schema=FIELDS)
 
     keys = ("leaf", "chunk", "q")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, SCHEMA)
-    return merged(found, k, F.asc("score")).select("query_id", "rank", "vec_id", "score")
+    return merged(found, k, F.asc("score"), "ask").select("query_id", "rank", "vec_id", "score")

@@ -1,10 +1,10 @@
 """Main text of web pages by wrapper induction.
 
 Of each host, a few distinct pages are drawn by hash. Their block trees are aligned by simple tree matching into one tree of slots. A
-text that stays the same in its slot is proposed as template; a slot whose text lies in links is a menu; and the content is below the
+text that stays the same in its slot is proposed as template; a slot whose text lies in links is proposed as a menu; and the content is below the
 slot into which one comes from the top as long as a single part holds most of the varying text that isn't in links. What was proposed is
-then counted over all pages of the host: only a text that stays in most of them is template, and only a content slot that most of
-them fill is used. Lists of elements and marks decide where alignment can't: about parts within the content that vary like prose
+then counted over all pages of the host: only a text that stays in most of them is template, only a slot whose text is in links on
+all of them together is a menu (within the content, only what repeats a menu around it), and only a content slot that most of them fill is used. Lists of elements and marks decide where alignment can't: about parts within the content that vary like prose
 (readers' comments, adverts), and on hosts with too few pages that are unlike each other.
 """
 
@@ -47,8 +47,8 @@ PAGES, LEAST, STAYS, ALIKE = 12, 4, 0.8, 0.5
 SHINGLE, OWN = 3, 0.1
 #: Share of the varying text that the part to go down into must hold; share of a slot's text in links that makes it a menu.
 MOST, LINKED = 0.6, 0.7
-#: Hosts with a wrapper up to which each task holds all of them.
-HELD = 20_000
+#: Hosts with a wrapper, and characters of these, up to which each task holds all of them.
+HELD, HELD_CHARS = 20_000, 32 << 20
 #: Drawn pages (two short fields each) up to which each task holds all of them.
 DRAWN = 100_000
 
@@ -303,7 +303,9 @@ def proposed(pages: DataFrame) -> DataFrame:
 
 def with_wrapper(rows: DataFrame, made: DataFrame) -> tuple[DataFrame, dict | None]:
     """``rows`` (host, ...) with their host's wrapper (null, if it has none); while wrappers are few, these come as a dict instead."""
-    if made.limit(HELD + 1).count() <= HELD:
+    chars = F.sum(sum((F.length(F.array_join(c, "")) for c in ("template", "menus")), F.length("root")))
+    count, size = made.agg(F.count(F.lit(1)), chars).head()
+    if count <= HELD and (size or 0) <= HELD_CHARS:
         return rows, {r["host"]: (r["root"], frozenset(r["template"]), frozenset(r["menus"])) for r in made.collect()}
     return join_hot(rows, made.select("host", F.struct("root", "template", "menus").alias("wrapper")), "host", "left"), None
 
@@ -319,8 +321,9 @@ def below(path: str, root: str) -> bool:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``proposed`` wrappers, held against all pages of their hosts: template texts that STAYS of them hold, and the content slot if it holds
-    most text of MOST of them."""
+    """``proposed`` wrappers (host, root, template, menus), held against all pages of their hosts: template texts that STAYS of them hold, the content slot if it
+    holds most text of MOST of them, and menus whose text lies in links over all of them. Pages with a null or empty html or without host, and an
+    empty table, teach nothing; repeated rows count again."""
     made = stored(proposed(pages))
     rows, held = with_wrapper(pages.select("html", host(F.col("url")).alias("host")).filter("host <> ''"), made)
 
@@ -335,6 +338,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 for text in {f"{b[0]}\n{b[3]}" for b in found}:
                     if text in own[1]:
                         counts[name, f"t{text}"] += 1
+                for path, _, _, text, linked in found:
+                    if path in own[2]:
+                        counts[name, f"c{path}"] += len(text)
+                        counts[name, f"k{path}"] += linked
                 whole, within = sum(len(b[3]) for b in found if not b[2]), sum(len(b[3]) for b in found if not b[2] and below(b[0], own[0]))
                 counts[name, "root"] += int(bool(own[0]) and 2 * within > whole)
             return {"host": [k[0] for k in counts], "what": [k[1] for k in counts], "n": list(counts.values())}
@@ -346,10 +353,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
     total = seen.filter("what = ''").select("host", F.col("n").alias("pages"))
     rated = seen.filter("what <> ''").join(total.hint("merge"), "host")
     stay = rated.filter((F.substring("what", 1, 1) == "t") & (F.col("n") >= STAYS * F.col("pages"))).groupBy("host").agg(F.collect_list(F.expr("substring(what, 2)")).alias("t"))
+    of_slot = rated.filter(F.substring("what", 1, 1).isin("c", "k")).groupBy("host", F.expr("substring(what, 2)").alias("path"))
+    of_slot = of_slot.agg(*(F.sum(F.when(F.substring("what", 1, 1) == c, F.col("n")).otherwise(0)).alias(c) for c in "ck"))
+    linked = of_slot.filter(F.col("k") >= LINKED * F.col("c")).groupBy("host").agg(F.collect_list("path").alias("m"))
     rooted = rated.filter((F.col("what") == "root") & (F.col("n") >= MOST * F.col("pages"))).select("host", F.lit(True).alias("r"))
-    whole = made.join(stay.hint("merge"), "host", "left").join(rooted.hint("merge"), "host", "left")
+    whole = made.join(stay.hint("merge"), "host", "left").join(rooted.hint("merge"), "host", "left").join(linked.hint("merge"), "host", "left")
     root = F.when(F.col("r"), F.col("root")).otherwise("")
-    return whole.select("host", root.alias("root"), F.coalesce("t", F.array().cast("array<string>")).alias("template"), "menus")
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(n) for c, n in (("t", "template"), ("m", "menus"))]
+    return whole.select("host", root.alias("root"), *lists)
 
 
 def main_text(html: str | None, made: tuple[str, frozenset, frozenset] | None = None) -> str:
@@ -362,7 +373,14 @@ def main_text(html: str | None, made: tuple[str, frozenset, frozenset] | None =
     if not inner:
         best = max((b[1] for b in found if not b[2]), default=0)
         inner = [b for b in found if b[1] == best]
-    return "\n\n".join(text for path, _, out, text, _ in inner if not out and path not in menus and f"{path}\n{text}" not in template)
+
+    def content(b) -> bool:
+        return b[1] > 0 or bool(root) and below(b[0], root)
+
+    # links within the content are part of it, unless they repeat a menu that stands around it
+    around = {b[3] for b in found if b[0] in menus and not content(b)} if menus else ()
+    menu = lambda b: b[0] in menus and (not content(b) or b[3] in around)
+    return "\n\n".join(b[3] for b in inner if not b[2] and not menu(b) and f"{b[0]}\n{b[3]}" not in template)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def sketch(text: str, digest) -> bytes:
 
 
 def gather(documents: DataFrame) -> DataFrame:
-    """term, entity, sketch, n: how often each term occurs (entity and sketch null), and near each entity, by the sketch of the document."""
+    """term, entity, sketch, n: how often each term occurs (entity and sketch null), and how many of its occurrences are near each entity, by the sketch of the document."""
 
     def make():
         from xxhash import xxh64_intdigest as digest
@@ -120,11 +120,12 @@ def gather(documents: DataFrame) -> DataFrame:
                         at.append(m.start())
                         known.append(w[0])
                 mark = sketch(text, digest)
+                near: dict[str, set[int]] = {}  # by entity, the occurrences beside any of its spans, each once
                 for span in spans:
-                    i, j, who = bisect_left(at, span[0]), bisect_left(at, span[2]), entity(text, span)
-                    for w in {*known[max(0, i - NEAR) : i], *known[j : j + NEAR]}:
-                        if is_term(w):
-                            totals[w, who, mark] += 1
+                    i, j = bisect_left(at, span[0]), bisect_left(at, span[2])
+                    near.setdefault(entity(text, span), set()).update(range(max(0, i - NEAR), i), range(j, min(len(at), j + NEAR)))
+                for who, places in near.items():
+                    totals.update((known[p], who, mark) for p in places if is_term(known[p]))
             return {"term": [k[0].decode("utf-8", "replace") for k in totals], "entity": [k[1] for k in totals], "sketch": [k[2] for k in totals], "n": list(totals.values())}
 
         return f
@@ -137,7 +138,8 @@ def disclosing_terms(documents: DataFrame, contexts: int = CONTEXTS, share: floa
     """term, and the entity kind it discloses most of: terms past the thresholds, from counts over all documents. ``contexts``: documents
     with term and entity, where near-copies count as one: the least number, over the parts of the sketch, of different values. How surprising it is that they meet as often as they
     do, where e times are to be expected, is n log2(n / e) - (n - e) log2(euler) bits (the large-deviation bound of a Poisson number);
-    it must come to log2(pairs / ``chance``)."""
+    it must come to log2(pairs / ``chance``). A null or empty text holds no term; documents without doc_id count like others; repeated rows
+    occur again, but are near-copies; of entities that a term is near equally often, the kind of the least is taken; an empty table gives no rows."""
     counts = stored(gather(documents))
     by_doc = counts.filter(F.col("entity").isNotNull())
     pairs = stored(by_doc.groupBy("term", "entity").agg(F.sum("n").alias("near"), F.count("sketch").alias("documents")))
@@ -154,7 +156,7 @@ def disclosing_terms(documents: DataFrame, contexts: int = CONTEXTS, share: floa
     parts = [F.countDistinct(F.substring("sketch", 4 * i + 1, 4)) for i in range(SKETCH)]
     unlike = by_doc.join(rated.select("term", "entity").hint("merge"), ["term", "entity"]).groupBy("term", "entity").agg(F.least(*parts).alias("unlike"))
     rated = rated.join(unlike.filter(F.col("unlike") >= contexts).hint("merge"), ["term", "entity"])
-    return rated.groupBy("term").agg(F.max_by(F.split("entity", " ")[0], "near").alias("kind"))
+    return rated.groupBy("term").agg(F.split(F.min(F.struct(-F.col("near"), "entity"))["entity"], " ")[0].alias("kind"))
 
 
 def find(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:

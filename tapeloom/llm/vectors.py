@@ -1,10 +1,13 @@
-"""What the searches over vectors share: taking part, blocks, merging of ranks."""
+"""What the searches over vectors share: taking part, rows of their own, blocks, merging of ranks."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", zero: bool = True) -> DataFrame:
     """vec_id, embedding (array<double>) of the rows that take part: not null, not empty, every component present and finite;
@@ -26,7 +29,24 @@ def dealt(key: str, n: int) -> F.Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def merged(found: DataFrame, k: int, best_first: F.Column) -> DataFrame:
+def asked(queries: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the queries and ask, a number for each row: rows that share a vec_id are queries each on its own. Written, so that the numbers stay."""
+    return stored(queries.select(*columns).withColumn("ask", F.monotonically_increasing_id()))
+
+
+def each_row(rows: DataFrame, k: int, *columns: str) -> DataFrame:
+    """``rows`` by ``columns``, equal ones at most ``k`` + 1 times: no more can be among a query's ``k`` best beside its own. However many copies
+    there are, they are counted before they are shuffled."""
+    copies = F.least(F.count(F.lit(1)), F.lit(k + 1).cast("long"))
+    return rows.groupBy(*columns).agg(copies.alias("_n")).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
+
+
+def own_row(ids: np.ndarray, rows: np.ndarray, own: int, row: np.ndarray) -> int | None:
+    """Where a query's own row stands among candidates: the first that has its id and its values. Rows that share only the id are others."""
+    return next((i for i in np.flatnonzero(ids == own).tolist() if (rows[i] == row).all()), None)
+
+
+def merged(found: DataFrame, k: int, best_first: F.Column, by: str = "query_id") -> DataFrame:
     """The first ``k`` of each query's finds, ranked from 1; ties to the smaller vec_id."""
-    w = Window.partitionBy("query_id").orderBy(best_first, "vec_id")
+    w = Window.partitionBy(by).orderBy(best_first, "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -556,11 +556,12 @@ def slow_terms(texts):
         plain = "".join(" " if any(s <= i < e for s, _, e in spans) else c for i, c in enumerate(t))
         words = [(m.start(), m[0].lower()) for m in re.finditer("[A-Za-z0-9]+", plain)]
         total.update(w for _, w in words if len(w) >= 4)
-        for span in spans:
-            before, after = [w for i, w in words if i < span[0]][-6:], [w for i, w in words if i >= span[2]][:6]
-            for w in {w for w in before + after if len(w) >= 4}:
-                near[w, pii.entity(t, span)] += 1
-                docs.setdefault((w, pii.entity(t, span)), set()).add(t)
+        for i, w in words:  # an occurrence is near an entity once, however many spans of it are about
+            between = lambda a, b: sum(a <= j < b for j, _ in words)
+            beside = {pii.entity(t, s) for s in spans if len(w) >= 4 and (i < s[0] and between(i + 1, s[0]) < 6 or i >= s[2] and between(s[2], i) < 6)}
+            for e in beside:
+                near[w, e] += 1
+                docs.setdefault((w, e), set()).add(t)
     by = Counter()
     for (_, e), n in near.items():
         by[e] += n
