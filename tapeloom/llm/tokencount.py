@@ -2,26 +2,30 @@
 
 A pre-token is a stretch of text whose edges no piece of the vocabulary crosses, so that its number of pieces doesn't depend on what
 stands beside it. The edges are read off the vocabulary: a piece holds a space at its beginning only, and characters that are in no piece of
-several characters stand alone. Per document the pre-tokens are counted; the distinct ones of the whole table are encoded, once each;
-joining gives every document the sum of frequency times pieces. Pre-tokens that hold more than one in ``FREQUENT`` rows (so at most that many)
-are joined by broadcast, all others by a shuffle in which no key is hot.
+several characters stand alone. The distinct pre-tokens of the whole table are encoded, once each; joined to the frequencies in each
+document, they give the sum of frequency times pieces. Those that hold more than one in ``FREQUENT`` of all frequencies (so at most that many)
+are joined where the frequencies are counted, all others by a shuffle in which no key is hot.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, stored
+from .common import SLICE, add_columns, stored
 
 #: How the model writes a space.
 SPACE = "▁"
-#: Keys that hold more than one row in so many are broadcast: at most so many keys of at most KEY characters.
+#: Pre-tokens that hold more than one in so many go to all tasks: at most so many, of at most KEY characters.
 FREQUENT, KEY = 50_000, 64
+#: Different pre-tokens that a task holds before it passes their counts on.
+HELD = 200_000
 
 
 class Pieces:
@@ -62,49 +66,72 @@ def pieces_of(model_path: str) -> Pieces:
     return Pieces(model_path)
 
 
-def frequencies(documents: DataFrame, model_path: str) -> DataFrame:
-    """``documents`` (any columns, text among them) as ``row`` (the other columns), n_bytes, words and times (each pre-token and how often)."""
+def vocabulary(documents: DataFrame, model_path: str) -> DataFrame:
+    """word, rows: each pre-token of the table, and how many texts hold it."""
 
-    def make():
-        pieces = pieces_of(model_path)
+    def run(batches):
+        split, found = pieces_of(model_path).pre_tokens, Counter()
 
-        def f(texts):
-            found = [pieces.pre_tokens(t) for t in texts]
-            return {"words": [list(c) for c in found], "times": [list(c.values()) for c in found]}
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "rows"])
 
-        return f
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for text in batch.column(0).slice(at, SLICE).to_pylist():
+                    found.update(split(text).keys())
+                    if len(found) > HELD:
+                        yield rows()
+                        found.clear()
+        yield rows()
 
-    pieces_of(model_path)  # a model of another kind fails here
-    rest = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c.lower() != "text")).alias("row")
-    rows = documents.select(rest, F.coalesce("text", F.lit("")).alias("text"))
-    made = add_columns(rows, ["text"], [("words", "array<string>"), ("times", "array<long>")], make)
-    return made.select("row", F.octet_length("text").cast("long").alias("n_bytes"), "words", "times")
+    part = documents.select("text").mapInArrow(run, "word string, rows long")
+    return part.groupBy("word").agg(F.sum("rows").alias("rows"))
+
+
+def key_of(word: str) -> str:
+    """Long pre-tokens by their digest, which is as long as no short one."""
+    return word if len(word) < KEY else hashlib.sha256(word.encode()).hexdigest()
 
 
 def token_counts(documents: DataFrame, model_path: str, frequent: int = FREQUENT) -> DataFrame:
     """``documents`` without their text, with n_bytes (UTF-8) and n_tokens (longs) of the whole text. A null or empty text has no tokens; nulls
     elsewhere, ties and repeated rows or ids stay as they are, row by row; an empty table gives no rows. Texts of any length count whole.
     Columns called n_bytes or n_tokens are replaced, others pass through, whatever their names."""
-    rest = [c for c in documents.columns if c.lower() not in ("n_bytes", "n_tokens")]
-    counted = stored(frequencies(documents.select(*(F.col(f"`{c}`") for c in rest)), model_path).withColumn("id", F.monotonically_increasing_id()))
-    pairs = counted.select("id", F.explode(F.arrays_zip("words", "times")).alias("x")).select("id", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-
-    def key(word: str) -> F.Column:  # long ones by their digest, which is as long as no short one
-        return F.when(F.length(word) < KEY, F.col(word)).otherwise(F.sha2(word, 256)).alias("key")
+    pieces_of(model_path)  # a model of another kind fails here
 
-    def make():
+    def count():
         pieces = pieces_of(model_path)
-        return lambda words: {"pieces": pieces.counts(words)}
+        return lambda words: {"key": [key_of(w) for w in words], "pieces": pieces.counts(words)}
 
-    distinct = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
-    known = stored(add_columns(distinct, ["word"], [("pieces", "long")], make).select(key("word"), "rows", "pieces"))
+    known = stored(add_columns(vocabulary(documents, model_path), ["word"], [("key", "string"), ("pieces", "long")], count).drop("word"))
     rows = known.agg(F.sum("rows")).head()[0] or 0
-    often = F.broadcast(known.filter(F.col("rows") > rows // frequent).select("key", "pieces"))
-    keyed = pairs.select("id", key("word"), "times")
-    common = keyed.join(often, "key").select("id", (F.col("times") * F.col("pieces")).alias("n"))
-    seldom = known.filter(F.col("rows") <= rows // frequent).select("key", "pieces").hint("merge")
-    others = keyed.join(often, "key", "left_anti").join(seldom, "key").select("id", (F.col("times") * F.col("pieces")).alias("n"))
-    sums = common.groupBy("id").agg(F.sum("n").alias("n")).unionByName(others.groupBy("id").agg(F.sum("n").alias("n")))
-    sums = sums.groupBy("id").agg(F.sum("n").alias("n"))
-    whole = counted.select("id", "row", "n_bytes").join(sums.hint("merge"), "id", "left")
-    return whole.select("row.*", "n_bytes", F.coalesce("n", F.lit(0).cast("long")).alias("n_tokens"))
+    often = {x["key"]: x["pieces"] for x in known.filter(F.col("rows") > rows // frequent).collect()}  # at most `frequent` keys of KEY characters
+
+    def look_up():
+        pieces = pieces_of(model_path)
+
+        def f(texts):
+            out: dict[str, list] = {"common": [], "keys": [], "times": []}
+            for text in texts:
+                common, keys, times = 0, [], []
+                for word, n in pieces.pre_tokens(text).items():
+                    if (made := often.get(key_of(word))) is not None:
+                        common += n * made
+                    else:
+                        keys.append(key_of(word))
+                        times.append(n)
+                for name, x in zip(out, (common, keys, times), strict=True):
+                    out[name].append(x)
+            return out
+
+        return f
+
+    rest = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("text", "n_bytes", "n_tokens"))).alias("row")
+    texts = documents.select(rest, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    found = add_columns(texts, ["text"], [("common", "long"), ("keys", "array<string>"), ("times", "array<long>")], look_up).drop("text")
+    counted = stored(found.withColumn("id", F.monotonically_increasing_id()))
+    pairs = counted.select("id", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("id", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    seldom = known.filter(F.col("rows") <= rows // frequent).select("key", "pieces")
+    sums = pairs.join(seldom.hint("merge"), "key").groupBy("id").agg(F.sum(F.col("times") * F.col("pieces")).alias("others"))
+    whole = counted.select("id", "row", "n_bytes", "common").join(sums.hint("merge"), "id", "left")
+    return whole.select("row.*", "n_bytes", (F.col("common") + F.coalesce("others", F.lit(0))).alias("n_tokens"))
