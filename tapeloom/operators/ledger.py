@@ -12,19 +12,29 @@ TOLERANCE = 1e-9
 CHUNK = 90 * 86_400_000_000
 
 
-def positions(fills: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def positions(fills: DataFrame, tolerance: float = TOLERANCE, hot: list | None = None) -> DataFrame:
     """Position after each fill (flat within the tolerance) and life, which counts up whenever the position leaves zero. A
-    fill that crosses zero stays in its life. ``seq`` follows ``t``."""
-    rows = scan.running(fills, {"_run": F.col("qty")}, CHUNK, order=("seq",))
-    rows = rows.withColumn("position", F.when(F.abs("_run") < tolerance, 0.0).otherwise(F.col("_run")))
-    starts = (F.abs(F.col("_run") - F.col("qty")) < tolerance).cast("int")
-    return scan.running(rows, {"life": starts}, CHUNK, order=("seq",)).drop("_run")
+    fill that crosses zero stays in its life. ``seq`` follows ``t``. A symbol's fills lie together once, and both are running sums there; only ``hot`` symbols
+    (counted, if None) go by chunks of time."""
+    few, many = scan.split_hot(fills, scan.hot_keys(fills) if hot is None else hot)
 
+    def marked(rows: DataFrame, total) -> DataFrame:
+        rows = total(rows, "_run", F.col("qty"))
+        rows = rows.withColumn("position", F.when(F.abs("_run") < tolerance, 0.0).otherwise(F.col("_run")))
+        starts = (F.abs(F.col("_run") - F.col("qty")) < tolerance).cast("long")
+        return total(rows, "life", starts).drop("_run")
 
-def trades(fills: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    so_far = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    made = marked(few, lambda rows, name, value: rows.withColumn(name, F.sum(value).over(so_far)))
+    if many is None:
+        return made
+    return made.unionByName(marked(many, lambda rows, name, value: scan.running(rows, {name: value}, CHUNK, order=("seq",))))
+
+
+def trades(fills: DataFrame, tolerance: float = TOLERANCE, hot: list | None = None) -> DataFrame:
     """One row for each closed lifecycle: side of its first fill, times, gross, fees, net, entry quantity and notional, adds
     (distinct entry orders less one), order ids, win."""
-    rows = positions(fills, tolerance)
+    rows = positions(fills, tolerance, hot)
     first = F.first("qty").over(Window.partitionBy("symbol", "life").orderBy("seq"))
     entry = F.col("qty") * F.signum(F.col("_first")) > 0
     made = rows.withColumn("_first", first).groupBy("symbol", "life").agg(
@@ -68,13 +78,23 @@ def entry_prices(fills: DataFrame) -> DataFrame:
     return rows.withColumn("anchor_distance", F.when(F.col("is_entry"), away))
 
 
-def running_results(trades: DataFrame, day: int = 86_400_000_000) -> DataFrame:
-    """Per symbol, net so far, net of its UTC day so far, and drawdown from the best so far (at least zero)."""
+def running_results(trades: DataFrame, day: int = 86_400_000_000, hot: list | None = None) -> DataFrame:
+    """Per symbol, net so far, net of its UTC day so far, and drawdown from the best so far (at least zero). ``hot`` symbols go by
+    chunks of time, as all do if it is None."""
     at = {"by": "close_t", "order": ("close_t", "life")}
-    rows = scan.running(trades.withColumn("day", F.floor(F.col("close_t") / F.lit(day)).cast("long")), {"cum_net": F.col("net")}, CHUNK, **at)
-    rows = rows.withColumn("day_net", F.sum("net").over(Window.partitionBy("symbol", "day").orderBy("close_t", "life")))
-    rows = scan.running(rows, {"_best": F.col("cum_net")}, CHUNK, **at, fold="max")
-    return rows.withColumn("drawdown", F.greatest("_best", F.lit(0.0)) - F.col("cum_net")).drop("_best")
+    rows = trades.withColumn("day", F.floor(F.col("close_t") / F.lit(day)).cast("long"))
+    few, many = (None, rows) if hot is None else scan.split_hot(rows, hot)
+    so_far = Window.partitionBy("symbol").orderBy("close_t", "life").rowsBetween(Window.unboundedPreceding, 0)
+
+    def marked(rows: DataFrame, total) -> DataFrame:
+        rows = total(rows, "cum_net", F.col("net"), "sum")
+        rows = rows.withColumn("day_net", F.sum("net").over(Window.partitionBy("symbol", "day").orderBy("close_t", "life")))
+        return total(rows, "_best", F.col("cum_net"), "max")
+
+    made = [marked(few, lambda rows, n, v, f: rows.withColumn(n, getattr(F, f)(v).over(so_far)))] if few is not None else []
+    made += [marked(many, lambda rows, n, v, f: scan.running(rows, {n: v}, CHUNK, **at, fold=f))] if many is not None else []
+    whole = made[0] if len(made) == 1 else made[0].unionByName(made[1])
+    return whole.withColumn("drawdown", F.greatest("_best", F.lit(0.0)) - F.col("cum_net")).drop("_best")
 
 
 def recent_win_rate(trades: DataFrame, n: int) -> DataFrame:

@@ -36,6 +36,27 @@ def indexed(df: DataFrame, width: int, key: str = "symbol") -> DataFrame:
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy(key, "part").orderBy("t", "seq")) - 1 + F.col("before")).drop("part", "before")
 
 
+#: A key is hot if it holds over one in so many rows, and over so many at all.
+HOT, MANY = 1_000, 2_000_000
+
+
+def hot_keys(df: DataFrame, key: str = "symbol", share: int = HOT, many: int = MANY) -> list:
+    """Keys whose rows should not meet in one task: at most ``share`` of them, counted by partial sums."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.max("n").alias("most"), F.sum("n").alias("n")).head()
+    if (total["most"] or 0) <= many:
+        return []
+    return [r[0] for r in counts.filter((F.col("n") > many) & (F.col("n") > total["n"] / share) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def split_hot(df: DataFrame, hot: list, key: str = "symbol") -> tuple[DataFrame, DataFrame | None]:
+    """Rows of all other keys, and those of hot ones, if there are any."""
+    if not hot:
+        return df, None
+    often = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return df.filter(~often), df.filter(often)
+
+
 def running(df: DataFrame, values: dict[str, Column], width: int, key: str = "symbol", by: str = "t", order: tuple[str, ...] = ("t", "seq"), fold: str = "sum") -> DataFrame:
     """``df`` with running sums (or maxima: ``fold``) by ``order`` within ``key``, the row included: folds inside chunks of ``by``, and the
     fold of earlier chunks carried in."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, scalars
-from ..operators import joins, ledger, models, stats
+from ..operators import joins, ledger, models, scan, stats
 from ..params import FIXTURE as P
 from ..sources import adapters, readers, sinks
 from ..sources.adapters import table
@@ -18,6 +18,13 @@ def made_trades(spark, d):
     return ledger.trades(adapters.fills(spark, d))
 
 
+def results(spark, d):
+    """Running results; a symbol is hot if its fills are."""
+    fills = adapters.fills(spark, d)
+    hot = scan.hot_keys(fills)
+    return ledger.running_results(ledger.trades(fills, hot=hot), hot=hot)
+
+
 @query("A6_order_rollup", "symbol order_id|qty avg_price commission realized", "fills", sql="SELECT symbol, order_id, sum(abs(qty)) AS qty, sum(price * abs(qty)) / sum(abs(qty)) AS avg_price, sum(commission) AS commission, sum(realized) AS realized FROM fills GROUP BY 1, 2")
 def _(spark, d):
     return ledger.orders(adapters.fills(spark, d))
@@ -133,12 +140,12 @@ def _(spark, d):
 @query("W15_T11_running_results", "symbol life day|cum_net day_net drawdown", "trades", sql=f"""SELECT symbol, life, day, cum AS cum_net, sum(net) OVER (PARTITION BY symbol, day ORDER BY close_t, life) AS day_net, greatest(max(cum) OVER (PARTITION BY symbol ORDER BY close_t, life), 0.0) - cum AS drawdown
   FROM (SELECT *, close_t // {DAY} AS day, sum(net) OVER (PARTITION BY symbol ORDER BY close_t, life) AS cum FROM trades)""")
 def _(spark, d):
-    return ledger.running_results(made_trades(spark, d))
+    return results(spark, d)
 
 
 @query("P18_daily_lock", "symbol life lock", "trades", sql=f"""SELECT symbol, life, CASE WHEN x <= -50000 THEN 'loss_limit' WHEN x >= 50000 THEN 'profit_target' END AS lock FROM (SELECT *, sum(net) OVER (PARTITION BY symbol, close_t // {DAY} ORDER BY close_t, life) AS x FROM trades)""")
 def _(spark, d):
-    return ledger.running_results(made_trades(spark, d)).withColumn("lock", rules.daily_lock(F.col("day_net"), 50_000, 50_000, False))
+    return results(spark, d).withColumn("lock", rules.daily_lock(F.col("day_net"), 50_000, 50_000, False))
 
 
 @query("W16_P16_recent_win_rate", "symbol life|recent_win_rate", "trades", sql=f"SELECT symbol, life, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY symbol ORDER BY close_t, life ROWS BETWEEN {P.win_rate_window} PRECEDING AND 1 PRECEDING) AS recent_win_rate FROM trades WHERE life % 5 <> 0")

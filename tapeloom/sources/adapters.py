@@ -49,20 +49,21 @@ TOTAL_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quant
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, seq, t, order_id, side, qty (signed), price, commission, realized: two opening rows and a closing one, over and
     over, for each part; odd parts are short. Prices are in cents, so that sums of money are the same in any order."""
-    rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy(*TOTAL_ORDER)).cast("long")
-    lines = table(spark, sf_dir, "lineitem").withColumn("seq", rn)
-    trio = Window.partitionBy("l_partkey", F.floor((F.col("seq") - 1) / 3)).orderBy("seq")
+    symbol = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    rn = F.row_number().over(Window.partitionBy("symbol").orderBy(*TOTAL_ORDER)).cast("long")
+    lines = table(spark, sf_dir, "lineitem").withColumn("symbol", symbol).withColumn("seq", rn)  # rows lie by symbol, here and in what follows
+    trio = Window.partitionBy("symbol", F.floor((F.col("seq") - 1) / 3)).orderBy("seq")
     way = F.when(F.col("l_partkey") % 2 == 1, -1.0).otherwise(1.0)
     opened = F.sum("l_quantity").over(trio.rowsBetween(Window.unboundedPreceding, -1))
     qty = F.when(F.col("seq") % 3 == 0, -opened).otherwise(F.col("l_quantity")) * way
     price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100
     rows = lines.select(
-        "l_partkey", "seq", micros("l_shipdate").alias("t"), F.col("l_orderkey").alias("order_id"), qty.alias("qty"), price.alias("price"),
+        "symbol", "seq", micros("l_shipdate").alias("t"), F.col("l_orderkey").alias("order_id"), qty.alias("qty"), price.alias("price"),
         (F.floor(F.col("l_extendedprice") * F.col("l_tax") * 100 + 0.5) / 10_000).alias("commission"),
     )
-    cash = F.sum(-F.col("qty") * F.col("price")).over(Window.partitionBy("l_partkey", F.floor((F.col("seq") - 1) / 3)).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    cash = F.sum(-F.col("qty") * F.col("price")).over(trio.rowsBetween(Window.unboundedPreceding, 0))
     return rows.select(
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"), "seq", "t", "order_id",
+        "symbol", "seq", "t", "order_id",
         F.when(F.col("qty") > 0, "BUY").otherwise("SELL").alias("side"), "qty", "price", "commission",
         F.when(F.col("seq") % 3 == 0, cash).otherwise(F.lit(0.0)).alias("realized"),
     )
