@@ -4,13 +4,12 @@ A pre-token is a stretch of text whose edges no piece of the vocabulary crosses,
 stands beside it. The edges are read off the vocabulary: a piece holds a space at its beginning only, and characters that are in no piece of
 several characters stand alone. The distinct pre-tokens of the whole table are encoded, once each; joined to the frequencies in each
 document, they give the sum of frequency times pieces. Those that hold more than one in ``FREQUENT`` of all frequencies (so at most that many)
-are joined where the frequencies are counted, all others by a shuffle in which no key is hot.
+are joined where the frequencies are counted, all others by a shuffle in which no key is hot and a word is eight bytes.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 from collections import Counter
 
@@ -22,8 +21,8 @@ from .common import SLICE, add_columns, stored
 
 #: How the model writes a space.
 SPACE = "▁"
-#: Pre-tokens that hold more than one in so many go to all tasks: at most so many, of at most KEY characters.
-FREQUENT, KEY = 50_000, 64
+#: Pre-tokens that hold more than one in so many of all frequencies go to all tasks: at most so many, of less than KEY characters.
+FREQUENT, KEY = 1_000_000, 64
 #: Different pre-tokens that a task holds before it passes their counts on.
 HELD = 200_000
 
@@ -88,9 +87,9 @@ def vocabulary(documents: DataFrame, model_path: str) -> DataFrame:
     return part.groupBy("word").agg(F.sum("rows").alias("rows"))
 
 
-def key_of(word: str) -> str:
-    """Long pre-tokens by their digest, which is as long as no short one."""
-    return word if len(word) < KEY else hashlib.sha256(word.encode()).hexdigest()
+def key() -> F.Column:
+    """Eight bytes that stand for a word in the shuffle."""
+    return F.xxhash64("word").alias("key")
 
 
 def token_counts(documents: DataFrame, model_path: str, frequent: int = FREQUENT) -> DataFrame:
@@ -101,26 +100,30 @@ def token_counts(documents: DataFrame, model_path: str, frequent: int = FREQUENT
 
     def count():
         pieces = pieces_of(model_path)
-        return lambda words: {"key": [key_of(w) for w in words], "pieces": pieces.counts(words)}
+        return lambda words: {"pieces": pieces.counts(words)}
 
-    known = stored(add_columns(vocabulary(documents, model_path), ["word"], [("key", "string"), ("pieces", "long")], count).drop("word"))
+    known = stored(add_columns(vocabulary(documents, model_path), ["word"], [("pieces", "long")], count))
     rows = known.agg(F.sum("rows")).head()[0] or 0
-    often = {x["key"]: x["pieces"] for x in known.filter(F.col("rows") > rows // frequent).collect()}  # at most `frequent` keys of KEY characters
+    # different words of one key, if their pieces differ: some n ** 2 / 2 ** 65 of n words, so they go with the frequent ones, by the word itself
+    clash = known.groupBy(key()).agg(F.min("pieces").alias("a"), F.max("pieces").alias("b")).filter("a <> b").select("key")
+    often = (F.col("rows") > rows // frequent) & (F.length("word") < KEY)
+    clashing = known.withColumn("key", key()).join(F.broadcast(clash), "key", "left_semi")
+    held = {x["word"]: x["pieces"] for x in known.filter(often).select("word", "pieces").unionByName(clashing.select("word", "pieces")).collect()}
 
     def look_up():
-        pieces = pieces_of(model_path)
+        split = pieces_of(model_path).pre_tokens
 
         def f(texts):
-            out: dict[str, list] = {"common": [], "keys": [], "times": []}
+            out: dict[str, list] = {"common": [], "words": [], "times": []}
             for text in texts:
-                common, keys, times = 0, [], []
-                for word, n in pieces.pre_tokens(text).items():
-                    if (made := often.get(key_of(word))) is not None:
+                common, words, times = 0, [], []
+                for word, n in split(text).items():
+                    if (made := held.get(word)) is not None:
                         common += n * made
                     else:
-                        keys.append(key_of(word))
+                        words.append(word)
                         times.append(n)
-                for name, x in zip(out, (common, keys, times), strict=True):
+                for name, x in zip(out, (common, words, times), strict=True):
                     out[name].append(x)
             return out
 
@@ -128,10 +131,10 @@ def token_counts(documents: DataFrame, model_path: str, frequent: int = FREQUENT
 
     rest = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("text", "n_bytes", "n_tokens"))).alias("row")
     texts = documents.select(rest, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    found = add_columns(texts, ["text"], [("common", "long"), ("keys", "array<string>"), ("times", "array<long>")], look_up).drop("text")
+    found = add_columns(texts, ["text"], [("common", "long"), ("words", "array<string>"), ("times", "array<int>")], look_up).drop("text")
     counted = stored(found.withColumn("id", F.monotonically_increasing_id()))
-    pairs = counted.select("id", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("id", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    seldom = known.filter(F.col("rows") <= rows // frequent).select("key", "pieces")
-    sums = pairs.join(seldom.hint("merge"), "key").groupBy("id").agg(F.sum(F.col("times") * F.col("pieces")).alias("others"))
+    pairs = counted.select("id", F.explode(F.arrays_zip("words", "times")).alias("x")).select("id", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    seldom = known.filter(~often).groupBy(key()).agg(F.min("pieces").alias("pieces"))  # one row a key; those that clash are looked up by word
+    sums = pairs.select("id", key(), "times").join(seldom.hint("merge"), "key").groupBy("id").agg(F.sum(F.col("times") * F.col("pieces")).alias("others"))
     whole = counted.select("id", "row", "n_bytes", "common").join(sums.hint("merge"), "id", "left")
     return whole.select("row.*", "n_bytes", (F.col("common") + F.coalesce("others", F.lit(0))).alias("n_tokens"))

@@ -136,6 +136,12 @@ def test_token_counts_against_the_library(spark, docs, model, frequent):
     assert tokencount.token_counts(docs.limit(0), queries.PIECES).count() == 0
 
 
+def test_words_of_one_key_are_told_apart(spark, docs, model, monkeypatch):
+    monkeypatch.setattr(tokencount, "key", lambda: (F.xxhash64("word") % 7).alias("key"))  # nearly all words clash
+    got = tokencount.token_counts(docs, queries.PIECES, 1)
+    assert same(got.select("doc_id", "n_tokens").collect(), [(x["doc_id"], len(model.encode(x["text"] or ""))) for x in docs.collect()])
+
+
 def test_token_count_query(spark, model):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = [(x["doc_id"], len((x["text"] or "").encode()), n := len(model.encode(x["text"] or "")), n > 4096) for x in rows]
