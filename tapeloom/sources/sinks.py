@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once and read back: what is used several times isn't computed again, and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_trades(trades: DataFrame, path: str, kind: str = "parquet") -> None:
     """Append, one row for each closed trade; lifecycles that the log already holds are not written again. For foreachBatch: one writer
     at a time, as a stream has."""
