@@ -122,9 +122,11 @@ def clean_log(log: DataFrame) -> DataFrame:
     return log.withColumn("net", value).filter(F.col("net").isNotNull() & ~F.isnan("net") & (F.abs("net") < float("inf")))
 
 
-def peak_pnl(ticks: DataFrame) -> DataFrame:
-    """The best net so far within a lifecycle."""
-    return ticks.withColumn("peak", F.max("net").over(Window.partitionBy("symbol", "life").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)))
+def peak_pnl(ticks: DataFrame, activation: float | None = None) -> DataFrame:
+    """The best net so far within a lifecycle; with ``activation``, the best since the lock was armed, which the first tick does whose net reaches it: null before."""
+    best = F.max("net").over(Window.partitionBy("symbol", "life").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    # what came before the arming tick lies under the activation, so the best since it is the best of all
+    return ticks.withColumn("peak", best if activation is None else F.when(best >= activation, best))
 
 
 def clamp_step(snapshots: DataFrame, most: int) -> DataFrame:
@@ -137,6 +139,18 @@ def match_fills(fills: DataFrame, registered: DataFrame) -> DataFrame:
     return fills.join(registered.dropDuplicates(["order_id"]).withColumn("matched", F.lit(True)), "order_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+def match_once(fills: DataFrame, registered: DataFrame, ttl: int) -> DataFrame:
+    """Each order (order_id, order_t) takes one fill (order_id, t, seq): the first that isn't over ``ttl`` older than it. outcome: matched, replayed (the fill
+    came first and waited) or dropped (no order in time, or the order had taken another)."""
+    once = registered.groupBy("order_id").agg(F.min("order_t").alias("order_t"))
+    both = fills.join(once.hint("merge"), "order_id", "left")
+    alive = F.coalesce(F.col("t") >= F.col("order_t") - ttl, F.lit(False))
+    w = Window.partitionBy("order_id", "_alive").orderBy("t", "seq")
+    taken = F.col("_alive") & (F.col("_n") == 1)
+    outcome = F.when(~taken, "dropped").when(F.col("t") >= F.col("order_t"), "matched").otherwise("replayed")
+    return both.withColumn("_alive", alive).withColumn("_n", F.row_number().over(w)).withColumn("outcome", outcome).drop("_alive", "_n", "order_t")
+
+
 def algo_outcome(algos: DataFrame, children: DataFrame) -> DataFrame:
     """Conditional orders with their child: FILLED, WORKING, or CANCELLED where one finished without a child."""
     joined = algos.join(children.select(F.col("order_id").alias("actual_order_id"), F.lit(True).alias("_child")).distinct(), "actual_order_id", "left")
@@ -169,7 +183,12 @@ def reconcile(local: DataFrame, exchange: DataFrame, tolerance: float = 1e-6, gr
 
 def stop_actions(positions: DataFrame, stops: DataFrame) -> DataFrame:
     """What to do with each open stop (owned or not) and with positions without one: ADOPT the first owned stop of an open
-    position, CANCEL its others, PLACE one if there is none, CANCEL_STALE owned stops of flat symbols, LEAVE foreign ones."""
+    position, CANCEL its others, PLACE one if there is none, CANCEL_STALE owned stops of flat symbols, LEAVE foreign ones. Where the stops of a symbol couldn't be
+    listed (column listed of ``positions`` is false), its position is BLOCKed: nothing is placed, adopted or cancelled blind."""
+    if "listed" in positions.columns:
+        blind = positions.filter(~F.coalesce("listed", F.lit(False)))
+        known = stop_actions(positions.filter("listed").drop("listed"), stops.join(blind.select("symbol").hint("merge"), "symbol", "left_anti"))
+        return known.unionByName(blind.select("symbol", F.lit(None).cast("long").alias("stop_id"), F.lit("BLOCK").alias("action")))
     rn = F.row_number().over(Window.partitionBy("symbol", "owned").orderBy("stop_id"))
     both = positions.filter("is_open").select("symbol", F.lit(True).alias("open")).join(stops.withColumn("_n", rn).hint("merge"), "symbol", "full_outer")
     has = F.max(F.coalesce("owned", F.lit(False)).cast("int")).over(Window.partitionBy("symbol")) == 1

@@ -48,3 +48,22 @@ def average_imbalance(frames: DataFrame, window: int, chunk: int) -> DataFrame:
         return rows.withColumn("avg_imbalance", F.avg("imbalance").over(Window.partitionBy("symbol", "chunk").orderBy("t").rangeBetween(-window, 0)))
 
     return scan.over_chunks(frames, max(chunk, window), make, back=window)
+
+
+def imbalance_at(ticks: DataFrame, frames: DataFrame, window: int, stale: int, chunk: int) -> DataFrame:
+    """``ticks`` with the mean imbalance of the frames of the last ``window`` microseconds (both ends included); where there is none, the latest
+    frame's, if it isn't over ``stale`` old, else 0. Frames of a tick's own time count."""
+    none = F.lit(None).cast("double")
+    both = ticks.withColumn("_side", F.lit(1)).withColumn("imbalance", none).withColumn("_at", F.lit(None).cast("long"))
+    both = both.unionByName(frames.select("symbol", "t", F.lit(0).alias("_side"), "imbalance", F.col("t").alias("_at")), allowMissingColumns=True)
+    back = max(window, stale)
+
+    def make(rows, _):
+        by_time = Window.partitionBy("symbol", "chunk").orderBy("t").rangeBetween(-window, 0)
+        so_far = Window.partitionBy("symbol", "chunk").orderBy("t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        latest = F.last(F.when(F.col("_side") == 0, F.struct("_at", "imbalance")), ignorenulls=True).over(so_far)
+        rows = rows.withColumn("_mean", F.avg("imbalance").over(by_time)).withColumn("_latest", latest)
+        fresh = F.when(F.col("t") - F.col("_latest._at") <= stale, F.col("_latest.imbalance"))
+        return rows.withColumn("avg_imbalance", F.coalesce("_mean", fresh, F.lit(0.0)))
+
+    return scan.over_chunks(both, max(chunk, 4 * back), make, back=back).filter("_side = 1").select(*ticks.columns, "avg_imbalance")

@@ -45,18 +45,19 @@ def hierarchy(ticks: DataFrame, key: str = "symbol", base: int = BASE) -> DataFr
     return lower.select(key, "level", "node", "least", "greatest").unionByName(upper)
 
 
-#: The nodes of the numbers from low up to high: at each level the first, if it is a right child, and the last, if the one after it is.
-NODES = """filter(flatten(transform(sequence(0, CAST(floor(log2(high - low)) AS INT)), l -> array(
-  CASE WHEN shiftright(low + shiftleft(1L, l) - 1, l) < shiftright(high, l) AND shiftright(low + shiftleft(1L, l) - 1, l) % 2 = 1 THEN named_struct('level', l, 'node', shiftright(low + shiftleft(1L, l) - 1, l)) END,
-  CASE WHEN shiftright(low + shiftleft(1L, l) - 1, l) < shiftright(high, l) AND shiftright(high, l) % 2 = 1 THEN named_struct('level', l, 'node', shiftright(high, l) - 1) END))), x -> x IS NOT NULL)"""
+def nodes_of(spans: DataFrame, key: str = "symbol") -> DataFrame:
+    """key, id, level, node: the nodes that make up the numbers from low up to high of each span. At each level the first node, if it is a right child, and the last, if
+    the one after it is."""
+    levels = spans.filter("high > low").select(key, "id", "low", "high", F.explode(F.expr("sequence(0, CAST(floor(log2(high - low)) AS INT))")).alias("level"))
+    ends = levels.select(key, "id", "level", F.expr("shiftright(low + shiftleft(1L, level) - 1, level)").alias("a"), F.expr("shiftright(high, level)").alias("b")).filter("a < b")
+    return ends.select(key, "id", "level", F.explode(F.expr("array(CASE WHEN a % 2 = 1 THEN a END, CASE WHEN b % 2 = 1 THEN b - 1 END)")).alias("node")).filter("node IS NOT NULL")
 
 
 def extremes(spans: DataFrame, ticks: DataFrame, value: str = "price", key: str = "symbol", id_: str = "life", base: int = BASE, **ends) -> DataFrame:
     """Key, id, n (ticks within the span, ends included), least, greatest of ``value`` over them (null, if there are none). ``id_`` is of one span alone."""
     places, asked = numbered(ticks, spans, value, key, id_, **ends)
     nodes = hierarchy(places, key, base)
-    asks = asked.filter("high > low").select(key, "id", F.explode(F.expr(NODES)).alias("x")).select(key, "id", F.col("x.level").alias("level"), F.col("x.node").alias("node"))
-    found = asks.join(nodes.hint("merge"), [key, "level", "node"]).groupBy(key, "id").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    found = nodes_of(asked, key).join(nodes.hint("merge"), [key, "level", "node"]).groupBy(key, "id").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
     whole = asked.join(found.hint("merge"), [key, "id"], "left")
     return whole.select(key, F.col("id").alias(id_), (F.col("high") - F.col("low")).alias("n"), "least", "greatest")
 

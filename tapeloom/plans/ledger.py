@@ -137,6 +137,21 @@ def _(spark, d):
     return stats.auc(scored_trades(spark, d))
 
 
+@query("M5_reliability", "bin n|mean_p rate base_rate gap over_base", "trades", sql=f"""SELECT bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate, any_value(b) AS base_rate, avg(y) - avg(p) AS gap, avg(y) - any_value(b) AS over_base
+  FROM (SELECT p, y, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, avg(y) OVER () AS b FROM ({SCORED})) GROUP BY bin""")
+def _(spark, d):
+    """Calibration against the base rate."""
+    return stats.reliability(scored_trades(spark, d))
+
+
+@query("M5_isotonic", "n pos|low high rate", "trades", sql=f"""WITH s AS (SELECT p, row_number() OVER (ORDER BY p) AS i, n, pos, sum(n) OVER (ORDER BY p) AS cn, sum(pos) OVER (ORDER BY p) AS cp FROM (SELECT p, count(*) AS n, sum(y) AS pos FROM ({SCORED}) GROUP BY p)),
+  spans AS (SELECT a.i AS a, b.i AS i, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) AS m FROM s a JOIN s b ON a.i <= b.i), fit AS (SELECT i, max(m) AS rate FROM (SELECT a, i, min(m) OVER (PARTITION BY a ORDER BY i DESC) AS m FROM spans) GROUP BY i)
+  SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS pos, min(p) AS low, max(p) AS high, rate FROM fit JOIN s USING (i) GROUP BY rate""")
+def _(spark, d):
+    """The rising fit of the win rate over the probability."""
+    return stats.isotonic(scored_trades(spark, d))
+
+
 @query("W15_T11_running_results", "symbol life day|cum_net day_net drawdown", "trades", sql=f"""SELECT symbol, life, day, cum AS cum_net, sum(net) OVER (PARTITION BY symbol, day ORDER BY close_t, life) AS day_net, greatest(max(cum) OVER (PARTITION BY symbol ORDER BY close_t, life), 0.0) - cum AS drawdown
   FROM (SELECT *, close_t // {DAY} AS day, sum(net) OVER (PARTITION BY symbol ORDER BY close_t, life) AS cum FROM trades)""")
 def _(spark, d):
@@ -181,6 +196,13 @@ def _(spark, d):
     return ledger.peak_pnl(position_ticks(spark, d))
 
 
+@query("W20_armed_peak", "symbol seq|peak", "tape", sql=f"""SELECT symbol, seq, CASE WHEN armed THEN max(CASE WHEN armed THEN net END) OVER (PARTITION BY symbol, life ORDER BY t, seq) END AS peak
+  FROM (SELECT *, count(*) FILTER (net >= 3) OVER (PARTITION BY symbol, life ORDER BY t, seq) > 0 AS armed FROM (SELECT symbol, seq, t, t // {DAY} AS life, price - 104 AS net FROM tape))""")
+def _(spark, d):
+    """The peak since the profit lock was armed, by a net of 3."""
+    return ledger.peak_pnl(position_ticks(spark, d), 3.0)
+
+
 #: Trades of parts on the tape's symbols and time axis.
 ON_TAPE = "'S' || CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS VARCHAR)"
 
@@ -274,6 +296,16 @@ def _(spark, d):
     return ledger.stop_actions(c.select("symbol", (k % 2 == 0).alias("is_open")), stops)
 
 
+@query("J4_blocked_stops", "symbol stop_id action", sql="""SELECT 'C' || CAST(c_custkey AS VARCHAR) AS symbol, i AS stop_id, CASE WHEN i IS NULL THEN CASE WHEN c_custkey % 7 = 0 THEN 'BLOCK' ELSE 'PLACE' END WHEN c_custkey % 2 = 1 THEN 'CANCEL_STALE' WHEN i % 10 = 0 THEN 'ADOPT' ELSE 'CANCEL' END AS action
+  FROM (SELECT c_custkey, unnest(CASE WHEN c_custkey % 7 = 0 THEN [NULL] WHEN c_custkey % 3 = 0 THEN [c_custkey * 10, c_custkey * 10 + 1] WHEN c_custkey % 2 = 0 THEN [NULL] END) AS i FROM customer)""")
+def _(spark, d):
+    """Positions whose stops couldn't be listed (here: every seventh) are blocked, whatever stops there are."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k, F.concat(F.lit("C"), k.cast("string")).alias("symbol"))
+    stops = c.filter("c_custkey % 3 = 0").select("symbol", F.explode(F.array(k * 10, k * 10 + 1)).alias("stop_id"), F.lit(True).alias("owned"))
+    return ledger.stop_actions(c.select("symbol", (k % 2 == 0).alias("is_open"), (k % 7 != 0).alias("listed")), stops)
+
+
 @query("J13_semi_join", "symbol n", "fills", sql="SELECT symbol, count(*) AS n FROM fills WHERE symbol IN (SELECT symbol FROM (SELECT symbol, max(seq) AS m FROM fills GROUP BY 1) WHERE m % 3 <> 0) GROUP BY 1")
 def _(spark, d):
     f = adapters.fills(spark, d)
@@ -285,7 +317,12 @@ def _(spark, d):
     return stats.overlap(made_trades(spark, d), 500)
 
 
-@query("K6_admitted", "account symbol life admitted")
+PLACES = """WITH RECURSIVE q AS (SELECT symbol, life, open_t, close_t, CAST(substr(symbol, 2) AS BIGINT) % 10 AS account, row_number() OVER (PARTITION BY CAST(substr(symbol, 2) AS BIGINT) % 10 ORDER BY open_t, symbol, life) AS n FROM trades),
+  m AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS n, '' AS symbol, CAST(0 AS BIGINT) AS life, false AS admitted, CAST([] AS BIGINT[]) AS taken FROM q UNION ALL SELECT account, n, symbol, life, len(free) < 2, CASE WHEN len(free) < 2 THEN list_append(free, close_t) ELSE free END
+  FROM (SELECT q.*, list_filter(m.taken, lambda x: x > q.open_t) AS free FROM m JOIN q ON q.account = m.account AND q.n = m.n + 1)) SELECT account, symbol, life, admitted FROM m WHERE n > 0"""
+
+
+@query("K6_admitted", "account symbol life admitted", "trades", sql=PLACES)
 def _(spark, d):
     """Ten accounts with two places each."""
     t = made_trades(spark, d).withColumn("account", F.substring("symbol", 2, 20).cast("long") % 10)

@@ -285,6 +285,15 @@ def _(spark, d):
 FRAME_T = "1704067200000000 + (frame * 1000003000) % 2592000000000"
 
 
+@query("W12_imbalance_at_ticks", "symbol seq|avg_imbalance", "tape", "imb", sql=f"""SELECT l.symbol, l.seq, coalesce(l.mean, CASE WHEN l.t - b.t <= {P.depth_stale} THEN b.imbalance END, 0.0) AS avg_imbalance
+  FROM (SELECT t.symbol, t.seq, t.t, avg(i.imbalance) AS mean FROM tape t LEFT JOIN (SELECT symbol, {FRAME_T} AS t, imbalance FROM imb) i ON i.symbol = t.symbol AND i.t BETWEEN t.t - {P.imbalance_window} AND t.t GROUP BY 1, 2, 3) l
+  ASOF LEFT JOIN (SELECT symbol, {FRAME_T} AS t, arg_max(imbalance, frame) AS imbalance FROM imb GROUP BY 1, 2) b ON l.symbol = b.symbol AND l.t >= b.t""")
+def _(spark, d):
+    """The window's mean at decision ticks; where no frame fell into it, the last fresh one."""
+    frames = imbalances(spark, d).select("symbol", F.expr(FRAME_T).alias("t"), "imbalance")
+    return orderflow.imbalance_at(adapters.tape(spark, d), frames, P.imbalance_window, P.depth_stale, DAY)
+
+
 @query("J6_T7_as_of", "symbol seq age_depth age_trade age_funding age_balance data_available|imbalance funding balance", "tape", "imb", sql=f"""SELECT l.symbol, l.seq, CASE WHEN l.t - b.t <= {P.depth_stale} THEN l.t - b.t END AS age_depth, CASE WHEN l.t - r.t <= {P.trade_stale} THEN l.t - r.t END AS age_trade,
   CASE WHEN l.t - f.t <= {8 * HOUR} THEN l.t - f.t END AS age_funding, CASE WHEN l.t - g.t <= {6 * HOUR} THEN l.t - g.t END AS age_balance, coalesce(l.t - b.t <= {P.depth_stale}, false) AND coalesce(l.t - r.t <= {P.trade_stale}, false) AS data_available,
   CASE WHEN l.t - b.t <= {P.depth_stale} THEN b.imbalance ELSE 0.0 END AS imbalance, CASE WHEN l.t - f.t <= {8 * HOUR} THEN f.price / 1000 END AS funding, CASE WHEN l.t - g.t <= {6 * HOUR} THEN g.price * 10 END AS balance

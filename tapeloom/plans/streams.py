@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels, scan, stats
+from ..operators import labels, ledger, scan, stats
 from ..params import FIXTURE as P
 from ..sources import adapters
-from ..streaming import streams
+from ..streaming import processors, streams
 from .base import query
 from .market import DAY, HOUR
 
@@ -115,3 +115,65 @@ def _(spark, d):
     t = adapters.tape(spark, d).withColumn("arrival", F.col("seq") * 7919 % 10007)
     rows = scan.running(t, {"newest": F.col("t")}, 100, by="arrival", order=("arrival", "seq"), fold="max").withColumn("late", F.col("t") < F.col("newest") - HOUR)
     return rows.groupBy("symbol", F.floor(F.col("t") / DAY).cast("long").alias("slot")).agg(F.sum(F.col("late").cast("long")).alias("late_rows"))
+
+
+#: What a symbol's order updates tell, over and over: a lifecycle with an add, an add over the cap, and a fill that comes late.
+SCRIPT = ("ENTRY_SENT", "ENTRY_FILLED", "ADD_SENT", "ADD_FILLED", "ADD_SENT", "CLOSE_SENT", "CLOSE_FILLED", "ENTRY_FILLED")
+DESK_MOVED = MOVED.replace("status =", "m.status =").replace("event =", "r.event =").replace("step <", "m.step <").replace("ELSE status", "ELSE m.status")
+RUNS_NOW = f"r.event IS NULL AND (m.last IS NULL OR r.t - m.last >= CASE WHEN m.status = 'FLAT' THEN {P.decision_interval_flat} ELSE {P.decision_interval_open} END)"
+
+
+def desk_rows(spark, d):
+    """Ticks of the tape, some of which are order updates instead (every fifth of these comes twice)."""
+    t = adapters.tape(spark, d).select("symbol", "t", "seq", (F.col("is_buyer_maker") & (F.col("qty") % 2 == 0)).alias("update"))
+    told = scan.indexed(t.filter("update"), DAY).withColumn("event", F.element_at(F.array(*(F.lit(e) for e in SCRIPT)), (F.col("idx") % len(SCRIPT) + 1).cast("int")))
+    told = told.unionByName(told.filter("idx % 5 = 0")).select("symbol", "t", "seq", "event")
+    return told.unionByName(t.filter("NOT update").select("symbol", "t", "seq", F.lit(None).cast("string").alias("event")))
+
+
+@query("T1_T2_stream_desk", "symbol seq t decision status step", "tape", sql=f"""WITH RECURSIVE r AS (SELECT symbol, t, seq, CASE WHEN u THEN {list(SCRIPT)}[(row_number() OVER (PARTITION BY symbol, u ORDER BY t, seq) - 1) % {len(SCRIPT)} + 1] END AS event, row_number() OVER (PARTITION BY symbol ORDER BY t, seq) AS n
+  FROM (SELECT *, is_buyer_maker AND qty % 2 = 0 AS u FROM tape)), m AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS t, 'FLAT' AS status, 0 AS step, CAST(NULL AS BIGINT) AS last, false AS decision, false AS move FROM r
+  UNION ALL SELECT symbol, n, seq, t, status, CASE WHEN NOT move THEN step WHEN status = 'FLAT' THEN 0 WHEN event = 'ADD_FILLED' AND was = 'DCA_PENDING' THEN least(1, step + 1) ELSE step END AS step, CASE WHEN decision THEN t ELSE last END AS last, decision, move
+  FROM (SELECT r.symbol, r.n, r.seq, r.t, r.event, m.status AS was, m.step, m.last, {RUNS_NOW} AS decision, r.event IS NOT NULL AS move, CASE WHEN r.event IS NULL THEN m.status ELSE {DESK_MOVED} END AS status FROM m JOIN r ON r.symbol = m.symbol AND r.n = m.n + 1))
+  SELECT symbol, seq, t, decision, status, step FROM m WHERE decision OR move""")
+def _(spark, d):
+    """Decisions by the interval of the position's status, and the moves of that position, from one state; four micro-batches, one of which fails and is repeated."""
+    stream = streams.replayed(desk_rows(spark, d), 4)
+    return streams.interrupted(processors.desk(stream, P.decision_interval_flat, P.decision_interval_open), 2, rocks=True)
+
+
+TTL = 30 * DAY
+
+
+def fills_of_orders(spark, d):
+    """Fills by their order, and when two thirds of the orders were registered: some only after their first fills."""
+    fills = adapters.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), adapters.micros("l_shipdate").alias("t"), F.col("l_linenumber").cast("long").alias("seq"))
+    orders = adapters.table(spark, d, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("order_id"), (adapters.micros("o_orderdate") + F.col("o_orderkey") % 150 * DAY).alias("order_t"))
+    return fills, orders
+
+
+ONCE = f"""SELECT order_id, seq, t, CASE WHEN NOT (alive AND n = 1) THEN 'dropped' WHEN t >= order_t THEN 'matched' ELSE 'replayed' END AS outcome, greatest(max(t) OVER (), (SELECT max(epoch_us(o_orderdate) + o_orderkey % 150 * {DAY}) FROM orders WHERE o_orderkey % 3 <> 0)) AS newest
+  FROM (SELECT *, row_number() OVER (PARTITION BY order_id, alive ORDER BY t, seq) AS n FROM (SELECT f.*, o.order_t, coalesce(f.t >= o.order_t - {TTL}, false) AS alive
+  FROM (SELECT l_orderkey AS order_id, epoch_us(l_shipdate) AS t, l_linenumber AS seq FROM lineitem) f LEFT JOIN (SELECT o_orderkey AS order_id, min(epoch_us(o_orderdate) + o_orderkey % 150 * {DAY}) AS order_t FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) o USING (order_id)))"""
+
+
+@query("J1_match_once", "order_id seq outcome", sql=f"SELECT order_id, CAST(seq AS BIGINT) AS seq, outcome FROM ({ONCE})")
+def _(spark, d):
+    return ledger.match_once(*fills_of_orders(spark, d), TTL)
+
+
+@query("J1_T8_stream_once", "order_id seq outcome", sql=f"SELECT order_id, CAST(seq AS BIGINT) AS seq, outcome FROM ({ONCE}) WHERE outcome <> 'dropped' OR t + {TTL} + 2000 < newest - {HOUR}")
+def _(spark, d):
+    """Each order takes one fill; a fill that comes first waits and is replayed, or dropped by a timer. Three micro-batches, one of which is repeated."""
+    fills, orders = fills_of_orders(spark, d)
+    rows = fills.withColumn("kind", F.lit(1)).unionByName(orders.select("order_id", F.col("order_t").alias("t"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("kind")))
+    return streams.interrupted(processors.matched_once(streams.replayed(rows, 3, at="t"), TTL), 1, rocks=True)
+
+
+@query("T6_stream_late_sink", "symbol slot on_time late_rows", "tape", sql=f"""SELECT symbol, t // {DAY} AS slot, count(*) FILTER (t >= m - {HOUR}) AS on_time, count(*) FILTER (t < m - {HOUR}) AS late_rows FROM (SELECT *, max(t) OVER (PARTITION BY symbol ORDER BY seq * 7919 % 10007, seq) AS m FROM tape) GROUP BY 1, 2""")
+def _(spark, d):
+    """The tape in a shuffled order: late rows go to an output of their own; rows of both, by day."""
+    arrived = adapters.tape(spark, d).select("symbol", "seq", "t", (F.col("seq") * 7919 % 10007).alias("arrival"))
+    on_time, behind = streams.routed(processors.late(streams.replayed(arrived, 3, by="arrival"), HOUR), "late", rocks=True)
+    rows = on_time.withColumn("late", F.lit(0)).unionByName(behind.withColumn("late", F.lit(1)))
+    return rows.groupBy("symbol", F.floor(F.col("t") / DAY).cast("long").alias("slot")).agg(F.sum(1 - F.col("late")).alias("on_time"), F.sum("late").alias("late_rows"))

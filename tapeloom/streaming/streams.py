@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +28,88 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def replayed(rows: DataFrame, files: int, by: str = "t", at: str | None = None) -> DataFrame:
+    """``rows`` as a stream that comes in slices of ``by``, one file a micro-batch: a source that is limited in rate, so that what goes from batch to
+    batch is used. ``at``: a column of microseconds that becomes the event time ts."""
+    spark = rows.sparkSession
+    edges = rows.approxQuantile(by, [i / files for i in range(1, files)], 0.01) if files > 1 else []
+    table, path = scratch(spark, "slices"), scratch(spark, "replay")
+    part = F.size(F.filter(F.array(*(F.lit(float(x)) for x in sorted(edges))), lambda x: x < F.col(by))) if edges else F.lit(0)
+    rows.withColumn("_slice", part).repartition(files, "_slice").write.partitionBy("_slice").parquet(table)
+    rows.limit(0).write.parquet(path)
+    sliced = spark.read.schema(rows.withColumn("_slice", F.lit(0)).schema).parquet(table)
+    for i in sorted(r[0] for r in sliced.select("_slice").distinct().collect()):  # a source takes files in the order in which they came
+        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream if at is None else stream.withColumn("ts", F.timestamp_micros(at))
+
+
+def interrupted(stream: DataFrame, after: int, rocks: bool = False) -> DataFrame:
+    """Runs the stream up to batch ``after``, which fails once its output is written, and starts it again from its checkpoint to its end; all that it put out.
+    What was done before the failure isn't done again, and the batch that failed counts once."""
+    spark = stream.sparkSession
+    out, state = scratch(spark, "stream"), scratch(spark, "state")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/n{n}")
+        if n == after:
+            raise RuntimeError("interrupted")  # after the write, before the commit: the batch is repeated
+
+    def run(f):
+        with stores(spark, rocks):
+            stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(f).start().awaitTermination()
+
+    try:
+        run(put)
+    except StreamingQueryException as e:
+        if "interrupted" not in str(e):
+            raise
+    run(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/n{n}"))
+    return written(spark, stream.schema, out)
+
+
+def routed(stream: DataFrame, flag: str, rocks: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Runs the stream; what ``flag`` doesn't and does mark goes to two outputs, both written by the batch's number."""
+    spark = stream.sparkSession
+    ways = {False: scratch(spark, "stream"), True: scratch(spark, "late")}
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        for marked, path in ways.items():
+            batch.filter(F.col(flag) == marked).drop(flag).write.mode("overwrite").parquet(f"{path}/n{n}")
+        batch.unpersist()
+
+    finished(stream, put=put, rocks=rocks)
+    return tuple(written(spark, stream.drop(flag).schema, path) for path in ways.values())
+
+
 def written(spark: SparkSession, schema, path: str) -> DataFrame:
     """What batches left under ``path``, each in a folder of its own."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/none")
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-def finished(stream: DataFrame, runs: int = 1, put=None) -> DataFrame:
+SHUFFLE = "spark.sql.shuffle.partitions"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def stores(spark: SparkSession, rocks: bool):
+    """While a stream starts, its state is set to be kept by RocksDB, as stateful processors need, in at most two partitions a core (each is a Python worker);
+    then the session's own settings hold again."""
+    set_ = {PROVIDER: ROCKS, SHUFFLE: str(min(int(spark.conf.get(SHUFFLE)), 2 * spark.sparkContext.defaultParallelism))} if rocks else {}
+    before = {k: spark.conf.get(k) for k in set_}
+    for k, v in set_.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def finished(stream: DataFrame, runs: int = 1, put=None, rocks: bool = False) -> DataFrame:
     """Runs the stream in append mode over what is there and returns all that it put out. Each batch writes a folder named by its number, so
     that a batch that is repeated after a failure is not written twice. With more ``runs`` it is started again from its checkpoint (T10): what
     was read before isn't read again."""
@@ -42,7 +120,8 @@ def finished(stream: DataFrame, runs: int = 1, put=None) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/n{n}")
 
     for _ in range(runs):
-        stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put or plain).start().awaitTermination()
+        with stores(spark, rocks):
+            stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put or plain).start().awaitTermination()
     return written(spark, stream.schema, out)
 
 
