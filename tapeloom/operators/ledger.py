@@ -33,7 +33,7 @@ def positions(fills: DataFrame, tolerance: float = TOLERANCE, hot: list | None =
 
 def trades(fills: DataFrame, tolerance: float = TOLERANCE, hot: list | None = None) -> DataFrame:
     """One row for each closed lifecycle: side of its first fill, times, gross, fees, net, entry quantity and notional, adds
-    (distinct entry orders less one), order ids, win."""
+    (distinct entry orders less one), order ids, win; first_qty and first_price are what was known at entry."""
     rows = positions(fills, tolerance, hot)
     first = F.first("qty").over(Window.partitionBy("symbol", "life").orderBy("seq"))
     entry = F.col("qty") * F.signum(F.col("_first")) > 0
@@ -42,6 +42,7 @@ def trades(fills: DataFrame, tolerance: float = TOLERANCE, hot: list | None = No
         F.sum("realized").alias("gross"), F.sum("commission").alias("fees"), F.count("*").alias("n_fills"),
         F.sum(F.when(entry, F.abs("qty")).otherwise(0.0)).alias("size"), F.sum(F.when(entry, F.abs("qty") * F.col("price")).otherwise(0.0)).alias("notional"),
         (F.countDistinct(F.when(entry, F.col("order_id"))) - 1).alias("dca_count"), F.collect_set("order_id").alias("order_ids"), F.sum("qty").alias("_left"),
+        F.abs(F.min_by("qty", "seq")).alias("first_qty"), F.min_by("price", "seq").alias("first_price"),
     )
     net = F.col("gross") - F.col("fees")
     return made.filter(F.abs("_left") < tolerance).drop("_left").withColumn("net", net).withColumn("win", net > 0)
@@ -97,10 +98,17 @@ def running_results(trades: DataFrame, day: int = 86_400_000_000, hot: list | No
     return whole.withColumn("drawdown", F.greatest("_best", F.lit(0.0)) - F.col("cum_net")).drop("_best")
 
 
-def recent_win_rate(trades: DataFrame, n: int) -> DataFrame:
-    """Share of wins among the last ``n`` trades before this one; infrastructure exits (P16) are no evidence either way."""
-    w = Window.partitionBy("symbol").orderBy("close_t", "life").rowsBetween(-n, -1)
-    return trades.withColumn("recent_win_rate", F.avg(F.col("win").cast("double")).over(w))
+def recent_win_rate(trades: DataFrame, n: int, hot: list | None = None, size: int = 65_536) -> DataFrame:
+    """Share of wins among the last ``n`` trades before this one; infrastructure exits (P16) are no evidence either way. ``hot`` symbols (counted, if None) go by
+    chunks of ``size`` trades that see the ``n`` before them."""
+    few, many = scan.split_hot(trades, scan.hot_keys(trades) if hot is None else hot)
+    won = F.avg(F.col("win").cast("double"))
+    made = few.withColumn("recent_win_rate", won.over(Window.partitionBy("symbol").orderBy("close_t", "life").rowsBetween(-n, -1)))
+    if many is None:
+        return made
+    rows = scan.indexed(many.withColumn("t", F.col("close_t")).withColumn("seq", F.col("life")), CHUNK)
+    cut = scan.over_chunks(rows, max(size, n), lambda r, w: r.withColumn("recent_win_rate", won.over(w.rowsBetween(-n, -1))), back=n, by="idx")
+    return made.unionByName(cut.drop("t", "seq", "idx"))
 
 
 def after_cutoff(trades: DataFrame, cutoff: int) -> DataFrame:
@@ -151,6 +159,12 @@ def match_once(fills: DataFrame, registered: DataFrame, ttl: int) -> DataFrame:
     return both.withColumn("_alive", alive).withColumn("_n", F.row_number().over(w)).withColumn("outcome", outcome).drop("_alive", "_n", "order_t")
 
 
+def account_events(events: DataFrame) -> DataFrame:
+    """``events`` (account, held, ...) once for each symbol that their account holds: the symbols are gathered by account and joined, not sent to all."""
+    held = events.select("account", F.col("held").alias("symbol")).distinct()
+    return events.join(held.hint("merge"), "account")
+
+
 def algo_outcome(algos: DataFrame, children: DataFrame) -> DataFrame:
     """Conditional orders with their child: FILLED, WORKING, or CANCELLED where one finished without a child."""
     joined = algos.join(children.select(F.col("order_id").alias("actual_order_id"), F.lit(True).alias("_child")).distinct(), "actual_order_id", "left")

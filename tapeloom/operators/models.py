@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import is_finite
 from ..functions.scalars import cooled
+from . import joins
 
 #: Coefficients from which a head counts as diverged.
 SATURATED = 100.0
@@ -58,21 +59,59 @@ def saturation(spark: SparkSession, heads: dict[str, PipelineModel], limit: floa
     return spark.createDataFrame(rows, "head string, peak double").withColumn("retrain", F.col("peak") >= limit)
 
 
-def retrained(rows: DataFrame, names: list[str], heads: dict[str, tuple[str, str]], made: dict[str, PipelineModel], limit: float = SATURATED) -> DataFrame:
-    """M4: the audit, and what comes of it: a head past ``limit`` is fitted from zero with a weight that keeps its coefficients small; its samples
-    count from zero again. head, peak, retrain, peak_after, samples."""
+def retrained(rows: DataFrame, later: DataFrame, names: list[str], heads: dict[str, tuple[str, str]], made: dict[str, PipelineModel], limit: float = SATURATED) -> DataFrame:
+    """M4: the audit, and what comes of it: a head past ``limit`` is fitted from zero, with the same penalty, on what came ``later`` alone; its samples
+    count from there. head, peak, retrain, peak_after, samples."""
     spark, out = rows.sparkSession, []
-    seen = rows.agg(*(F.count(label).alias(h) for h, (label, _) in heads.items())).head()
+    counts = [x.agg(*(F.count(label).alias(h) for h, (label, _) in heads.items())).head() for x in (rows, later)]
     peak = lambda m: float(max(map(abs, m.stages[-1].coefficients.toArray()), default=0.0))
     for head, model in made.items():
         before = peak(model)
         again = before >= limit
         if again:
-            model = made[head] = fit_head(rows, names, *heads[head], weight=1.0)
-        out.append((head, before, again, peak(model), 0 if again else int(seen[head])))
+            model = made[head] = fit_head(later, names, *heads[head])
+        out.append((head, before, again, peak(model), int(counts[again][head])))
     return spark.createDataFrame(out, "head string, peak double, retrain boolean, peak_after double, samples long")
 
 
+def entry_features(trades: DataFrame, ticks: DataFrame, names: list[str], stale: int) -> DataFrame:
+    """M1: ``trades`` (symbol, open_t, life, ...) with the features of the latest tick at or before their opening, if it isn't over ``stale`` old: what was known at
+    entry, and nothing later."""
+    left = trades.withColumn("t", F.col("open_t")).withColumn("seq", F.col("life"))
+    return joins.as_of(left, ticks.select("symbol", "t", *names), names, stale).drop("t", "seq").withColumnRenamed("age", "age_features")
+
+
+def rolling_origin(rows: DataFrame, names: list[str], label: str, kind: str = "logistic", blocks: int = 5, start: str = "open_t", end: str = "close_t") -> DataFrame:
+    """M2: ``rows`` of all blocks of opening times but the first, with block, n_train and p: each block is scored by a head that was fitted to what had closed before the
+    block began. A block before which only one outcome was seen gets a neutral half. ``blocks`` fits; ``rows`` are read once for each, so write them first."""
+    edges = rows.approxQuantile(start, [i / blocks for i in range(blocks + 1)], 0.001)
+    made = None
+    for k in range(1, blocks):
+        known, own = rows.filter(F.col(end) < edges[k]), F.col(start) >= edges[k]
+        part = rows.filter(own if k == blocks - 1 else own & (F.col(start) < edges[k + 1]))
+        seen = known.groupBy(label).count().collect()  # two rows
+        if len(seen) > 1:
+            scored = score(fit_head(known, names, label, kind), part)
+        else:
+            scored = part.withColumn("p", F.lit(0.5))
+        scored = scored.withColumn("block", F.lit(k)).withColumn("n_train", F.lit(sum(r["count"] for r in seen)).cast("long"))
+        made = scored if made is None else made.unionByName(scored)
+    return made
+
+
+def fixed_head(weights: dict[str, float], intercept: float = 0.0, logistic: bool = True):
+    """M3: a head of known coefficients over raw features, as an expression."""
+    z = F.lit(intercept)
+    for name, w in weights.items():
+        z = z + F.lit(w) * F.col(name)
+    return 1 / (1 + F.exp(-z)) if logistic else z
+
+
+def hold_probability(p_success, p_tp, trend_, risk):
+    """M6: our probability that holding pays; its complement is that of an exit."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.50 * p_success + 0.30 * p_tp + 0.20 * trend_ - 0.20 * risk))
+
+
 def confidence(p_tp, quality, trend_, noise, risk):
     """M6: our blend: 0.30 of the target head, the rest by quality, trend and calm; less a tenth of risk."""
     return 0.30 * p_tp + 0.25 * quality + 0.25 * trend_ + 0.20 * (1 - noise) - 0.10 * risk

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, scalars
-from ..operators import joins, ledger, models, scan, stats, tree
+from ..operators import indicators, joins, ledger, models, scan, stats, tree
 from ..params import FIXTURE as P
 from ..sources import adapters, readers, sinks
 from ..sources.adapters import table
@@ -165,7 +165,9 @@ def _(spark, d):
 
 @query("W16_P16_recent_win_rate", "symbol life|recent_win_rate", "trades", sql=f"SELECT symbol, life, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY symbol ORDER BY close_t, life ROWS BETWEEN {P.win_rate_window} PRECEDING AND 1 PRECEDING) AS recent_win_rate FROM trades WHERE life % 5 <> 0")
 def _(spark, d):
-    return ledger.recent_win_rate(made_trades(spark, d).filter("life % 5 <> 0"), P.win_rate_window)
+    fills = adapters.fills(spark, d)
+    hot = scan.hot_keys(fills)  # a symbol is hot if its fills are
+    return ledger.recent_win_rate(ledger.trades(fills, hot=hot).filter("life % 5 <> 0"), P.win_rate_window, hot)
 
 
 @query("W17_positions", "symbol seq life|position", "fills", sql="""SELECT symbol, seq, CAST((seq - 1) // 3 + 1 AS BIGINT) AS life, CASE WHEN seq % 3 = 0 THEN 0.0 ELSE sum(qty) OVER (PARTITION BY symbol ORDER BY seq) END AS position FROM fills""")
@@ -220,7 +222,7 @@ def trades_on_tape(spark, d):
     part = F.substring("symbol", 2, 20).cast("long")
     at = F.lit(1_704_067_200_000_000) + F.floor(F.col("open_t") / 1000) % 2_000_000_000_000
     return t.select(
-        F.concat(F.lit("S"), (part % 4).cast("string")).alias("symbol"), (part * 1000 + F.col("life")).alias("life"), "side", "size",
+        F.concat(F.lit("S"), (part % 4).cast("string")).alias("symbol"), (part * 1000 + F.col("life")).alias("life"), "side", "size", "win",
         (100 + F.col("notional") / F.col("size") % 10).alias("entry_price"), at.alias("open_t"), (at + F.floor((F.col("close_t") - F.col("open_t")) / 1000)).alias("close_t"),
     )
 
@@ -379,13 +381,15 @@ def _(spark, d):
     return routed.filter("NOT routed AND symbol IS NOT NULL").groupBy("symbol").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
 
 
-@query("P4_account_positions", "seq symbol own", "tape", sql="SELECT seq, w AS symbol, symbol = w AS own FROM tape, (SELECT DISTINCT symbol AS w FROM tape)")
+ACCOUNT = "user_id % 10"
+
+
+@query("P4_account_positions", "seq account symbol own", sql=f"""WITH e AS (SELECT event_id AS seq, {ACCOUNT} AS account, 'S' || CAST(user_id % 4 AS VARCHAR) AS held FROM events)
+  SELECT seq, account, w AS symbol, held = w AS own FROM e JOIN (SELECT DISTINCT account AS a, held AS w FROM e) ON account = a""")
 def _(spark, d):
-    """Each account event goes to every watched symbol (those of the tape: a list that one row of an aggregate holds); each keeps its own position."""
-    t = adapters.tape(spark, d)
-    watched = t.agg(F.collect_set("symbol").alias("watched"))
-    to = t.select("seq", F.col("symbol").alias("held")).crossJoin(F.broadcast(watched)).select("seq", "held", F.explode("watched").alias("symbol"))
-    return to.withColumn("own", F.col("symbol") == F.col("held"))
+    """Each account event goes to every symbol that its account trades; each keeps its own position."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.expr(ACCOUNT).alias("account"), F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string")).alias("held"))
+    return ledger.account_events(e).withColumn("own", F.col("symbol") == F.col("held"))
 
 
 @query("P5_algo_fields", "seq algo_id client_algo_id status actual_order_id", sql="""SELECT event_id AS seq, CAST(event_id AS VARCHAR) AS algo_id, CASE WHEN event_id % 2 = 1 THEN 'bot-1' END AS client_algo_id, CASE WHEN event_id % 2 = 1 THEN '' ELSE 'NEW' END AS status, CASE WHEN event_id % 2 = 1 THEN '9' END AS actual_order_id FROM events WHERE event_type = 'view'""")
@@ -497,11 +501,15 @@ def _(spark, d):
 
 
 def features(spark, d):
-    rows = labelled(spark, d).withColumn("f_qty", F.col("qty").cast("double")).withColumn("f_vol", F.col("tick_vol")).withColumn("f_price", F.col("price"))
-    return rows
+    """Ticks with labels and features: quantity, volatility, and the price against all before it, itself left out."""
+    rows = labelled(spark, d).withColumn("f_qty", F.col("qty").cast("double")).withColumn("f_vol", F.col("tick_vol"))
+    return indicators.expanding_z(rows, "price", DAY, learn=False).withColumnRenamed("z", "f_z")
 
 
-NAMES = ["f_qty", "f_vol", "f_price"]
+#: What every head learns from and is scored on, whether at a tick or at a trade's entry.
+NAMES = ["f_qty", "f_vol", "f_z"]
+FEATURES = """SELECT symbol, seq, t, f_qty, f_vol, CASE WHEN n < 2 THEN price ELSE (price - m) / CASE WHEN s < 1e-8 THEN 1.0 ELSE s END END AS f_z FROM (SELECT l.symbol, l.seq, tape.t, tape.price, CAST(tape.qty AS DOUBLE) AS f_qty, l.tick_vol AS f_vol,
+  count(*) OVER w AS n, avg(tape.price) OVER w AS m, stddev_samp(tape.price) OVER w AS s FROM lab l JOIN tape USING (symbol, seq) WINDOW w AS (PARTITION BY l.symbol ORDER BY tape.t, l.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 @query("M1_training_set", "symbol seq tp_hit|f_vol", "lab", sql="SELECT symbol, seq, tp_hit, tick_vol AS f_vol FROM lab WHERE tp_hit IS NOT NULL AND tick_vol IS NOT NULL")
@@ -509,10 +517,11 @@ def _(spark, d):
     return models.training_set(features(spark, d), NAMES, "tp_hit")
 
 
-@query("M1_success_set", "symbol life success|size notional entry_price hold", "trades", sql="SELECT symbol, life, CAST(net > 0 AS INTEGER) AS success, size, notional, notional / size AS entry_price, (close_t - open_t) / 1e6 AS hold FROM trades WHERE life % 5 <> 0")
+@query("M1_success_set", "symbol life success|size notional entry_price hold", "trades", sql="SELECT symbol, life, CAST(net > 0 AS INTEGER) AS success, first_qty AS size, first_qty * first_price AS notional, first_price AS entry_price, (close_t - open_t) / 1e6 AS hold FROM trades WHERE life % 5 <> 0")
 def _(spark, d):
     """Success at close by the features frozen at entry; infrastructure exits (here: every fifth) are no evidence."""
-    t = made_trades(spark, d).filter("life % 5 <> 0").withColumn("success", F.col("win").cast("int")).withColumn("entry_price", F.col("notional") / F.col("size"))
+    t = made_trades(spark, d).filter("life % 5 <> 0").withColumn("success", F.col("win").cast("int"))
+    t = t.withColumn("size", F.col("first_qty")).withColumn("entry_price", F.col("first_price")).withColumn("notional", F.col("first_qty") * F.col("first_price"))  # later adds aren't known
     return models.training_set(t.withColumn("hold", (F.col("close_t") - F.col("open_t")) / 1e6), ["size", "notional", "entry_price"], "success")
 
 
@@ -523,15 +532,53 @@ HEADS = {"tp_hit": ("tp_hit", "logistic"), "noise": ("noise", "logistic"), "tren
 def training_rows(spark, d):
     """The tape's training set, written once: heads are fitted to it again and again."""
     rows = models.training_set(features(spark, d), NAMES, "tp_hit").withColumn("fwd", F.col("fwd_ret")).withColumn("fwd_abs", F.abs("fwd_ret"))
-    rows = rows.select("symbol", "seq", "tp_hit", "noise", "fwd", "fwd_abs", *NAMES)
+    rows = rows.select("symbol", "seq", "t", "tp_hit", "noise", "fwd", "fwd_abs", *NAMES)
     path = sinks.scratch(spark, "training")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def success_rows(spark, d):
-    t = made_trades(spark, d).filter("life % 5 <> 0")
-    return t.select(F.col("win").cast("int").alias("success"), F.col("size").alias("f_qty"), (F.col("dca_count") / 10).alias("f_vol"), (F.col("notional") / F.col("size")).alias("f_price"))
+def entry_set(spark, d):
+    """Trades on the tape with success at close and the features as of their entry; infrastructure exits are no evidence."""
+    t = trades_on_tape(spark, d).filter("life % 5 <> 0").select("symbol", "life", "open_t", "close_t", F.col("win").cast("int").alias("success"))
+    return models.training_set(models.entry_features(t, features(spark, d), NAMES, P.depth_stale), NAMES, "success")
+
+
+@query("M1_entry_set", "symbol life success open_t close_t|f_qty f_vol f_z", "lab", "trades", sql=f"""SELECT e.symbol, e.life, CAST(e.net > 0 AS INTEGER) AS success, e.open_t, e.close_t, f.f_qty, f.f_vol, f.f_z FROM ({TRADES_ON_TAPE.replace("SELECT ", "SELECT net, ", 1)}) e
+  ASOF JOIN ({FEATURES}) f ON e.symbol = f.symbol AND e.open_t >= f.t WHERE e.life % 5 <> 0 AND e.open_t - f.t <= {P.depth_stale} AND f.f_vol IS NOT NULL""")
+def _(spark, d):
+    return entry_set(spark, d)
+
+
+@query("M2_rolling_origin", "block n_train n positives|mean_p base_rate")
+def _(spark, d):
+    """The success head, fitted again before each block of entries to what had closed by then, and scored on the block."""
+    rows = sinks.written(entry_set(spark, d), "entries")
+    by = models.rolling_origin(rows, NAMES, "success").groupBy("block", "n_train")
+    return by.agg(F.count(F.lit(1)).alias("n"), F.sum("success").alias("positives"), F.avg("p").alias("mean_p"), F.avg(F.col("success").cast("double")).alias("base_rate"))
+
+
+FIXED = {"p_tp": ({"f_vol": 20.0, "f_qty": 0.1}, -1.0), "p_noise": ({"f_vol": -10.0}, 1.0), "p_success": ({"f_z": 0.2, "f_qty": -0.05}, 0.0)}
+
+
+def blended(scored):
+    """Risk, confidence and the probabilities of holding and leaving, from the heads' outputs (pred: the trend head's)."""
+    strength, direction = models.trend(F.col("pred"), F.lit(0.0015))
+    scored = scored.withColumn("trend_confidence", strength).withColumn("direction", direction).withColumn("risk", F.least(F.lit(1.0), F.col("f_vol") / 0.05))
+    scored = scored.withColumn("confidence", models.confidence(F.col("p_tp"), F.col("quality"), F.col("trend_confidence"), F.col("p_noise"), F.col("risk")))
+    hold = models.hold_probability(F.col("p_success"), F.col("p_tp"), F.col("trend_confidence"), F.col("risk"))
+    return scored.withColumn("p_hold", hold).withColumn("p_exit", 1 - F.col("p_hold"))
+
+
+@query("M3_M6_fixed_blend", "symbol seq direction|p_tp p_noise p_success trend_confidence risk confidence p_hold p_exit", "lab", sql=f"""SELECT *, 1 - p_hold AS p_exit FROM (SELECT *, 0.30 * p_tp + 0.25 * p_success + 0.25 * trend_confidence + 0.20 * (1 - p_noise) - 0.10 * risk AS confidence,
+  greatest(0.0, least(1.0, 0.50 * p_success + 0.30 * p_tp + 0.20 * trend_confidence - 0.20 * risk)) AS p_hold FROM (SELECT symbol, seq, 1 / (1 + exp(-(-1.0 + 20.0 * f_vol + 0.1 * f_qty))) AS p_tp, 1 / (1 + exp(-(1.0 - 10.0 * f_vol))) AS p_noise,
+  1 / (1 + exp(-(0.2 * f_z - 0.05 * f_qty))) AS p_success, least(abs(0.001 * f_z) / 0.0015, 1.0) AS trend_confidence, CASE WHEN f_z > 0 THEN 'LONG' WHEN f_z < 0 THEN 'SHORT' ELSE 'FLAT' END AS direction, least(1.0, f_vol / 0.05) AS risk FROM ({FEATURES}) WHERE f_vol IS NOT NULL))""")
+def _(spark, d):
+    """The blend over heads of known coefficients."""
+    scored = features(spark, d).filter("f_vol IS NOT NULL").withColumn("pred", models.fixed_head({"f_z": 0.001}, logistic=False))
+    for name, (weights, intercept) in FIXED.items():
+        scored = scored.withColumn(name, models.fixed_head(weights, intercept))
+    return blended(scored.withColumn("quality", F.col("p_success")))
 
 
 def heads(spark, d, which=tuple(HEADS)):
@@ -539,26 +586,24 @@ def heads(spark, d, which=tuple(HEADS)):
     return rows, {h: models.fit_head(rows, NAMES, *HEADS[h]) for h in which}
 
 
-@query("M2_M3_M6_F40_scores", "symbol seq direction|p_tp p_noise p_success trend_confidence risk confidence")
+@query("M2_M3_M6_F40_scores", "symbol seq direction|p_tp p_noise p_success trend_confidence risk confidence p_hold p_exit")
 def _(spark, d):
-    """All heads, trend and confidence; risk is how far the tick's volatility goes beyond the take-profit distance."""
+    """All heads, trend, confidence and hold probability; risk is how far the tick's volatility goes beyond the take-profit distance."""
     rows, made = heads(spark, d)
-    made["success"] = models.fit_head(success_rows(spark, d), NAMES, "success", "logistic")
+    made["success"] = models.fit_head(sinks.written(entry_set(spark, d), "entries"), NAMES, "success", "logistic")
     scored = rows
     for head, out in (("tp_hit", "p_tp"), ("noise", "p_noise"), ("success", "p_success"), ("trend", "pred"), ("quality", "worth")):
         scored = models.score(made[head], scored, out=out)
-    strength, direction = models.trend(F.col("pred"), F.lit(0.0015))
-    quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("worth") / 0.05))
-    scored = scored.withColumn("trend_confidence", strength).withColumn("direction", direction).withColumn("risk", F.least(F.lit(1.0), F.col("f_vol") / 0.05))
-    return scored.withColumn("confidence", models.confidence(F.col("p_tp"), quality, F.col("trend_confidence"), F.col("p_noise"), F.col("risk")))
+    return blended(scored.withColumn("quality", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("worth") / 0.05))))
 
 
 @query("M4_saturation", "head retrain samples|peak peak_after")
 def _(spark, d):
-    """Heads with a coefficient past the limit (a low one, so that some are) are fitted anew from zero, more strongly drawn to it, and their
+    """Heads with a coefficient past the limit (a low one, so that some are) are fitted anew from zero to the later half of the rows, and their
     counters start again."""
     rows, made = heads(spark, d)
-    return models.retrained(rows, NAMES, HEADS, made, limit=0.05)
+    middle = rows.approxQuantile("t", [0.5], 0.001)
+    return models.retrained(rows, rows.filter(F.col("t") > (middle or [0])[0]), NAMES, HEADS, made, limit=0.05)
 
 
 @query("M5_decile_lift", "decile n|rate lift")

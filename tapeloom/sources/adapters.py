@@ -90,7 +90,7 @@ SQL["trades"] = SQL["fills"] + """, lives AS (SELECT *, sum(starts) OVER (PARTIT
   CASE WHEN arg_min(qty, seq) > 0 THEN 'LONG' ELSE 'SHORT' END AS side, min(t) AS open_t, max(t) AS close_t, sum(realized) AS gross, sum(commission) AS fees,
   sum(realized) - sum(commission) AS net, count(*) AS n_fills, sum(CASE WHEN qty * sign(arg_min_q) > 0 THEN abs(qty) ELSE 0 END) AS size,
   sum(CASE WHEN qty * sign(arg_min_q) > 0 THEN abs(qty) * price ELSE 0 END) AS notional,
-  count(DISTINCT CASE WHEN qty * sign(arg_min_q) > 0 THEN order_id END) - 1 AS dca_count
+  count(DISTINCT CASE WHEN qty * sign(arg_min_q) > 0 THEN order_id END) - 1 AS dca_count, abs(arg_min(qty, seq)) AS first_qty, arg_min(price, seq) AS first_price
   FROM (SELECT *, first_value(qty) OVER (PARTITION BY symbol, life ORDER BY seq) AS arg_min_q FROM lives) GROUP BY symbol, life HAVING abs(sum(qty)) < 1e-9)"""
 
 
