@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, scalars
 from ..operators import indicators, joins, ledger, models, scan, stats, tree
 from ..params import FIXTURE as P
-from ..sources import adapters, readers, sinks
+from ..sources import adapters, readers, sinks, tradelog
 from ..sources.adapters import table
 from .base import query
 from .market import DAY, labelled
@@ -433,6 +433,18 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+@query("S12_T10_committed_log", "symbol life|net", "trades", sql="SELECT symbol, life, net FROM trades")
+def _(spark, d):
+    """Two halves that overlap, one of them sent twice as the same batch, then joined into one folder: each lifecycle once."""
+    t, path = sinks.written(made_trades(spark, d).select("symbol", "life", "net"), "trades"), sinks.scratch(spark, "log")
+    tradelog.append(t.filter("life % 3 <> 0"), path, "closes:0")
+    for _ in range(2):
+        tradelog.append(t.filter("life % 3 <> 1"), path, "closes:1")
+    tradelog.append(t, path)
+    tradelog.compact(spark, path, t.schema)
+    return tradelog.snapshot(spark, path, t.schema)
+
+
 @query("S13_statistics_sink", "level value trades", "trades", sql=f"""SELECT CASE WHEN grouping(side) = 0 THEN 'side' WHEN grouping(regime) = 0 THEN 'regime' WHEN grouping(bucket) = 0 THEN 'bucket' ELSE 'all' END AS level, coalesce(side, regime, CAST(bucket AS VARCHAR), 'all') AS value, count(*) AS trades
   FROM ({GRADED}) GROUP BY GROUPING SETS ((), (side), (regime), (bucket))""")
 def _(spark, d):

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import ledger, stats, tree
+from tapeloom.operators import ledger, models, stats, tree
 from tapeloom.sources import sinks
 from tapeloom.streaming import processors, streams
 
@@ -144,3 +144,38 @@ def test_stops_that_could_not_be_listed_block(spark):
     stops = spark.createDataFrame([("A", 1, True), ("C", 2, True)], "symbol string, stop_id long, owned boolean")
     got = sorted(map(tuple, ledger.stop_actions(positions, stops).collect()))
     assert got == [("A", None, "BLOCK"), ("B", None, "PLACE"), ("C", None, "BLOCK"), ("D", None, "BLOCK")]
+
+
+def test_entry_features_know_nothing_later(spark):
+    r = random.Random(8)
+    ticks = sorted((s, r.randint(0, 10_000), float(i)) for i in range(300) for s in "AB")
+    trades = [("A" if i % 2 else "B", i, r.randint(0, 11_000)) for i in range(100)]
+    t = spark.createDataFrame(ticks, "symbol string, t long, f double")
+    x = spark.createDataFrame(trades, "symbol string, life long, open_t long")
+    got = models.entry_features(x, t.withColumn("seen_t", F.col("t")), ["f", "seen_t"], 200).collect()
+    assert len(got) == 100
+    for row in got:
+        before = [a for s, a, _ in ticks if s == row["symbol"] and row["open_t"] - 200 <= a <= row["open_t"]]
+        assert row["seen_t"] == max(before, default=None) and (row["f"] is None) == (not before)
+
+
+def test_rolling_origin_trains_on_what_had_closed(spark):
+    r = random.Random(9)
+    rows = [(i, a := 100 * i, a + r.choice([50, 5_000, 20_000]), x := r.gauss(0, 1), int(x + r.gauss(0, 0.3) > 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "life long, open_t long, close_t long, f double, y int")
+    got = models.rolling_origin(df, ["f"], "y", blocks=4).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x["block"], []).append(x)
+    assert sorted(by) == [1, 2, 3]
+    for part in by.values():
+        begin = min(x["open_t"] for x in part)
+        assert {x["n_train"] for x in part} == {sum(c < begin for _, _, c, _, _ in rows)} and len({x["life"] for x in part}) == len(part)
+    assert sum((x["p"] > 0.5) == x["y"] for x in got) > 0.85 * len(got)
+
+
+def test_win_rate_of_hot_symbols(spark):
+    r = random.Random(10)
+    df = spark.createDataFrame([(s, i, i * 10**13, r.random() < 0.5) for s in "AB" for i in range(150)], "symbol string, life long, close_t long, win boolean")
+    plain, cut = (sorted(map(tuple, ledger.recent_win_rate(df, 7, hot, 20).select("symbol", "life", "recent_win_rate").collect()), key=str) for hot in ([], ["A"]))
+    assert len(plain) == len(cut) == 300 and all(a[:2] == b[:2] and (a[2] == b[2] or abs(a[2] - b[2]) < 1e-12) for a, b in zip(plain, cut, strict=True))
