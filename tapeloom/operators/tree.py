@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import written
-from . import scan
+from . import joins, scan
 
 #: Ticks of a chunk (2 ** BASE): levels up to it are made where the chunk lies. Microseconds of a chunk of time of the numbering.
 BASE, DAY = 12, 86_400_000_000
@@ -73,3 +73,14 @@ def excursions(trades: DataFrame, ticks: DataFrame, fee: float = 0.0, **options)
     rows = rows.withColumn("mfe", F.when(long, up).otherwise(-down)).withColumn("mae", F.when(long, down).otherwise(-up))
     net = F.col("mfe") * F.col("size") - F.lit(fee) * F.col("entry_price") * F.col("size")
     return rows.withColumn("peak_pnl", F.when(F.col("n") > 0, F.greatest(net, F.lit(0.0)))).drop("least", "greatest")
+
+
+def liquidation_alerts(trades: DataFrame, ticks: DataFrame, band: float, width: int = 6 * 3_600_000_000) -> DataFrame:
+    """Symbol, life, t: the first tick within ``band`` (a share of its price) of a position's own liquidation price (column liquidation; null: none), or past it, while the
+    position is open. The extremes tell which positions have one; only these are held against their ticks."""
+    trades = written(trades.filter("liquidation IS NOT NULL"), "trades")
+    reached = F.when(F.col("side") == "LONG", F.col("least") * (1 - band) <= F.col("liquidation")).otherwise(F.col("greatest") * (1 + band) >= F.col("liquidation"))
+    few = written(trades.join(extremes(trades, ticks).hint("merge"), ["symbol", "life"]).filter(reached).select("symbol", "life", "side", "open_t", "close_t", "liquidation"), "reached")
+    price = F.col("price")
+    near = F.when(F.col("side") == "LONG", price * (1 - band) <= F.col("liquidation")).otherwise(price * (1 + band) >= F.col("liquidation"))
+    return joins.interval(few, ticks, width).filter(near).groupBy("symbol", "life").agg(F.min("t").alias("t"))

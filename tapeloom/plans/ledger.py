@@ -239,6 +239,14 @@ def _(spark, d):
     return tree.excursions(trades_on_tape(spark, d), adapters.tape(spark, d), P.round_trip_fee)
 
 
+@query("T13_liquidation_alerts", "symbol life t", "tape", "trades", sql=f"""SELECT s.symbol, s.life, min(p.t) AS t FROM (SELECT *, CASE WHEN side = 'LONG' THEN entry_price * 0.96 ELSE entry_price * 1.04 END AS liquidation FROM ({TRADES_ON_TAPE})) s JOIN tape p ON p.symbol = s.symbol AND p.t BETWEEN s.open_t AND s.close_t
+  WHERE CASE WHEN side = 'LONG' THEN p.price * (1 - 0.005) <= liquidation ELSE p.price * (1 + 0.005) >= liquidation END GROUP BY 1, 2""")
+def _(spark, d):
+    """Each position by its own liquidation price: 4 % from its entry."""
+    t = trades_on_tape(spark, d).withColumn("liquidation", F.when(F.col("side") == "LONG", F.col("entry_price") * 0.96).otherwise(F.col("entry_price") * 1.04))
+    return tree.liquidation_alerts(t, adapters.tape(spark, d), 0.005)
+
+
 @query("J9_post_loss_phase", "symbol seq phase", "tape", "trades", sql=f"""SELECT l.symbol, l.seq, CASE WHEN l.t - r.t < {P.cool_off} THEN 'COOL_OFF' WHEN l.t - r.t < {2 * P.cool_off} THEN 'TIGHT' ELSE 'NORMAL' END AS phase
   FROM tape l ASOF LEFT JOIN (SELECT DISTINCT {ON_TAPE} AS symbol, 1704067200000000 + (close_t // 1000) % 2000000000000 AS t FROM trades WHERE net < 0) r ON l.symbol = r.symbol AND l.t >= r.t""")
 def _(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import candles, indicators, joins, labels, orderflow, scan, stats
 from ..params import FIXTURE as P
-from ..sources import adapters, readers
+from ..sources import adapters, readers, sinks
 from ..sources.adapters import SQL, table
 from .base import query
 
@@ -59,6 +59,14 @@ def _(spark, d):
     return readers.envelopes(frames(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("S1_quarantine", "seq n", sql="SELECT event_id AS seq, count(*) OVER () AS n FROM events WHERE event_type = 'error'")
+def _(spark, d):
+    """What the fan-out's quarantine holds, and how many it counted while it wrote."""
+    path = sinks.scratch(spark, "frames")
+    counts = readers.fan_out(readers.envelopes(frames(spark, d)), path)
+    return spark.read.schema("seq long, raw string, kind string").parquet(path).filter("kind = 'malformed'").select("seq", F.lit(counts["malformed"]).cast("long").alias("n"))
+
+
 @query("S2_book_ticker", "seq|bid ask bid_qty mid", sql=f"""SELECT event_id AS seq, 100.0 + value / 10 AS bid, 100.0 + value / 10 + 0.01 AS ask, 1.0 AS bid_qty, 100.0 + value / 10 + 0.005 AS mid
   FROM events WHERE event_type = 'click' AND {K} % 10 <> 0""")
 def _(spark, d):

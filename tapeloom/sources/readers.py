@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,15 @@ def envelopes(raw: DataFrame, text: str = "raw") -> DataFrame:
     return rows.withColumn("kind", kind)
 
 
+def fan_out(frames: DataFrame, path: str) -> dict[str, int]:
+    """Frames (with kind) to a folder for each kind, malformed ones to a quarantine beside them; how many of each, counted as they are written: one scan for all."""
+    kinds = ("book_ticker", "agg_trade", "depth", "other", "malformed")
+    counts = Observation()
+    counted = frames.drop("v").observe(counts, *(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+    counted.write.partitionBy("kind").parquet(path)
+    return counts.get
+
+
 def book_ticker(frames: DataFrame) -> DataFrame:
     """Missing numbers are 0; rows without bid or ask go."""
     rows = frames.filter("kind = 'book_ticker'")
