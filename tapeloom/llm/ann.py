@@ -25,6 +25,8 @@ SAMPLE, ARITY, CALIBRATION, TARGET = 65_536, 8, 96, 0.96
 LEAF, FITTED = 64, 12
 #: Rows of a leaf, and queries, that one group takes: each row is shipped once for so many queries, and each visit once for so many rows.
 CHUNK, QUERIES = 16_384, 32_768
+#: Rows of neighbouring leaves that one group takes together, so that a query is shipped to it once and brings back k rows from all of them.
+BUNDLE = 1_024
 
 
 def matrix(column) -> np.ndarray:
@@ -91,16 +93,19 @@ class Tree:
         return found
 
 
-def nearest(cands: tuple[np.ndarray, np.ndarray], asks: tuple[np.ndarray, np.ndarray], k: int) -> dict[str, list]:
-    """Each query's ``k`` nearest of a bounded block, by Euclidean distance in double precision on the vectors themselves."""
+def nearest(cands: tuple[np.ndarray, np.ndarray], asks: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, leaves: np.ndarray | None = None, visited: list | None = None) -> dict[str, list]:
+    """Each query's ``k`` nearest of a bounded block, by Euclidean distance in double precision on the vectors themselves: of all rows, or of those whose leaf
+    (``leaves``) the query visits (``visited``)."""
     ids, rows = cands
     by = np.argsort(ids, kind="stable")
     ids, rows = ids[by], rows[by]
+    leaves = None if leaves is None else leaves[by]
     out: dict[str, list] = {"ask": [], "query_id": [], "vec_id": [], "score": []}
-    for ask, own, row in zip(*asks, strict=True):
-        gap = np.sqrt(((rows - row) ** 2).sum(1))
-        if (at := own_row(ids, rows, own, row)) is not None:
-            gap[at] = np.inf
+    for i, (ask, own, row) in enumerate(zip(*asks, strict=True)):
+        at = np.arange(len(ids)) if leaves is None else np.flatnonzero(np.isin(leaves, visited[i]))
+        gap = np.sqrt(((rows[at] - row) ** 2).sum(1))
+        if (mine := own_row(ids[at], rows[at], own, row)) is not None:
+            gap[mine] = np.inf
         if len(gap) > k:
             edge = np.partition(gap, k - 1)[k - 1]
             near = np.flatnonzero(gap <= edge)
@@ -110,11 +115,23 @@ def nearest(cands: tuple[np.ndarray, np.ndarray], asks: tuple[np.ndarray, np.nda
         near = near[np.isfinite(gap[near])]
         out["ask"] += [int(ask)] * len(near)
         out["query_id"] += [int(own)] * len(near)
-        out["vec_id"] += ids[near].tolist()
+        out["vec_id"] += ids[at[near]].tolist()
         out["score"] += gap[near].tolist()
     return out
 
 
+def bundled(sizes: dict[int, int], rows: int) -> list[tuple[int, int, int]]:
+    """leaf, bundle, chunks: leaves that follow each other (so that they are near each other) are bundled up to ``rows`` rows; a larger leaf is alone, in
+    chunks of CHUNK rows."""
+    out, bundle, held = [], 0, 0
+    for leaf in sorted(sizes):
+        if held and held + sizes[leaf] > rows:
+            bundle, held = bundle + 1, 0
+        held += sizes[leaf]
+        out.append((leaf, bundle, blocks(sizes[leaf], CHUNK) if sizes[leaf] > rows else 1))
+    return out
+
+
 SCHEMA = "ask long, query_id long, vec_id long, score double"
 FIELDS = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -193,8 +210,9 @@ def _search(rows: DataFrame, asks: DataFrame, k: int, sample: int, target: float
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row a leaf: at most sample / FITTED * ARITY
     asks = asked(asks, "vec_id", "embedding")
     nq = blocks(asks.count(), QUERIES)
-    table = placed.sparkSession.createDataFrame([(leaf, blocks(n, CHUNK)) for leaf, n in sizes.items()], "leaf int, chunks int")
-    chunks = F.broadcast(table)
+    grouped = bundled(sizes, BUNDLE)
+    of_leaf = {leaf: bundle for leaf, bundle, _ in grouped}
+    chunks = F.broadcast(placed.sparkSession.createDataFrame(grouped, "leaf int, bundle int, chunks int"))
     each = each_row(placed, k, "vec_id", "embedding", "leaf")
     left = each.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("chunks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).drop("chunks")
 
@@ -202,20 +220,30 @@ def _search(rows: DataFrame, asks: DataFrame, k: int, sample: int, target: float
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                if part.num_rows:
-                    found = [tree.visits(x, visits) for x in matrix(part.column(1))]
-                    which = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(which)) for c in part.columns), pa.array(np.concatenate(found).astype(np.int32))], names=["vec_id", "embedding", "ask", "leaf"])
-
-    right = asks.mapInArrow(visit, "vec_id long, embedding array<double>, ask long, leaf int").join(chunks, "leaf")
+                which, bundles, leaves = [], [], []
+                for i, x in enumerate(matrix(part.column(1))):
+                    met: dict[int, list[int]] = {}
+                    for leaf in tree.visits(x, visits):
+                        if leaf in of_leaf:  # else no row fell into it
+                            met.setdefault(of_leaf[leaf], []).append(leaf)
+                    which += [i] * len(met)
+                    bundles += met
+                    leaves += met.values()
+                if which:
+                    made = [pa.array(bundles, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(which)) for c in part.columns), *made], names=["vec_id", "embedding", "ask", "bundle", "leaves"])
+
+    of_bundle = F.broadcast(placed.sparkSession.createDataFrame(sorted({(bundle, n) for _, bundle, n in grouped}), "bundle int, chunks int"))
+    right = asks.mapInArrow(visit, "vec_id long, embedding array<double>, ask long, bundle int, leaves array<int>").join(of_bundle, "bundle")
     right = right.withColumn("q", dealt("ask", nq)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def score(key, cands: pa.Table, table: pa.Table) -> pa.Table:
         if not cands.num_rows or not table.num_rows:
             return FIELDS.empty_table()
-        made = nearest((cands.column("vec_id").to_numpy(), matrix(cands.column("embedding"))), (*(table.column(c).to_numpy() for c in ("ask", "vec_id")), matrix(table.column("embedding"))), k)
-        return pa.table(made, schema=FIELDS)
+        rows = cands.column("vec_id").to_numpy(), matrix(cands.column("embedding"))
+        asked_ = *(table.column(c).to_numpy() for c in ("ask", "vec_id")), matrix(table.column("embedding"))
+        return pa.table(nearest(rows, asked_, k, cands.column("leaf").to_numpy(), table.column("leaves").to_pylist()), schema=FIELDS)
 
-    keys = ("leaf", "chunk", "q")
+    keys = ("bundle", "chunk", "q")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, SCHEMA)
     return merged(found, k, F.asc("score"), "ask").select("query_id", "rank", "vec_id", "score")
