@@ -1,10 +1,8 @@
-"""Tunables of the analytics: one frozen set of values, and scenario rows for sweeps."""
+"""Tunables of the analytics: one frozen set of values."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
-
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass, replace
 
 SECOND = 1_000_000
 
@@ -53,11 +51,5 @@ DEFAULTS = Params()
 FIXTURE = replace(
     DEFAULTS, candle=3600 * SECOND, delta_window=6 * 3600 * SECOND, imbalance_window=3600 * SECOND, depth_stale=3 * 3600 * SECOND,
     trade_stale=3 * 3600 * SECOND, gap=12 * 3600 * SECOND, cool_off=6 * 3600 * SECOND, reconnect_cooldown=600 * SECOND,
-    decision_interval_flat=3600 * SECOND, decision_interval_open=1800 * SECOND,
+    decision_interval_flat=3600 * SECOND, decision_interval_open=1800 * SECOND, max_positions=2,
 )
-
-
-def scenarios(spark: SparkSession, rows: list[Params]) -> DataFrame:
-    """One row per parameter set, numbered from 0: to be cross-joined into sweeps (a handful of rows)."""
-    names = [f.name for f in fields(Params)]
-    return spark.createDataFrame([(i, *(float(getattr(p, n)) for n in names)) for i, p in enumerate(rows)], ["scenario", *names])

@@ -327,8 +327,8 @@ def _(spark, d):
     return stats.overlap(made_trades(spark, d), 500)
 
 
-PLACES = """WITH RECURSIVE q AS (SELECT symbol, life, open_t, close_t, CAST(substr(symbol, 2) AS BIGINT) % 10 AS account, row_number() OVER (PARTITION BY CAST(substr(symbol, 2) AS BIGINT) % 10 ORDER BY open_t, symbol, life) AS n FROM trades),
-  m AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS n, '' AS symbol, CAST(0 AS BIGINT) AS life, false AS admitted, CAST([] AS BIGINT[]) AS taken FROM q UNION ALL SELECT account, n, symbol, life, len(free) < 2, CASE WHEN len(free) < 2 THEN list_append(free, close_t) ELSE free END
+PLACES = f"""WITH RECURSIVE q AS (SELECT symbol, life, open_t, close_t, CAST(substr(symbol, 2) AS BIGINT) % 10 AS account, row_number() OVER (PARTITION BY CAST(substr(symbol, 2) AS BIGINT) % 10 ORDER BY open_t, symbol, life) AS n FROM trades),
+  m AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS n, '' AS symbol, CAST(0 AS BIGINT) AS life, false AS admitted, CAST([] AS BIGINT[]) AS taken FROM q UNION ALL SELECT account, n, symbol, life, len(free) < {P.max_positions}, CASE WHEN len(free) < {P.max_positions} THEN list_append(free, close_t) ELSE free END
   FROM (SELECT q.*, list_filter(m.taken, lambda x: x > q.open_t) AS free FROM m JOIN q ON q.account = m.account AND q.n = m.n + 1)) SELECT account, symbol, life, admitted FROM m WHERE n > 0"""
 
 
@@ -336,7 +336,7 @@ PLACES = """WITH RECURSIVE q AS (SELECT symbol, life, open_t, close_t, CAST(subs
 def _(spark, d):
     """Ten accounts with two places each."""
     t = made_trades(spark, d).withColumn("account", F.substring("symbol", 2, 20).cast("long") % 10)
-    return stats.admitted(t, 2)
+    return stats.admitted(t, P.max_positions)
 
 
 @query("U2_except_foreign", "order_id", sql="SELECT o_orderkey AS order_id FROM orders WHERE o_orderkey % 4 = 1")
