@@ -73,17 +73,27 @@ class Matcher(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.order = handle.getValueState("order", "taken boolean")
-        self.waiting = handle.getListState("waiting", "seq long, t long")
+        # one value, so that a key costs one read and one write: whether the order has taken a fill (null: no order yet), waiting fills, and the timer that is set
+        self.book = handle.getValueState("book", "taken boolean, seqs array<long>, times array<long>, due long")
 
     def expiry(self, t: int) -> int:
         return -(-(t + self.ttl) // 1000) + 1
 
+    def read(self) -> tuple:
+        known = self.book.get()
+        if known is None:
+            return None, [], None
+        return known[0], list(zip(known[1], known[2], strict=True)), known[3]
+
+    def keep(self, taken, waiting: list, due) -> None:
+        if waiting and due is None:  # the earliest; the others follow when it is over
+            due = min(self.expiry(t) for _, t in waiting)
+            self.handle.registerTimer(due)
+        self.book.update((taken, [x for x, _ in waiting], [t for _, t in waiting], due))
+
     def handleInputRows(self, key, rows, timerValues):
-        taken = self.order.get()[0] if self.order.exists() else None  # None: not registered
-        was = taken
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        before, out = list(waiting), []
+        taken, waiting, due = self.read()
+        out = []
         table = in_order(rows, "t", "kind", "seq")
         for t, kind, seq in zip(table["t"].tolist(), table["kind"].tolist(), table["seq"].tolist(), strict=True):
             if kind == 0 and taken is None:  # the order: takes the first fill that still waits
@@ -97,20 +107,14 @@ class Matcher(StatefulProcessor):
                 out.append((key[0], seq, "matched"))
             elif kind == 1:
                 waiting.append((seq, t))
-                self.handle.registerTimer(self.expiry(t))
-        if waiting != before:
-            self.waiting.put(waiting) if waiting else self.waiting.clear()
-        if taken is not None and taken != was:
-            self.order.update((taken,))
+        self.keep(taken, waiting, due)
         yield pd.DataFrame(out, columns=["order_id", "seq", "outcome"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        taken, waiting, _ = self.read()
         gone = [x for x in waiting if self.expiry(x[1]) <= now]
-        rest = [x for x in waiting if self.expiry(x[1]) > now]
-        if gone:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        self.keep(taken, [x for x in waiting if self.expiry(x[1]) > now], None)
         yield pd.DataFrame([(key[0], x[0], "dropped") for x in gone], columns=["order_id", "seq", "outcome"])
 
     def close(self) -> None:
