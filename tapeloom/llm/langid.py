@@ -93,20 +93,20 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
     world = np.array([float(x or 0) for x in rows.agg(*sums).head()])
     world = (world + 1) / (world.sum() + k)
 
-    def likelihood(column: str) -> F.Column | None:
-        """Of each code, how often it goes with each language: codes are two or three letters, so the table is bounded."""
-        known = rows.filter(F.col(column).rlike("^[a-z]{2,3}$")).groupBy(column).agg(*sums).collect()
-        if not known:
-            return None
-        table = {r[column]: np.array([r[f"s{i}"] for i in range(k)]) for r in known}
-        whole = sum(table.values()) + 1.0
-        return F.create_map(*(x for code, n in table.items() for x in (F.lit(code), F.array(*(F.lit(float(v)) for v in np.log((n + 0.5) / whole))))))
+    def with_likelihood(rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` with how often their code goes with each language, as logarithms. Codes are two or three letters, so the table that is
+        broadcast has at most 18,252 rows."""
+        known = stored(rows.filter(F.col(column).rlike("^[a-z]{2,3}$")).groupBy(column).agg(*sums))
+        whole = known.agg(*(F.sum(f"s{i}") for i in range(k))).head()
+        if whole[0] is None:
+            return rows.withColumn(f"of_{column}", nothing)
+        logs = F.array(*(F.log((F.col(f"s{i}") + 0.5) / F.lit(whole[i] + 1.0)) for i in range(k)))
+        return rows.join(F.broadcast(known.select(column, logs.alias(f"of_{column}"))), column, "left").withColumn(f"of_{column}", F.coalesce(f"of_{column}", nothing))
 
     nothing = F.array(*(F.lit(0.0) for _ in range(k)))
-    logits = F.col("evidence")
     for column in ("declared", "suffix"):
-        if (table := likelihood(column)) is not None:
-            logits = plus(logits, F.coalesce(table[F.col(column)], nothing))
+        rows = with_likelihood(rows, column)
+    logits = plus(plus(F.col("evidence"), F.col("of_declared")), F.col("of_suffix"))
     rows = rows.withColumn("domain", F.coalesce(F.regexp_extract("host", "([^.]+\\.[^.]+)$", 1), F.lit("")))
     hosts = rows.groupBy("domain", "host").agg(*sums)
     hosts = stored(hosts)
