@@ -139,13 +139,22 @@ def calibrated(model: dict, hits: list[list[int]], marks: np.ndarray) -> dict:
         return model
     scorer = linear.Scorer(model)
     z = np.array([np.log(q[1] + 1e-12) - np.log(q[0] + 1e-12) for q in (scorer(set(h)) for h in hits)])
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps, drawn a little to slope one and shift zero
-        q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g = np.array([((q - marks) * z).sum() + (a - 1), (q - marks).sum() + b])
+    at = np.array([1.0, 0.0])  # slope and shift, drawn a little to one and zero
+
+    def loss(at: np.ndarray) -> float:
+        t = at[0] * z + at[1]
+        return float((np.logaddexp(0, t) - marks * t).sum() + ((at - [1, 0]) ** 2).sum() / 2)
+
+    for _ in range(50):  # Newton steps, halved until they gain: whole ones overshoot where all rows are far from the boundary
+        q = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -500, 500)))
         w = q * (1 - q)
-        h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1]])
-        a, b = np.array([a, b]) - np.linalg.solve(h, g)
+        g = np.array([((q - marks) * z).sum(), (q - marks).sum()]) + at - [1, 0]
+        step = np.linalg.solve(np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1]]), g)
+        shorter = next((s for s in 0.5 ** np.arange(40) if loss(at - s * step) < loss(at)), None)
+        if shorter is None:
+            break
+        at = at - shorter * step
+    a, b = at
     if a <= 0:
         return model
     return {"bias": a * np.asarray(model["bias"]) + np.array([0.0, b]), "weights": {x: a * np.asarray(w) for x, w in model["weights"].items()}}
