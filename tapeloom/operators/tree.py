@@ -1,65 +1,138 @@
-"""Extremes over spans of a tape, without pairs of spans and ticks.
+"""Extremes and first hits over spans of a tape, without pairs of spans and ticks.
 
-Ticks of a symbol are numbered in order. Over the numbers stands a hierarchy: node (level, i) holds the least and greatest value of the
-ticks i * 2 ** level up to the next node's first. Any span of numbers is at most two nodes of each level, so a span asks a number of
-nodes that grows with the logarithm of its length.
+Ticks of a symbol are cut into chunks of time, each in one group with the spans that begin (or end) in it. Over a chunk's ticks stands a binary hierarchy of
+extremes, so a span asks a number of its nodes that grows with the logarithm of the chunk; what lies between its first and its last chunk it asks of the
+extremes of whole chunks, which go once to each chunk from which a span reaches them. A span meets at most two chunks, whatever its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import written
-from . import joins, scan
-
-#: Ticks of a chunk (2 ** BASE): levels up to it are made where the chunk lies. Microseconds of a chunk of time of the numbering.
-BASE, DAY = 12, 86_400_000_000
-
-
-def numbered(ticks: DataFrame, spans: DataFrame, value: str = "price", key: str = "symbol", id_: str = "life", start: str = "open_t", end: str = "close_t", width: int = DAY) -> tuple[DataFrame, DataFrame]:
-    """Ticks (key, place, value), numbered from 0, and spans (key, id, low, high): the numbers from low up to, but without, high lie within the span, its ends
-    included. One ordered pass over ticks and ends gives both."""
-    none = F.lit(None)
-    rows = ticks.select(key, "t", F.lit(1).alias("kind"), none.cast(spans.schema[id_].dataType).alias("id"), F.col(value).alias("value"))
-    for kind, at in ((0, start), (2, end)):  # before, and after, ticks of the same time
-        rows = rows.unionByName(spans.select(key, F.col(at).alias("t"), F.lit(kind).alias("kind"), F.col(id_).alias("id"), none.cast(ticks.schema[value].dataType).alias("value")))
-    rows = scan.running(written(rows, "ends"), {"place": (F.col("kind") == 1).cast("long")}, width, key=key, order=("t", "kind"))
-    rows = written(rows, "places")
-    # ticks that come before the span begins are below it: the pass counts them up to each end
-    ends = rows.filter("kind <> 1").groupBy(key, "id").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    return rows.filter("kind = 1").select(key, (F.col("place") - 1).alias("place"), "value"), ends
-
-
-def hierarchy(ticks: DataFrame, key: str = "symbol", base: int = BASE) -> DataFrame:
-    """key, level, node, least, greatest over numbered ticks: lower levels within chunks of 2 ** ``base`` ticks, without a further shuffle; upper ones over
-    the chunks."""
-    chunk = F.expr(f"shiftright(place, {base})")
-    rows = ticks.withColumn("chunk", chunk).repartition(key, "chunk")
-    levels = F.explode(F.sequence(F.lit(0), F.lit(base))).alias("level")
-    extremes = [F.min("value").alias("least"), F.max("value").alias("greatest")]
-    lower = rows.select(key, "chunk", "place", "value", levels).groupBy(key, "chunk", "level", F.expr("shiftright(place, level)").alias("node")).agg(*extremes)
-    lower = written(lower, "nodes")
-    roots = lower.filter(F.col("level") == base).select(key, "node", "least", "greatest", F.explode(F.sequence(F.lit(1), F.lit(62 - base))).alias("up"))
-    upper = roots.groupBy(key, (F.col("up") + base).alias("level"), F.expr("shiftright(node, up)").alias("node")).agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
-    return lower.select(key, "level", "node", "least", "greatest").unionByName(upper)
-
-
-def nodes_of(spans: DataFrame, key: str = "symbol") -> DataFrame:
-    """key, id, level, node: the nodes that make up the numbers from low up to high of each span. At each level the first node, if it is a right child, and the last, if
-    the one after it is."""
-    levels = spans.filter("high > low").select(key, "id", "low", "high", F.explode(F.expr("sequence(0, CAST(floor(log2(high - low)) AS INT))")).alias("level"))
-    ends = levels.select(key, "id", "level", F.expr("shiftright(low + shiftleft(1L, level) - 1, level)").alias("a"), F.expr("shiftright(high, level)").alias("b")).filter("a < b")
-    return ends.select(key, "id", "level", F.explode(F.expr("array(CASE WHEN a % 2 = 1 THEN a END, CASE WHEN b % 2 = 1 THEN b - 1 END)")).alias("node")).filter("node IS NOT NULL")
-
-
-def extremes(spans: DataFrame, ticks: DataFrame, value: str = "price", key: str = "symbol", id_: str = "life", base: int = BASE, **ends) -> DataFrame:
-    """Key, id, n (ticks within the span, ends included), least, greatest of ``value`` over them (null, if there are none). ``id_`` is of one span alone."""
-    places, asked = numbered(ticks, spans, value, key, id_, **ends)
-    nodes = hierarchy(places, key, base)
-    found = nodes_of(asked, key).join(nodes.hint("merge"), [key, "level", "node"]).groupBy(key, "id").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
-    whole = asked.join(found.hint("merge"), [key, "id"], "left")
-    return whole.select(key, F.col("id").alias(id_), (F.col("high") - F.col("low")).alias("n"), "least", "greatest")
+
+#: Rows (ticks, or ends of spans) of a chunk on average, for the busiest symbol: 2 ** BASE.
+BASE = 16
+
+
+def hierarchy(values, fold, none: float) -> list:
+    """Levels of a binary hierarchy: level i holds the fold of each 2 ** i values, padded with ``none``."""
+    levels = [np.concatenate([values, np.full((1 << max(len(values) - 1, 0).bit_length()) - len(values), none)])]
+    while len(levels[-1]) > 1:
+        levels.append(fold(levels[-1][::2], levels[-1][1::2]))
+    return levels
+
+
+def between(values, low, high, fold, none: float):
+    """The fold of ``values`` from low up to, but without, high, for each pair (``none``, if there are none): at each level the first node, if it is a right child,
+    and the last, if the one after it is."""
+    a, b, out = low, high, np.full(len(low), none)
+    for level in hierarchy(values, fold, none):
+        for at, take in ((a, (a < b) & (a & 1 == 1)), (b - 1, (a < b) & (b & 1 == 1))):
+            out[take] = fold(out[take], level[at[take]])
+        a, b = (a + 1) >> 1, b >> 1
+    return out
+
+
+def first_below(values, low, high, limit):
+    """The first place from low up to, but without, high at which ``values`` are at most ``limit``; -1, if there is none. It climbs the hierarchy to the right until a node's
+    least is low enough, then goes down."""
+    levels = hierarchy(values, np.fmin, np.inf)
+    size = len(levels[0])
+    level, node = np.zeros(len(low), dtype=np.int64), low.astype(np.int64)
+    found = np.zeros(len(low), dtype=bool)
+    todo = np.flatnonzero(low < np.minimum(high, size))
+    flat, start = np.concatenate(levels), np.cumsum([0, *(len(x) for x in levels)])
+    while len(todo):
+        ok = flat[start[level[todo]] + node[todo]] <= limit[todo]
+        found[todo[ok]] = True
+        todo = todo[~ok]
+        right = node[todo] & 1 == 1
+        node[todo] += 1
+        node[todo[right]] >>= 1
+        level[todo[right]] += 1
+        todo = todo[node[todo] << level[todo] < np.minimum(high[todo], size)]
+    down = np.flatnonzero(found & (level > 0))
+    while len(down):
+        level[down] -= 1
+        node[down] <<= 1
+        node[down] += ~(flat[start[level[down]] + node[down]] <= limit[down])
+        down = down[level[down] > 0]
+    return np.where(found & (node < high), node, -1)
+
+
+def width_of(ticks: DataFrame, spans: DataFrame, key: str, base: int) -> int:
+    """The width of chunks of time that gives the busiest key 2 ** ``base`` rows a chunk on average; ticks of one time are one row."""
+    rows = ticks.select(key, "t").unionByName(spans.select(key, F.col("_low").alias("t")))
+    made = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).agg(F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).head()
+    return 1 if made["a"] is None else max(1, ((made["b"] - made["a"]) << base) // made["n"] + 1)
+
+
+def _cut(spans: DataFrame, ticks: DataFrame, low: Column, high: Column, key: str, width: int | None, base: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Spans (_low to _high) with their first and last chunk (_a, _b), and those without ends; ticks by chunk (_c; one row for each time: n, least of ``low``, greatest of
+    ``high``) with, for each chunk in which spans begin, the chunks after it that these reach (kind 1; t: the chunk's number); and ticks alone."""
+    width = width or width_of(ticks, spans, key, base)
+    chunk = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    whole = F.col(key).isNotNull() & F.col("_low").isNotNull() & F.col("_high").isNotNull()
+    cut = spans.filter(whole).withColumn("_a", chunk("_low")).withColumn("_b", F.greatest(chunk("_high"), chunk("_low")))
+    extremes = [F.count(F.lit(1)).alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")]
+    known = ticks.filter(F.col(key).isNotNull() & F.col("t").isNotNull()).select(key, "t", low.alias("least"), high.alias("greatest")).filter("least IS NOT NULL")
+    times = written(known.groupBy(key, "t").agg(*extremes).withColumn("_c", chunk("t")), "times")
+    chunks = times.groupBy(key, "_c").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    reach = cut.filter("_b > _a").groupBy(key, F.col("_a").alias("_from")).agg(F.max("_b").alias("_to"))
+    later = reach.join(chunks.hint("merge"), key).filter("_c > _from AND _c <= _to").select(key, F.col("_from").alias("_c"), F.col("_c").alias("t"), "n", "least", "greatest", F.lit(1).alias("kind"))
+    ticks = times.select(key, "_c", "t", "n", "least", "greatest", F.lit(0).alias("kind"))
+    return cut, spans.filter(~whole), ticks.unionByName(later), ticks
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _with_chunk(key: str, spans: DataFrame, at: str, ticks: DataFrame, make, schema: str) -> DataFrame:
+    """``make(spans, ticks)`` over spans by their chunk ``at``, with the ticks of that chunk."""
+
+    def run(asked, rows):
+        return make(asked, rows) if len(asked) else pd.DataFrame([], columns=names)
+
+    names = spans.sparkSession.createDataFrame([], schema).columns
+    return spans.groupBy(key, at).cogroup(ticks.groupBy(key, "_c")).applyInPandas(run, schema)
+
+
+def extremes(spans: DataFrame, ticks: DataFrame, value: str = "price", key: str = "symbol", id_: str = "life", start: str = "open_t", end: str = "close_t", width: int | None = None, base: int = BASE) -> DataFrame:
+    """Key, id, n (ticks within the span, ends included), least, greatest of ``value`` over them (null, if there are none). Ticks without a value don't count."""
+    v = F.col(value).cast("double")
+    spans = spans.select(key, id_, F.col(start).alias("_low"), F.col(end).alias("_high"))
+    cut, blind, ticks, own = _cut(spans, ticks, v, v, key, width, base)
+
+    def ask(asked, rows, low, high):
+        """``asked`` with what ``rows`` from low up to high add. NaN is the greatest of all numbers, as in Spark."""
+        high = np.maximum(low, high)
+        total = np.concatenate([[0], np.cumsum(rows["n"].to_numpy(np.int64))])
+        least = between(rows["least"].to_numpy(float), low, high, np.fmin, np.nan)
+        greatest = between(rows["greatest"].to_numpy(float), low, high, np.maximum, -np.inf)
+        return asked.assign(n=asked["n"] + total[high] - total[low], least=np.fmin(asked["least"].to_numpy(float), least), greatest=np.maximum(asked["greatest"].to_numpy(float), greatest))
+
+    def first(asked, rows):
+        rows = rows.sort_values("t")
+        near, far = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+        asked = asked.assign(n=0, least=np.nan, greatest=-np.inf)
+        asked = ask(asked, near, np.searchsorted(near["t"], asked["_low"]), np.searchsorted(near["t"], asked["_high"], "right"))
+        return ask(asked, far, np.searchsorted(far["t"], asked["_a"], "right"), np.searchsorted(far["t"], asked["_b"]))
+
+    def last(asked, rows):
+        rows = rows.sort_values("t")
+        return ask(asked, rows, np.zeros(len(asked), np.int64), np.searchsorted(rows["t"], asked["_high"], "right"))
+
+    schema = f"{_columns(cut)}, n long, least double, greatest double"
+    made = written(_with_chunk(key, cut, "_a", ticks, first, schema), "first")
+    made = made.filter("_a = _b").unionByName(_with_chunk(key, made.filter("_a < _b"), "_b", own, last, schema))
+    none = F.lit(None).cast("double")
+    some = made.select(key, id_, "n", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("least", "greatest")))
+    return some.unionByName(blind.select(key, id_, F.lit(0).cast("long").alias("n"), none.alias("least"), none.alias("greatest")))
 
 
 def excursions(trades: DataFrame, ticks: DataFrame, fee: float = 0.0, **options) -> DataFrame:
@@ -75,12 +148,33 @@ def excursions(trades: DataFrame, ticks: DataFrame, fee: float = 0.0, **options)
     return rows.withColumn("peak_pnl", F.when(F.col("n") > 0, F.greatest(net, F.lit(0.0)))).drop("least", "greatest")
 
 
-def liquidation_alerts(trades: DataFrame, ticks: DataFrame, band: float, width: int = 6 * 3_600_000_000) -> DataFrame:
+def liquidation_alerts(trades: DataFrame, ticks: DataFrame, band: float, width: int | None = None, base: int = BASE) -> DataFrame:
     """Symbol, life, t: the first tick within ``band`` (a share of its price) of a position's own liquidation price (column liquidation; null: none), or past it, while the
-    position is open. The extremes tell which positions have one; only these are held against their ticks."""
-    trades = written(trades.filter("liquidation IS NOT NULL"), "trades")
-    reached = F.when(F.col("side") == "LONG", F.col("least") * (1 - band) <= F.col("liquidation")).otherwise(F.col("greatest") * (1 + band) >= F.col("liquidation"))
-    few = written(trades.join(extremes(trades, ticks).hint("merge"), ["symbol", "life"]).filter(reached).select("symbol", "life", "side", "open_t", "close_t", "liquidation"), "reached")
-    price = F.col("price")
-    near = F.when(F.col("side") == "LONG", price * (1 - band) <= F.col("liquidation")).otherwise(price * (1 + band) >= F.col("liquidation"))
-    return joins.interval(few, ticks, width).filter(near).groupBy("symbol", "life").agg(F.min("t").alias("t"))
+    position is open. It is sought in the chunk of the opening, and else in the first later chunk whose extremes reach the price."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(float("inf")))  # noqa: E731  # NaN: above all numbers
+    spans = trades.filter("liquidation IS NOT NULL").select("symbol", "life", F.coalesce(F.col("side") == "LONG", F.lit(False)).alias("_long"), number("liquidation").alias("_limit"), F.col("open_t").alias("_low"), F.col("close_t").alias("_high"))
+    cut, _, ticks, own = _cut(written(spans, "positions"), ticks, number("price") * (1 - band), number("price") * (1 + band), "symbol", width, base)
+
+    def hit(asked, rows, low, high):
+        limit, long = asked["_limit"].to_numpy(float), asked["_long"].to_numpy(bool)
+        place = np.full(len(asked), -1)
+        place[long] = first_below(rows["least"].to_numpy(float), low[long], high[long], limit[long])
+        place[~long] = first_below(-rows["greatest"].to_numpy(float), low[~long], high[~long], -limit[~long])
+        return np.concatenate([rows["t"].to_numpy(np.int64), [0]])[place], place >= 0
+
+    def first(asked, rows):
+        rows = rows.sort_values("t")
+        near, far = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+        t, here = hit(asked, near, np.searchsorted(near["t"], asked["_low"]), np.searchsorted(near["t"], asked["_high"], "right"))
+        next_, there = hit(asked, far, np.searchsorted(far["t"], asked["_a"], "right"), np.searchsorted(far["t"], asked["_b"], "right"))
+        return asked.assign(t=t, here=here, _next=next_)[here | there]
+
+    def later(asked, rows):
+        rows = rows.sort_values("t")
+        t, here = hit(asked, rows, np.zeros(len(asked), np.int64), np.searchsorted(rows["t"], asked["_high"], "right"))
+        return asked.assign(t=t)[here]
+
+    schema = f"{_columns(cut)}, t long, here boolean, _next long"
+    made = written(_with_chunk("symbol", cut, "_a", ticks, first, schema), "first")
+    rest = _with_chunk("symbol", made.filter("NOT here"), "_next", own, later, schema)
+    return made.filter("here").unionByName(rest).groupBy("symbol", "life").agg(F.min("t").alias("t"))
