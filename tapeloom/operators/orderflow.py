@@ -31,39 +31,56 @@ def traded_volume(tape: DataFrame, width: int) -> DataFrame:
     return made.withColumn("delta", F.col("buy") - F.col("sell"))
 
 
-def rolling_delta(tape: DataFrame, window: int, chunk: int) -> DataFrame:
+def windowed(rows: DataFrame, values: dict[str, Column], window: int) -> DataFrame:
+    """``rows`` (symbol, t, ...) with sums of ``values`` (nulls count nothing; null where there is none) over the last ``window`` microseconds, both ends included; rows of the
+    same time count together. In blocks as long as the window, it is the end of one block and the beginning of the next: each row comes again a window later, and running
+    sums from both sides meet. No frame is summed anew for each row, and nothing is subtracted."""
+    step = max(window, 0) + 1
+    again = F.col("_again").cast("int")
+    both = rows.select("*", *(v.alias(f"_of_{n}") for n, v in values.items()), F.explode(F.array(F.lit(False), F.lit(True))).alias("_again"))
+    both = both.withColumn("_block", F.floor(F.col("t") / F.lit(step)).cast("long") + again).withColumn("_at", F.col("t") + again * F.lit(window))
+    in_block = Window.partitionBy("symbol", "_block")
+    so_far = in_block.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    from_here = in_block.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.select("*", *(F.sum(F.when(~F.col("_again"), F.col(f"_of_{n}"))).over(so_far).alias(f"_own_{n}") for n in values))
+    both = both.select("*", *(F.sum(F.when(F.col("_again"), F.col(f"_of_{n}"))).over(from_here).alias(f"_old_{n}") for n in values))
+    total = lambda n: F.coalesce(F.col(f"_own_{n}") + F.col(f"_old_{n}"), F.col(f"_own_{n}"), F.col(f"_old_{n}"))
+    made = both.filter(~F.col("_again"))
+    for n in values:
+        made = made.withColumn(n, total(n))
+    return made.drop("_again", "_at", "_block", *(f"_{k}_{n}" for k in ("of", "own", "old") for n in values))
+
+
+def rolling_delta(tape: DataFrame, window: int) -> DataFrame:
     """Signed quantity of the last ``window`` microseconds, both ends included; rows of the same time count together."""
+    return windowed(tape, {"delta": signed_qty(F.col("qty"), F.col("is_buyer_maker")).cast("double")}, window)
 
-    def make(rows, _):
-        w = Window.partitionBy("symbol", "chunk").orderBy("t").rangeBetween(-window, 0)
-        return rows.withColumn("delta", F.sum(signed_qty(F.col("qty"), F.col("is_buyer_maker")).cast("double")).over(w))
 
-    return scan.over_chunks(tape, max(chunk, window), make, back=window)
+def mean_over(rows: DataFrame, value: str, out: str, window: int) -> DataFrame:
+    """``rows`` with the mean of ``value`` over the last ``window`` microseconds; null where there is none."""
+    rows = windowed(rows, {"_sum": F.col(value), "_n": F.when(F.col(value).isNotNull(), 1)}, window)
+    return rows.withColumn(out, F.col("_sum") / F.col("_n")).drop("_sum", "_n")
 
 
-def average_imbalance(frames: DataFrame, window: int, chunk: int) -> DataFrame:
+def average_imbalance(frames: DataFrame, window: int) -> DataFrame:
     """Mean imbalance of the last ``window`` microseconds."""
-
-    def make(rows, _):
-        return rows.withColumn("avg_imbalance", F.avg("imbalance").over(Window.partitionBy("symbol", "chunk").orderBy("t").rangeBetween(-window, 0)))
-
-    return scan.over_chunks(frames, max(chunk, window), make, back=window)
+    return mean_over(frames, "imbalance", "avg_imbalance", window)
 
 
 def imbalance_at(ticks: DataFrame, frames: DataFrame, window: int, stale: int, chunk: int) -> DataFrame:
     """``ticks`` with the mean imbalance of the frames of the last ``window`` microseconds (both ends included); where there is none, the latest
-    frame's, if it isn't over ``stale`` old, else 0. Frames of a tick's own time count."""
+    frame's (of one time: that of the highest seq, if they have one), if it isn't over ``stale`` old, else 0. Frames of a tick's own time count."""
     none = F.lit(None).cast("double")
-    both = ticks.withColumn("_side", F.lit(1)).withColumn("imbalance", none).withColumn("_at", F.lit(None).cast("long"))
-    both = both.unionByName(frames.select("symbol", "t", F.lit(0).alias("_side"), "imbalance", F.col("t").alias("_at")), allowMissingColumns=True)
-    back = max(window, stale)
+    at = F.struct("t", "imbalance").alias("_latest")
+    same = frames.groupBy("symbol", "t").agg((F.max_by("imbalance", "seq") if "seq" in frames.columns else F.max("imbalance")).alias("imbalance"), F.sum("imbalance").alias("_all"), F.count("imbalance").alias("_frames"))
+    both = ticks.select("*", F.lit(1).alias("_side"), none.alias("_all"), F.lit(None).cast("long").alias("_frames"), F.lit(None).cast("struct<t:bigint,imbalance:double>").alias("_latest"))
+    both = both.unionByName(same.select("symbol", "t", F.lit(0).alias("_side"), "_all", "_frames", at), allowMissingColumns=True)
 
     def make(rows, _):
-        by_time = Window.partitionBy("symbol", "chunk").orderBy("t").rangeBetween(-window, 0)
         so_far = Window.partitionBy("symbol", "chunk").orderBy("t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-        latest = F.last(F.when(F.col("_side") == 0, F.struct("_at", "imbalance")), ignorenulls=True).over(so_far)
-        rows = rows.withColumn("_mean", F.avg("imbalance").over(by_time)).withColumn("_latest", latest)
-        fresh = F.when(F.col("t") - F.col("_latest._at") <= stale, F.col("_latest.imbalance"))
-        return rows.withColumn("avg_imbalance", F.coalesce("_mean", fresh, F.lit(0.0)))
+        rows = rows.withColumn("_latest", F.last("_latest", ignorenulls=True).over(so_far))
+        return rows.withColumn("_fresh", F.when(F.col("t") - F.col("_latest.t") <= stale, F.col("_latest.imbalance")))
 
-    return scan.over_chunks(both, max(chunk, 4 * back), make, back=back).filter("_side = 1").select(*ticks.columns, "avg_imbalance")
+    rows = windowed(both, {"_sum": F.col("_all"), "_n": F.col("_frames")}, window)
+    rows = scan.over_chunks(rows, max(chunk, 4 * stale), make, back=stale).filter("_side = 1")
+    return rows.select(*ticks.columns, F.coalesce(F.col("_sum") / F.col("_n"), F.col("_fresh"), F.lit(0.0)).alias("avg_imbalance"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tapeloom.operators import tree
+from tapeloom.operators import orderflow, tree
 
 
 def test_first_hits_of_long_spans_meet_two_chunks(spark):
@@ -36,3 +36,26 @@ def test_no_span_is_joined_with_its_ticks(spark, monkeypatch):
     t = spark.createDataFrame([("A", i, 100.0 - i) for i in range(50)], "symbol string, t long, price double")
     x = spark.createDataFrame([("A", 1, "LONG", 3, 40, 90.0)], "symbol string, life long, side string, open_t long, close_t long, liquidation double")
     assert [a["t"] for a in tree.liquidation_alerts(x, t, 0.0).collect()] == [10]
+
+
+def test_windows_of_time_are_not_summed_anew(spark):
+    """Dense ticks, ends of windows and equal times, against plain loops; no sliding frame is left in the plan."""
+    r = random.Random(12)
+    rows = [(s, r.randint(0, 900), i, r.randint(1, 9), r.random() < 0.5) for i in range(1_500) for s in "AB"]
+    t = spark.createDataFrame(rows, "symbol string, t long, seq long, qty int, is_buyer_maker boolean")
+    made = orderflow.rolling_delta(t, 60)
+    assert {x["seq"]: x["delta"] for x in made.filter("symbol = 'A'").collect()} == {i: sum(-q if m else q for s, u, _, q, m in rows if s == "A" and at - 60 <= u <= at) for sy, at, i, _, _ in rows if sy == "A"}
+    frames = [(s, r.randint(0, 300) * 3, i, r.uniform(-1, 1)) for i in range(40) for s in "ABC"]
+    f = spark.createDataFrame(frames, "symbol string, t long, seq long, imbalance double")
+    at = orderflow.imbalance_at(t, f, 20, 90, 50)
+    for x in at.collect():
+        own = sorted((u, i, v) for s, u, i, v in frames if s == x["symbol"] and x["t"] - 90 <= u <= x["t"])
+        inside = [v for u, _, v in own if u >= x["t"] - 20]
+        assert abs(x["avg_imbalance"] - (sum(inside) / len(inside) if inside else own[-1][2] if own else 0.0)) < 1e-12
+    means = {(x["symbol"], x["seq"]): x["avg_imbalance"] for x in orderflow.average_imbalance(f, 100).collect()}
+    for s, u, i, _ in frames:
+        inside = [v for s2, u2, _, v in frames if s2 == s and u - 100 <= u2 <= u]
+        assert abs(means[s, i] - sum(inside) / len(inside)) < 1e-12
+    for df in (made, at, orderflow.average_imbalance(f, 100)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "specifiedwindowframe(RangeFrame, unboundedpreceding" in plan and "specifiedwindowframe(RangeFrame, -" not in plan
