@@ -64,7 +64,8 @@ def desk(stream: DataFrame, flat: int, live: int, most: int = 1) -> DataFrame:
 
 class Matcher(StatefulProcessor):
     """One order takes one fill, whichever comes first. A fill without an order waits; when its order comes within ``ttl`` microseconds, it is
-    replayed, else a timer drops it. A fill of an order that has taken one waits, and is dropped, in the same way."""
+    replayed, else a timer drops it. A fill of an order that has taken one waits, and is dropped, in the same way. The key is a bucket of orders: a micro-batch costs a
+    bucket one read and one write of its state, however many orders it holds, and one timer is set for it."""
 
     SCHEMA = "order_id long, seq long, outcome string"
 
@@ -73,58 +74,65 @@ class Matcher(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        # one value, so that a key costs one read and one write: whether the order has taken a fill (null: no order yet), waiting fills, and the timer that is set
-        self.book = handle.getValueState("book", "taken boolean, seqs array<long>, times array<long>, due long")
+        # orders seen, and whether each has taken a fill; waiting fills; and the timer that is set
+        self.book = handle.getValueState("book", "orders array<long>, taken array<boolean>, ids array<long>, seqs array<long>, times array<long>, due long")
 
     def expiry(self, t: int) -> int:
         return -(-(t + self.ttl) // 1000) + 1
 
-    def read(self) -> tuple:
-        known = self.book.get()
+    def read(self) -> tuple[dict, dict, int | None]:
+        known, waiting = self.book.get(), {}
         if known is None:
-            return None, [], None
-        return known[0], list(zip(known[1], known[2], strict=True)), known[3]
-
-    def keep(self, taken, waiting: list, due) -> None:
-        if waiting and due is None:  # the earliest; the others follow when it is over
-            due = min(self.expiry(t) for _, t in waiting)
+            return {}, {}, None
+        for order, seq, t in zip(known[2], known[3], known[4], strict=True):
+            waiting.setdefault(order, []).append((t, seq))
+        return dict(zip(known[0], known[1], strict=True)), waiting, known[5]
+
+    def keep(self, taken: dict, waiting: dict, due: int | None) -> None:
+        left = [(order, seq, t) for order, fills in waiting.items() for t, seq in fills]
+        first = self.expiry(min(t for _, _, t in left)) if left else None  # the others follow when it is over
+        if first is not None and (due is None or first < due):
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = first
             self.handle.registerTimer(due)
-        self.book.update((taken, [x for x, _ in waiting], [t for _, t in waiting], due))
+        self.book.update((list(taken), list(taken.values()), *([x[i] for x in left] for i in range(3)), due))
 
     def handleInputRows(self, key, rows, timerValues):
         taken, waiting, due = self.read()
         out = []
         table = in_order(rows, "t", "kind", "seq")
-        for t, kind, seq in zip(table["t"].tolist(), table["kind"].tolist(), table["seq"].tolist(), strict=True):
-            if kind == 0 and taken is None:  # the order: takes the first fill that still waits
-                taken, alive = False, sorted((x for x in waiting if t <= x[1] + self.ttl), key=lambda x: (x[1], x[0]))
-                if alive:
-                    taken = True
-                    waiting.remove(alive[0])
-                    out.append((key[0], alive[0][0], "replayed"))
-            elif kind == 1 and taken is False:
-                taken = True
-                out.append((key[0], seq, "matched"))
+        for order, t, kind, seq in zip(*(table[c].tolist() for c in ("order_id", "t", "kind", "seq")), strict=True):
+            if kind == 0 and order not in taken:  # takes the first fill that still waits
+                first = min((x for x in waiting.get(order, ()) if t <= x[0] + self.ttl), default=None)
+                taken[order] = first is not None
+                if first is not None:
+                    waiting[order].remove(first)
+                    out.append((order, first[1], "replayed"))
+            elif kind == 1 and taken.get(order) is False:
+                taken[order] = True
+                out.append((order, seq, "matched"))
             elif kind == 1:
-                waiting.append((seq, t))
+                waiting.setdefault(order, []).append((t, seq))
         self.keep(taken, waiting, due)
         yield pd.DataFrame(out, columns=["order_id", "seq", "outcome"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         taken, waiting, _ = self.read()
-        gone = [x for x in waiting if self.expiry(x[1]) <= now]
-        self.keep(taken, [x for x in waiting if self.expiry(x[1]) > now], None)
-        yield pd.DataFrame([(key[0], x[0], "dropped") for x in gone], columns=["order_id", "seq", "outcome"])
+        gone = [(order, seq, "dropped") for order, fills in waiting.items() for t, seq in fills if self.expiry(t) <= now]
+        self.keep(taken, {order: [x for x in fills if self.expiry(x[0]) > now] for order, fills in waiting.items()}, None)
+        yield pd.DataFrame(gone, columns=["order_id", "seq", "outcome"])
 
     def close(self) -> None:
         pass
 
 
-def matched_once(stream: DataFrame, ttl: int, delay: str = "1 hour") -> DataFrame:
-    """``stream`` (order_id, ts, kind, seq; kind 0: an order, 1: a fill) to each fill's outcome: matched, replayed (it came before its order) or dropped."""
-    rows = stream.withWatermark("ts", delay).select("order_id", "ts", F.unix_micros("ts").alias("t"), "kind", "seq")
-    return keyed(rows, "order_id", Matcher(ttl), Matcher.SCHEMA, "EventTime")
+def matched_once(stream: DataFrame, ttl: int, delay: str = "1 hour", buckets: int = 1024) -> DataFrame:
+    """``stream`` (order_id, ts, kind, seq; kind 0: an order, 1: a fill) to each fill's outcome: matched, replayed (it came before its order) or dropped.
+    ``buckets`` of orders are the keys of the state; they stay as they are while a checkpoint lives."""
+    rows = stream.withWatermark("ts", delay).select(F.pmod(F.xxhash64("order_id"), F.lit(buckets)).alias("bucket"), "order_id", "ts", F.unix_micros("ts").alias("t"), "kind", "seq")
+    return keyed(rows, "bucket", Matcher(ttl), Matcher.SCHEMA, "EventTime")
 
 
 class Lateness(StatefulProcessor):

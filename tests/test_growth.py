@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeloom.operators import orderflow, tree
+from tapeloom.streaming import processors, streams
 
 
 def test_first_hits_of_long_spans_meet_two_chunks(spark):
@@ -59,3 +61,44 @@ def test_windows_of_time_are_not_summed_anew(spark):
     for df in (made, at, orderflow.average_imbalance(f, 100)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "specifiedwindowframe(RangeFrame, unboundedpreceding" in plan and "specifiedwindowframe(RangeFrame, -" not in plan
+
+
+def test_a_bucket_of_orders_costs_one_read_and_one_write(spark):
+    class Handle:
+        def __init__(self):
+            self.calls, self.value, self.timers = [], None, set()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    h, m = Handle(), processors.Matcher(60_000)
+    m.init(h)
+    rows = pd.DataFrame([(o, 1_000 * o + k, k, o) for o in range(300) for k in (0, 1)] + [(900, 5_000, 1, 7), (901, 1_000, 1, 8)], columns=["order_id", "t", "kind", "seq"])
+    out = pd.concat(m.handleInputRows((0,), iter([rows]), None))
+    assert h.calls == ["get", "update"] and len(out) == 300 and set(out["outcome"]) == {"matched"} and h.timers == {62}
+    late = pd.DataFrame([(900, 6_000, 0, 0), (902, 500, 1, 9)], columns=["order_id", "t", "kind", "seq"])
+    assert pd.concat(m.handleInputRows((0,), iter([late]), None)).values.tolist() == [[900, 7, "replayed"]] and h.timers == {62}
+
+
+def test_a_large_slice_is_many_files_and_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 40)
+    df = spark.createDataFrame([(i % 5, i) for i in range(1_000)], "k int, t long").repartition(7)
+    stream = streams.replayed(df, 3, most=250)  # four slices of seven files, whatever the three
+    batches = {}
+    streams.finished(stream, put=lambda b, n: batches.update({n: sorted(x["t"] for x in b.collect())}))
+    rows = [x for n in sorted(batches) for x in batches[n]]
+    assert len(batches) == 4 and rows == list(range(1_000))
