@@ -137,8 +137,8 @@ def desk_rows(spark, d):
   FROM (SELECT r.symbol, r.n, r.seq, r.t, r.event, m.status AS was, m.step, m.last, {RUNS_NOW} AS decision, r.event IS NOT NULL AS move, CASE WHEN r.event IS NULL THEN m.status ELSE {DESK_MOVED} END AS status FROM m JOIN r ON r.symbol = m.symbol AND r.n = m.n + 1))
   SELECT symbol, seq, t, decision, status, step FROM m WHERE decision OR move""")
 def _(spark, d):
-    """Decisions by the interval of the position's status, and the moves of that position, from one state; four micro-batches, one of which fails and is repeated."""
-    stream = streams.replayed(desk_rows(spark, d), 4)
+    """Decisions by the interval of the position's status, and the moves of that position, from one state; four micro-batches (more, if they are large), one of which fails and is repeated."""
+    stream = streams.replayed(desk_rows(spark, d), 4, most=streams.SLICE_ROWS)
     return streams.interrupted(processors.desk(stream, P.decision_interval_flat, P.decision_interval_open), 2, rocks=True)
 
 
