@@ -3,9 +3,10 @@
 import random
 
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tapeloom.operators import orderflow, tree
+from tapeloom.operators import models, orderflow, tree
 from tapeloom.streaming import processors, streams
 
 
@@ -102,3 +103,19 @@ def test_a_large_slice_is_many_files_and_one_batch(spark, monkeypatch):
     streams.finished(stream, put=lambda b, n: batches.update({n: sorted(x["t"] for x in b.collect())}))
     rows = [x for n in sorted(batches) for x in batches[n]]
     assert len(batches) == 4 and rows == list(range(1_000))
+
+
+def test_heads_score_without_their_models(spark):
+    """The same numbers as the fitted pipeline's own transform; no Python or ML function is left in the plan, however many heads there are."""
+    r = random.Random(13)
+    df = spark.createDataFrame([(x := r.gauss(3, 2), y := r.gauss(0, 9), 1.5, int(x + y / 9 > 3), 0.2 * x - y) for _ in range(300)], "a double, b double, c double, y int, z double")
+    scored, plain = df, df
+    for label, kind in (("y", "logistic"), ("z", "squaredError"), ("z", "huber")):
+        model = models.fit_head(df, ["a", "b", "c"], label, kind, 1e-3)
+        scored = models.score(model, scored, out=f"p_{kind}")
+        made = model.transform(plain)
+        p = vector_to_array("probability")[1] if kind == "logistic" else F.col("prediction")
+        plain = made.select(*plain.columns, p.alias(f"p_{kind}"))
+    for a, b in zip(scored.orderBy("a").collect(), plain.orderBy("a").collect(), strict=True):
+        assert all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
+    assert "UDF" not in scored._jdf.queryExecution().optimizedPlan().toString()
