@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tapeloom.operators import models, orderflow, tree
+from tapeloom.sources import adapters
 from tapeloom.streaming import processors, streams
 
 
@@ -119,3 +120,8 @@ def test_heads_score_without_their_models(spark):
     for a, b in zip(scored.orderBy("a").collect(), plain.orderBy("a").collect(), strict=True):
         assert all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
     assert "UDF" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_fills_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "TASK_ROWS", 500)
+    assert adapters.fills(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 12
