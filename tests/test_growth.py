@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tapeloom.operators import models, orderflow, tree
+from tapeloom.operators import models, orderflow, stats, tree
 from tapeloom.sources import adapters
 from tapeloom.streaming import processors, streams
 
@@ -125,3 +125,34 @@ def test_heads_score_without_their_models(spark):
 def test_tasks_of_fills_grow_in_number_not_in_size(spark, monkeypatch):
     monkeypatch.setattr(adapters, "TASK_ROWS", 500)
     assert adapters.fills(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 12
+
+
+def test_overlap_computes_its_trades_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    r = random.Random(14)
+    rows = [(a := r.randint(0, 400) * 10**10, a + r.randint(0, 30) * 10**10) for _ in range(300)]
+    t = spark.createDataFrame(rows, "open_t long, close_t long")
+    got = {x["t"]: (x["open"], x["over"]) for x in stats.overlap(t.mapInPandas(counted, t.schema), 12).collect()}
+    assert got == {at: (n := sum(a <= at for a, _ in rows) - sum(b <= at for _, b in rows), n > 12) for at in {x for row in rows for x in row}}
+    assert seen.value == 300
+
+
+def test_fills_are_sorted_once(spark):
+    """Number, opening quantity and cash come from one order; nulls are left out of the sums as before."""
+    plan = adapters.fills(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line for line in plan.splitlines()) == 1
+    x = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (1.0, None), (None, None)], "a double, b double")
+    assert [y[0] for y in x.select(adapters.added("a", "b")).collect()] == [3.0, 2.0, 1.0, None]
+
+
+def test_hot_symbols_are_counted_by_part(spark, monkeypatch):
+    lines = spark.createDataFrame([(7,)] * 40 + [(i,) for i in range(100, 160)] + [(None,)] * 50, "l_partkey long")
+    monkeypatch.setattr(adapters, "table", lambda *_: lines)
+    monkeypatch.setattr(adapters.scan.hot_keys, "__defaults__", ("symbol", 5, 10))
+    assert adapters.hot_symbols(spark, "") == ["P7"]
