@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -84,18 +87,27 @@ def entry_features(trades: DataFrame, ticks: DataFrame, names: list[str], stale:
 
 def rolling_origin(rows: DataFrame, names: list[str], label: str, kind: str = "logistic", blocks: int = 5, start: str = "open_t", end: str = "close_t") -> DataFrame:
     """M2: ``rows`` of all blocks of opening times but the first, with block, n_train and p: each block is scored by a head that was fitted to what had closed before the
-    block began. A block before which only one outcome was seen gets a neutral half. ``blocks`` fits; ``rows`` are read once for each, so write them first."""
+    block began. A block before which only one outcome was seen gets a neutral half. ``blocks`` fits, which run at the same time; ``rows`` are read several times for each, so
+    write them first. What had closed is counted for all blocks in one pass."""
     edges = rows.approxQuantile(start, [i / blocks for i in range(blocks + 1)], 0.001)
+    if not edges:
+        return rows.withColumn("p", F.lit(0.5)).withColumn("block", F.lit(0)).withColumn("n_train", F.lit(0).cast("long"))  # there are no rows
+    later = range(1, blocks)
+    closed = {k: F.col(end) < edges[k] for k in later}
+    seen = rows.groupBy(label).agg(*(F.count(F.when(closed[k], 1)).alias(f"n_{k}") for k in later)).collect()  # two rows
+    counts = {k: [r[f"n_{k}"] for r in seen if r[f"n_{k}"]] for k in later}
+
+    def fitted(k: int) -> PipelineModel | None:
+        return fit_head(rows.filter(closed[k]), names, label, kind) if len(counts[k]) > 1 else None
+
+    with ThreadPool(blocks) as pool:
+        heads = dict(zip(later, pool.map(inheritable_thread_target(rows.sparkSession)(fitted), later), strict=True))
     made = None
-    for k in range(1, blocks):
-        known, own = rows.filter(F.col(end) < edges[k]), F.col(start) >= edges[k]
+    for k in later:
+        own = F.col(start) >= edges[k]
         part = rows.filter(own if k == blocks - 1 else own & (F.col(start) < edges[k + 1]))
-        seen = known.groupBy(label).count().collect()  # two rows
-        if len(seen) > 1:
-            scored = score(fit_head(known, names, label, kind), part)
-        else:
-            scored = part.withColumn("p", F.lit(0.5))
-        scored = scored.withColumn("block", F.lit(k)).withColumn("n_train", F.lit(sum(r["count"] for r in seen)).cast("long"))
+        scored = part.withColumn("p", F.lit(0.5)) if heads[k] is None else score(heads[k], part)
+        scored = scored.withColumn("block", F.lit(k)).withColumn("n_train", F.lit(sum(counts[k])).cast("long"))
         made = scored if made is None else made.unionByName(scored)
     return made
 

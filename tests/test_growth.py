@@ -1,6 +1,7 @@
 """Operators whose work must not grow faster than their rows: dense windows and long spans, against plain loops."""
 
 import random
+import threading
 
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -156,3 +157,34 @@ def test_hot_symbols_are_counted_by_part(spark, monkeypatch):
     monkeypatch.setattr(adapters, "table", lambda *_: lines)
     monkeypatch.setattr(adapters.scan.hot_keys, "__defaults__", ("symbol", 5, 10))
     assert adapters.hot_symbols(spark, "") == ["P7"]
+
+
+def test_rolling_origin_counts_in_one_pass_and_fits_at_once(spark, monkeypatch):
+    """Besides the fits, rows are read for the edges and for the counts, however many blocks there are; and a fit doesn't wait for another's end."""
+    read, together, fit = spark.sparkContext.accumulator(0), threading.Barrier(4, timeout=60), models.fit_head
+    r = random.Random(15)
+    rows = [(100 * i, 100 * i + r.choice([50, 5_000]), r.gauss(0, 1), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "open_t long, close_t long, f double, y int")
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    def waiting(known, *rest):
+        together.wait()
+        return fit(df.filter("close_t < 9000"), *rest)
+
+    monkeypatch.setattr(models, "fit_head", waiting)
+    made = models.rolling_origin(df.mapInPandas(counted, df.schema), ["f"], "y")
+    assert read.value == 800
+    for x in made.groupBy("block", "n_train").agg(F.min("open_t").alias("begin")).collect():
+        assert x["n_train"] == sum(c < x["begin"] for _, c, _, _ in rows)
+
+
+def test_rolling_origin_of_no_rows_and_of_one_outcome(spark):
+    schema = "open_t long, close_t long, f double, y int"
+    none = models.rolling_origin(spark.createDataFrame([], schema), ["f"], "y")
+    assert none.count() == 0 and none.columns == ["open_t", "close_t", "f", "y", "p", "block", "n_train"]
+    one = models.rolling_origin(spark.createDataFrame([(i, i, 0.1 * i, 1) for i in range(50)], schema), ["f"], "y")
+    assert {x["p"] for x in one.collect()} == {0.5} and one.columns == none.columns
